@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import copies, pieces, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": copies.p1_found,
+        "p1_groups": copies.p1_groups,
+        "p5_found": pieces.p5_found,
+        "p5_pieces": pieces.p5_pieces,
         "p6_ids": tokens.p6_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": pieces.P5_FOUND_SQL}
