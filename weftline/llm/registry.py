@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import copies, pieces, tokens
+from . import copies, pieces, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": copies.p1_found,
         "p1_groups": copies.p1_groups,
+        "p4_found": quality.p4_found,
+        "p4_statistics": quality.p4_statistics,
         "p5_found": pieces.p5_found,
         "p5_pieces": pieces.p5_pieces,
         "p6_ids": tokens.p6_ids,
