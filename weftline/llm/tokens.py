@@ -8,8 +8,8 @@ words of a batch together, one byte position a step. Words outside the lexicon
 are merged exactly by the tokenizer's ranks. The lexicon only decides which way a
 word takes; the ids are the same for every lexicon.
 
-The lexicon's words are counted over all texts; ``lexicon_size`` bounds what the
-driver compiles and what each worker maps.
+The lexicon's words are counted over all texts; a word needs a fixed share of all
+words, which bounds what the driver compiles and what each worker maps.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, write_shared
+from .common import cut_lineage, read, write_shared
 
 TOKENIZERS = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
-LEXICON_SIZE = 40_000
+#: Words with at least this share of all words enter the lexicon: 1 / share words at most.
+LEXICON_SHARE = 2.5e-6
 CACHE_SIZE = 400_000
 # The public pattern that splits text before the merges of the 50k vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -187,8 +188,8 @@ def chunks(text: str) -> list[str]:
     return [*out, held] if held else out
 
 
-def frequent_words(df: DataFrame, text: str, path: str, size: int) -> DataFrame:
-    """(word, n) of the ``size`` most frequent words of all texts; ties by the word."""
+def frequent_words(df: DataFrame, text: str, path: str, share: float) -> DataFrame:
+    """(word, n) of the words that make up ``share`` or more of all words: 1 / share rows at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = ranks_of(path).split, Counter()
@@ -209,10 +210,12 @@ def frequent_words(df: DataFrame, text: str, path: str, size: int) -> DataFrame:
         yield give()
 
     parts = df.select(F.col(text).cast("string").alias("t")).where(F.length("t") > 0).mapInArrow(count, "word string, n bigint")
-    return parts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(size)
+    counts = cut_lineage(parts.groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= max(2.0, total * share))
 
 
-def encode(df: DataFrame, doc_id: str, text: str, path: str | None = None, lexicon_size: int = LEXICON_SIZE) -> DataFrame:
+def encode(df: DataFrame, doc_id: str, text: str, path: str | None = None, share: float = LEXICON_SHARE) -> DataFrame:
     """(``doc_id`` bigint, ``ids`` array<int>), one row for each row of ``df``.
 
     Null and empty texts give an empty list; blank texts are encoded like any
@@ -222,7 +225,7 @@ def encode(df: DataFrame, doc_id: str, text: str, path: str | None = None, lexic
     path = path or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     spark = df.sparkSession
     ranks = ranks_of(path)
-    words = [r["word"] for r in frequent_words(df, text, path, lexicon_size).collect()]  # at most lexicon_size rows
+    words = [r["word"] for r in frequent_words(df, text, path, share).collect()]  # 1 / share rows at most
     uri = write_shared(spark, "lexicon.bin", pack(compile_lexicon({w: ranks.merge(w) for w in words})))
     name = f"lexicon-{uri.rsplit('/', 2)[-2]}.bin"
     shared = uri.removeprefix("file://") if uri.startswith("file:") else None
