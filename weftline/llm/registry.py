@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import copies, pieces, quality, tokens
+from . import copies, leaks, pieces, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": pieces.p5_found,
         "p5_pieces": pieces.p5_pieces,
         "p6_ids": tokens.p6_ids,
+        "p7_found": leaks.p7_found,
+        "p7_overlaps": leaks.p7_overlaps,
     }
 
 
