@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import copies, leaks, pieces, quality, tokens
+from . import copies, leaks, pieces, quality, splits, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": copies.p1_found,
         "p1_groups": copies.p1_groups,
+        "p3_found": splits.p3_found,
+        "p3_report": splits.p3_report,
         "p4_found": quality.p4_found,
         "p4_statistics": quality.p4_statistics,
         "p5_found": pieces.p5_found,
