@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import copies, leaks, pieces, quality, splits, tokens
+from . import content, copies, leaks, pieces, quality, splits, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_ids": tokens.p6_ids,
         "p7_found": leaks.p7_found,
         "p7_overlaps": leaks.p7_overlaps,
+        "p8_found": content.p8_found,
+        "p8_scores": content.p8_scores,
+        "p8_rates": content.p8_rates,
     }
 
 
