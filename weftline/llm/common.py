@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-_MARKS = re.compile("[̀-ͯ]")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,43 +74,35 @@ def side_of(split: Column) -> Column:
     return F.when(s == "train", "train").when(s.isin("validation", "test"), "eval")
 
 
-def fit_votes(votes: np.ndarray, counts: np.ndarray, n_classes: int, prior: np.ndarray, accuracy: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expectation-maximization over the distinct vote patterns of labelling functions.
+def fit_votes(counts: list[tuple[str, float]], tables: list[np.ndarray], prior: np.ndarray, anchor: float = 0.25, rounds: int = 60) -> tuple[dict[str, np.ndarray], list[np.ndarray], np.ndarray]:
+    """Expectation-maximization over the distinct patterns of labelling functions' votes.
 
-    ``votes`` is (patterns, functions) with -1 for abstaining, else a class;
-    ``counts`` has the number of rows of each pattern. Returns posteriors
-    (patterns, classes), the confusion (functions, classes, classes) with
-    P(vote | class, not abstaining), and the class prior. A pattern in which all
-    abstain gets the prior.
+    A pattern has one digit for each function, the bin it votes; ``tables`` hold
+    what is assumed of P(bin | class), (classes, bins) each. They weigh as much as
+    the share ``anchor`` of the rows, so that a rare class keeps its meaning while the functions'
+    accuracies are learned from their agreement. Returns the posterior of every
+    pattern, the learned tables and the learned prior.
     """
-    m = votes.shape[1] if votes.ndim == 2 else 0
-    off = (1 - accuracy) / max(1, n_classes - 1)
-    start = np.full((n_classes, n_classes), off) + np.eye(n_classes) * (accuracy - off)
-    conf, pi = np.repeat(start[None], m, 0), prior.astype(float).copy()
-    post = np.repeat(pi[None], len(votes), 0)
-    onehot = [np.stack([(votes[:, j] == k) for k in range(n_classes)], 1).astype(float) for j in range(m)]
+    tables = [np.asarray(t, float) for t in tables]
+    if not counts:
+        return {}, tables, prior
+    votes = np.array([[int(c) for c in p] for p, _ in counts])
+    n = np.array([c for _, c in counts], float)
+    start = [t.copy() for t in tables]
+    pi, post = prior.copy(), None
+    strength = 40 + anchor * n.sum()
     for _ in range(rounds):
-        log = np.repeat(np.log(np.maximum(pi, 1e-12))[None], len(votes), 0)
-        for j in range(m):
-            log += onehot[j] @ np.log(conf[j]).T
+        log = np.log(pi)[None] + sum(np.log(t[:, votes[:, j]]).T for j, t in enumerate(tables))
         log -= log.max(1, keepdims=True)
         new = np.exp(log)
         new /= new.sum(1, keepdims=True)
-        if np.abs(new - post).max(initial=0.0) < 1e-7:
-            post = new
+        if post is not None and np.abs(new - post).max() < 1e-6:
             break
         post = new
-        weight = post * counts[:, None]
-        pi = (weight.sum(0) + 10 * prior) / (weight.sum() + 10)
-        for j in range(m):
-            # pseudo-counts keep a function near its assumed accuracy until data speak
-            table = weight.T @ onehot[j] + 20 * start
-            conf[j] = table / table.sum(1, keepdims=True)
-    return post, conf, pi
-
-
-def file_of(uri: str) -> str:
-    """The local path of a shared file on an executor (a copy that Spark fetched)."""
-    from pyspark import SparkFiles
-
-    return SparkFiles.get(os.path.basename(uri))
+        weight = post * n[:, None]
+        pi = (weight.sum(0) + 10 * prior) / (n.sum() + 10)
+        for j, s in enumerate(start):
+            seen = np.stack([weight[votes[:, j] == k].sum(0) for k in range(s.shape[1])], 1)
+            t = seen + strength * prior[:, None] * s + 5 * s
+            tables[j] = t / t.sum(1, keepdims=True)
+    return {p: row for (p, _), row in zip(counts, post)}, tables, pi

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fold, read
+from .common import cut_lineage, fit_votes, fold, read
 
 TYPES = ("prose", "list", "table", "junk")
 
@@ -213,31 +213,10 @@ def text_statistics(df: DataFrame, common: DataFrame, doc_id: str, text: str) ->
     return rows.mapInArrow(run, schema).dropDuplicates(["doc_id"])
 
 
-def fit(counts: list[tuple[str, int]], rounds: int = 50) -> dict[str, list[float]]:
+def fit(counts: list[tuple[str, int]]) -> dict[str, list[float]]:
     """The posterior of the types for every pattern of votes, by EM from the assumed tables."""
-    if not counts:
-        return {}
-    votes = np.array([[int(c) for c in p] for p, _ in counts])
-    n = np.array([c for _, c in counts], float)
-    tables = [np.array(t) for _, t in FUNCTIONS.values()]
-    start, prior = [t.copy() for t in tables], np.array(PRIOR)
-    pi, post = prior.copy(), None
-    strength = 40 + 0.25 * n.sum()  # the assumed tables weigh as much as this many texts
-    for _ in range(rounds):
-        log = np.log(pi)[None] + sum(np.log(t[:, votes[:, j]]).T for j, t in enumerate(tables))
-        log -= log.max(1, keepdims=True)
-        new = np.exp(log)
-        new /= new.sum(1, keepdims=True)
-        if post is not None and np.abs(new - post).max() < 1e-6:
-            break
-        post = new
-        weight = post * n[:, None]
-        pi = (weight.sum(0) + 10 * prior) / (n.sum() + 10)
-        for j, s in enumerate(start):
-            seen = np.stack([weight[votes[:, j] == k].sum(0) for k in range(s.shape[1])], 1)
-            t = seen + strength * prior[:, None] * s + 5 * s
-            tables[j] = t / t.sum(1, keepdims=True)
-    return {p: row.tolist() for (p, _), row in zip(counts, post)}
+    post, _, _ = fit_votes(counts, [np.array(t) for _, t in FUNCTIONS.values()], np.array(PRIOR))
+    return {p: row.tolist() for p, row in post.items()}
 
 
 def text_types(df: DataFrame, common: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, copies, leaks, pieces, quality, splits, tokens
+from . import content, copies, leaks, pairs, pieces, quality, splits, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": copies.p1_found,
         "p1_groups": copies.p1_groups,
+        "p2_found": pairs.p2_found,
+        "p2_labels": pairs.p2_labels,
         "p3_found": splits.p3_found,
         "p3_report": splits.p3_report,
         "p4_found": quality.p4_found,
