@@ -77,7 +77,7 @@ FUNCTIONS: dict[str, list[tuple[str, list[list[float]]]]] = {
         ("ending", [[0.72, 0.267, 0.012, 0.001], [0.02, 0.33, 0.15, 0.50]]),
         ("open_end", [[0.999, 0.001], [0.50, 0.50]]),
         ("unbalanced", [[0.999, 0.001], [0.80, 0.20]]),
-        ("part_of_word", [[0.998, 0.002], [0.65, 0.35]]),
+        ("part_of_word", [[0.9995, 0.0005], [0.65, 0.35]]),
     ],
 }
 PRIOR = {"refusal": 0.03, "copied": 0.03, "other_language": 0.03, "truncated": 0.04}
@@ -128,14 +128,14 @@ class Knowledge:
             n += 1
         return total / max(1, n), n
 
-    def end_share(self, w: list[str]) -> float | None:
-        """How often a label or sentence ends after the last words, by the longest context that is known."""
+    def end_share(self, w: list[str]) -> float:
+        """How often other labels or sentences end after the last words; long contexts lean on shorter ones."""
         c = _contexts(w, self.known)[-1].split(" ")
-        for k in range(3):
-            seen = self.ends.get(" ".join(c[k:]))
-            if seen:
-                return seen[1] / seen[0]
-        return None
+        share = 0.05
+        for k in (2, 1, 0):
+            n, e = self.ends.get(" ".join(c[k:]), (1, 1))
+            share = (e - 1 + 2 * share) / (n - 1 + 2)  # without this label itself
+        return share
 
 
 def votes(query: str | None, label: str, know: Knowledge) -> dict[str, str]:
@@ -190,7 +190,7 @@ def votes(query: str | None, label: str, know: Knowledge) -> dict[str, str]:
         ending = 0
     else:
         share = know.end_share(w)
-        ending = 2 if share is None else 1 if share >= 0.05 else 2 if share >= 0.012 else 3
+        ending = 1 if share >= 0.04 else 2 if share >= 0.012 else 3
     last = w[-1]
     small_last = last in know.common and not ended and not last.isdigit() and ending >= 2
     opened = int(_CUT.search(s) is not None or small_last)
