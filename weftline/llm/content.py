@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import read
 
 KINDS = ("abuse", "hate", "sexual")
-MOST_LABELLED, MOST_OTHER = 20_000, 4_000
+MOST_LABELLED, MOST_OTHER = 8_000, 3_000
 BITS = 20
-CUTOFF = 0.15
+CUTOFF = 0.1
 #: Weight of an example against that of a usual passage.
 POSITIVE = 8.0
 #: The log odds of a passage in which no word counts.
@@ -244,13 +244,17 @@ def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tu
     first = np.array([np.sort(value[p])[-4:].clip(0).sum() for p in rows]) / max(top, 1e-9)
     starts = np.searchsorted(owners, np.arange(len(docs) + 1))
     target, weight = np.zeros((len(rows), len(KINDS))), np.ones(len(rows))
-    r, keys = features(rows)
-    order = np.argsort(r, kind="stable")
-    keys, at_row = keys[order].astype(np.int32), np.searchsorted(r[order], np.arange(len(rows) + 1))
-    often = np.bincount(keys, minlength=1 << BITS) > 1  # a feature of one passage says nothing of others
-    keep = often[keys]
-    at_row = np.concatenate([[0], np.cumsum(keep)])[at_row]
+    lengths, parts = [], []
+    for a in range(0, len(rows), 4096):  # in blocks, for memory
+        r, f = features(rows[a : a + 4096])
+        order = np.argsort(r, kind="stable")
+        parts.append(f[order].astype(np.int32))
+        lengths.append(np.bincount(r, minlength=len(rows[a : a + 4096])))
+    keys, at_row = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+    keep = (np.bincount(keys, minlength=1 << BITS) > 1)[keys]  # a feature of one passage says nothing of others
+    at_row = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[at_row]
     keys = keys[keep]
+    del parts, keep
     by_passage: np.ndarray | None = None
     for round_no in range(ROUNDS):
         target[:], weight[:] = 0, 1
@@ -287,7 +291,7 @@ def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tu
         at, w = model.sparse()
         dense = np.zeros((len(KINDS), 1 << BITS), np.float32)
         dense[:, at] = w
-        by_passage = scores(rows, dense)
+        by_passage = np.concatenate([scores(rows[a : a + 4096], dense) for a in range(0, len(rows), 4096)])
     return vocabulary, at, w
 
 
