@@ -286,8 +286,7 @@ def query_prefix(spark, sf_dir):
 
 @query(S.with_(S.QUESTIONS, S.NMEMS) + "SELECT ex_id, array_to_string(list_transform(range(1, len(m) + 1), lambda k: 'Document ' || (k - 1) || ':' || repeat('<MEM>', m[k])), '') AS section FROM n")
 def doc_section(spark, sf_dir):
-    mems = F.transform(rag.doc_chunks(rag.kept_docs(RAG), RAG), lambda d: A.total(A.chunk_mems(d, RATE)))
-    return _questions(spark, sf_dir).select("ex_id", T.doc_section(mems).alias("section"))
+    return rag.with_docs(_questions(spark, sf_dir), RAG).select("ex_id", T.doc_section(F.col("n_mems")).alias("section"))
 
 
 @query(S.with_(S.QUESTIONS, S.NMEMS, S.PROMPTS) + "SELECT ex_id, usr AS prompt FROM pr")
@@ -296,8 +295,7 @@ def rag_prompt(spark, sf_dir):
 
 
 def _prompted(spark, sf_dir):
-    mems = F.transform(rag.doc_chunks(rag.kept_docs(RAG), RAG), lambda d: A.total(A.chunk_mems(d, RATE)))
-    return rag.prompts(_questions(spark, sf_dir), RAG, T.spaced_section(mems))
+    return rag.prompts(rag.with_docs(_questions(spark, sf_dir), RAG), RAG, T.spaced_section(F.col("n_mems")))
 
 
 @query(S.with_(S.QUESTIONS, S.NMEMS, S.PROMPTS) + "SELECT ex_id, chat FROM pr")
@@ -523,17 +521,17 @@ def f1_multiref(spark, sf_dir):
 
 @query(S.with_(S.PAIRS) + f"SELECT ex_id, {S.rouge('prediction', 'reference', 1)} AS rouge_1 FROM pa")
 def rouge1(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("ex_id", F.round(metrics.rouge_n(F.col("prediction"), F.col("reference"), 1), 6).alias("rouge_1"))
+    return metrics.with_rouge_n(metrics.with_words(_pairs(spark, sf_dir)), 1).select("ex_id", F.round("rouge_1", 6).alias("rouge_1"))
 
 
 @query(S.with_(S.PAIRS) + f"SELECT ex_id, {S.rouge('prediction', 'reference', 2)} AS rouge_2 FROM pa")
 def rouge2(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("ex_id", F.round(metrics.rouge_n(F.col("prediction"), F.col("reference"), 2), 6).alias("rouge_2"))
+    return metrics.with_rouge_n(metrics.with_words(_pairs(spark, sf_dir)), 2).select("ex_id", F.round("rouge_2", 6).alias("rouge_2"))
 
 
 @query(None)
 def rougeL(spark, sf_dir):  # noqa: N802
-    return _pairs(spark, sf_dir).select("ex_id", F.round(metrics.rouge_l(F.col("prediction"), F.col("reference")), 6).alias("rouge_l"))
+    return metrics.with_words(_pairs(spark, sf_dir)).select("ex_id", F.round(metrics.rouge_l("p_words", "r_words"), 6).alias("rouge_l"))
 
 
 @query(None)

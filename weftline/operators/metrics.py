@@ -75,10 +75,19 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, n), " ")))
 
 
-def rouge_n(prediction: Column, reference: Column, n: int) -> Column:
-    a, b = ngrams(words(prediction), n), ngrams(words(reference), n)
-    both = F.size(F.array_intersect(a, b))
-    return F.when(both > 0, 2 * both / (F.size(a) + F.size(b))).otherwise(0.0)
+def with_words(pairs: DataFrame) -> DataFrame:
+    """``p_words`` and ``r_words`` as columns of their own, so that no lambda splits a text again."""
+    return pairs.withColumns({"p_words": words(F.col("prediction")), "r_words": words(F.col("reference"))})
+
+
+def with_rouge_n(rows: DataFrame, *sizes: int) -> DataFrame:
+    """``rouge_n`` for each size, from ``p_words`` and ``r_words``."""
+    rows = rows.withColumns({f"{side}_{n}": ngrams(F.col(f"{side}_words"), n) for n in sizes for side in "pr"})
+    for n in sizes:
+        both = F.size(F.array_intersect(f"p_{n}", f"r_{n}"))
+        rows = rows.withColumn(f"both_{n}", both)
+    score = lambda n: F.when(F.col(f"both_{n}") > 0, 2 * F.col(f"both_{n}") / (F.size(f"p_{n}") + F.size(f"r_{n}"))).otherwise(0.0)
+    return rows.withColumns({f"rouge_{n}": score(n) for n in sizes}).drop(*(f"{x}_{n}" for n in sizes for x in ("p", "r", "both")))
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -97,7 +106,7 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return int(row[-1])
 
 
-def rouge_l(prediction: Column, reference: Column) -> Column:
+def rouge_l(p_words: Column | str, r_words: Column | str) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
@@ -106,14 +115,15 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
         return pd.Series(out, dtype=float)
 
     run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "double")(words(prediction), words(reference))
+    return F.pandas_udf(run, "double")(p_words, r_words)
 
 
 def pair_scores(pairs: DataFrame, key: str = "ex_id") -> DataFrame:
     """Every metric of every (prediction, reference); a key may have several pairs, which are told apart by their texts."""
     pairs = pairs.withColumn("pair", F.struct(key, F.xxhash64("prediction", "reference").alias("h")))
     p, r = F.col("prediction"), F.col("reference")
-    rows = pairs.select("pair", exact(p, r).alias("em"), contained(p, r).alias("m"), rouge_n(p, r, 1).alias("rouge_1"), rouge_n(p, r, 2).alias("rouge_2"), rouge_l(p, r).alias("rouge_l"))
+    rows = with_rouge_n(with_words(pairs), 1, 2)
+    rows = rows.select("pair", exact(p, r).alias("em"), contained(p, r).alias("m"), "rouge_1", "rouge_2", rouge_l("p_words", "r_words").alias("rouge_l"))
     return rows.join(f1_pairs(pairs.select("pair", "prediction", "reference"), "pair"), "pair").withColumn(key, F.col(f"pair.{key}")).drop("pair")
 
 

@@ -18,15 +18,20 @@ def kept_docs(c: Rag) -> Column:
     return F.transform(docs, lambda d: T.clean_text(d))
 
 
-def doc_chunks(docs: Column, c: Rag, tokenize: T.Tokenizer = T.space_tokens) -> Column:
-    """The chunks of every document: one truncated chunk, or fixed chunks up to ``n_max_chunks``."""
+def doc_chunks(tokens: Column, c: Rag) -> Column:
+    """The chunks of every document's tokens: one truncated chunk, or fixed chunks up to ``n_max_chunks``."""
     cmax = c.lengths.compressor_max
     if not c.chunk_docs:
-        return F.transform(docs, lambda d: F.array(A.head(tokenize(d), cmax)))
-    chunks = lambda d: A.fixed_chunks(tokenize(d), cmax, c.chunk_overlap)
-    if c.n_max_chunks is None:
-        return F.transform(docs, chunks)
-    return F.transform(docs, lambda d: F.slice(chunks(d), 1, c.n_max_chunks))
+        return F.transform(tokens, lambda d: F.array(A.head(d, cmax)))
+    chunks = F.transform(tokens, lambda d: A.fixed_chunks(d, cmax, c.chunk_overlap))
+    return chunks if c.n_max_chunks is None else F.transform(chunks, lambda d: F.slice(d, 1, c.n_max_chunks))
+
+
+def with_docs(questions: DataFrame, c: Rag, tokenize: T.Tokenizer = T.space_tokens) -> DataFrame:
+    """``by_doc`` and ``n_mems`` of each record; documents are tokenized once, in a column of their own."""
+    work = questions.withColumn("doc_tokens", F.transform(kept_docs(c), lambda d: tokenize(d)))
+    work = work.withColumn("by_doc", doc_chunks(F.col("doc_tokens"), c))
+    return work.withColumn("n_mems", F.transform("by_doc", lambda d: A.total(A.chunk_mems(d, c.lengths.rate)))).drop("doc_tokens")
 
 
 def prompts(questions: DataFrame, c: Rag, section: Column) -> DataFrame:
@@ -42,13 +47,11 @@ def rows(questions: DataFrame, c: Rag, tokenize: T.Tokenizer = T.space_tokens) -
     whose prompt fills the decoder keeps no loss (``n_loss`` 0). ``n_mems`` has one
     number for each document.
     """
-    sp, rate = c.specials, c.lengths.rate
-    work = questions.withColumn("by_doc", doc_chunks(kept_docs(c), c, tokenize))
-    work = work.withColumn("n_mems", F.transform("by_doc", lambda d: A.total(A.chunk_mems(d, rate))))
+    sp = c.specials
+    work = with_docs(questions, c, tokenize)
     work = prompts(work, c, T.spaced_section(F.col("n_mems"), sp.mem))
-    whole = T.render_chat(F.col("system"), F.col("user"), F.col("answer"))
-    opened = T.render_chat(F.col("system"), F.col("user"), F.lit(""))
-    work = work.withColumns({"decoder": A.head(tokenize(whole), c.lengths.decoder_max), "prefix": F.size(tokenize(opened))})
+    work = work.withColumns({"whole": T.render_chat(F.col("system"), F.col("user"), F.col("answer")), "opened": T.render_chat(F.col("system"), F.col("user"), F.lit(""))})
+    work = work.withColumns({"decoder": A.head(tokenize(F.col("whole")), c.lengths.decoder_max), "prefix": F.size(tokenize(F.col("opened")))})
     masked = A.mask_special(A.mask_prefix(F.col("decoder"), F.col("prefix"), sp.pad, c.margin), sp)
     work = work.withColumn("labels", F.when(F.col("answer").isNull(), F.transform("decoder", lambda x: F.lit(A.IGNORED))).otherwise(masked))
     return work.select(
