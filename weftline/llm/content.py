@@ -223,7 +223,7 @@ def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tu
             bad.update(own)
     # how much more often flagged documents hold a word than documents at large
     share = max(1, flagged.sum()) / max(1, len(docs))
-    support = min(0.3, flagged.sum() / 600)  # a word of one flagged document counts little where many are flagged
+    support = min(0.3, max(1, flagged.sum()) / 600)  # a word of one flagged document counts little where many are flagged
     odds = {w: math.log((bad[w] + support) / (count[w] * share + support)) for w in count if "*" not in w and w not in (NUMBER, RARE)}
     kept = {w: v for w, v in odds.items() if count[w] > 1 or bad[w]}
     top = math.log(1 / max(share, 1e-9))  # the odds of a word in flagged documents only

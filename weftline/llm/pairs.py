@@ -31,6 +31,8 @@ LANGUAGES = ("en", "de", "fr", "es")
 #: A word counts from this share of the records (and 4 of them), a context from this share of all contexts (and 3).
 WORD_SHARE, WORD_LEAST = 2e-4, 4
 CONTEXT_SHARE, CONTEXT_LEAST = 5e-6, 3
+#: Records in other languages that it takes to weigh words for a language.
+OUTSIDE_LEAST = 30
 
 # Turns of phrase that decline to answer, in the four languages.
 REFUSAL = re.compile(
@@ -122,9 +124,9 @@ class Knowledge:
         total, n = 0.0, 0
         for x in w:
             v = self.by_language.get(x)
-            if v is None:
+            if v is None or lang not in v:
                 continue
-            total += v.get(lang, 0.0)
+            total += v[lang]
             n += 1
         return total / max(1, n), n
 
@@ -223,6 +225,8 @@ def learn(pairs: DataFrame, common: dict[str, dict[str, float]]) -> Knowledge:
         own = {x["lang"]: x["n"] for x in r["by"]}
         value = {}
         for lang in LANGUAGES:
+            if total - totals.get(lang, 0) < OUTSIDE_LEAST:
+                continue  # nothing to tell this language from; only the lists of small words vote then
             # six imagined records keep a word that few pairs have near no evidence
             part = totals.get(lang, 0) / max(1, total)
             inside = (own.get(lang, 0) + 6 * part + 0.01) / (totals.get(lang, 0) + 6)
