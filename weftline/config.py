@@ -78,7 +78,7 @@ class Rag:
     topk_docs: int | None = 5
     margin: int = 4
     system_prompt: str = "Use the documents to answer the question in a few words."
-    user_prompt: str = "Documents: [documents]\nQuestion: [question]"
+    user_prompt: str = "Documents: [documents] \n Question: [question]"
 
     def __post_init__(self) -> None:
         if self.chunk_docs and self.query_dependent:

@@ -24,32 +24,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df
 
 
-def records(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The declared columns, a record delivered again once. Rows are equal but for their delivery, so any of them will do."""
-    names = list(SCHEMAS[table])
-    return read(spark, sf_dir, table).select(*names).dropDuplicates(names[:1] if table != "pairs_in" else names)
+def records(spark: SparkSession, sf_dir: str, table: str, where: str | None = None) -> DataFrame:
+    """The declared columns of the rows wanted, a record delivered again once.
+
+    Deliveries of a record are equal in these columns, so that rows are compared as
+    a whole, by hash and without a sort; what is rejected is so before the shuffle.
+    """
+    df = read(spark, sf_dir, table).select(*SCHEMAS[table])
+    return (df if where is None else df.where(where)).distinct()
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of the pretraining records; null texts are rejected here."""
-    return records(spark, sf_dir, "pretrain_in").where("text is not null")
+    return records(spark, sf_dir, "pretrain_in", "text is not null")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ex_id, docs, query, label); rows without a query are rejected, null passages become empty ones and keep their place."""
     docs = F.coalesce(F.transform("docs", lambda d: F.coalesce(d, F.lit(""))), F.array().cast("array<string>"))
-    return records(spark, sf_dir, "rag_in").where("query is not null").withColumn("docs", docs)
+    return records(spark, sf_dir, "rag_in", "query is not null").withColumn("docs", docs)
 
 
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(traj_id, steps) of trajectories with steps; null steps become empty ones and keep their place."""
     steps = F.transform("steps", lambda s: F.coalesce(s, F.lit("")))
-    return records(spark, sf_dir, "traj_in").where("size(steps) > 0").withColumn("steps", steps)
+    return records(spark, sf_dir, "traj_in", "size(steps) > 0").withColumn("steps", steps)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ex_id, prediction, reference); pairs without a reference are rejected, a null prediction is an empty one."""
-    return records(spark, sf_dir, "pairs_in").where("reference is not null").withColumn("prediction", F.coalesce("prediction", F.lit("")))
+    return records(spark, sf_dir, "pairs_in", "reference is not null").withColumn("prediction", F.coalesce("prediction", F.lit("")))
 
 
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
