@@ -38,7 +38,7 @@ POSITIVE = 8.0
 OFFSET = -4.0
 #: Rate, smoothing, L1 and L2 of FTRL-proximal.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.1, 0.1
-EPOCHS, ROUNDS, BATCH = 4, 3, 512
+EPOCHS, ROUNDS, BATCH = 2, 3, 512
 LONG, WINDOW, STRIDE = 40, 24, 12
 NUMBER, RARE = "#", "?"
 
@@ -46,15 +46,20 @@ NUMBER, RARE = "#", "?"
 LOOKALIKES = str.maketrans("аеорсухіѕјкмтвнԁһӏαοερνικτυ", "aeopcyxisjkmtbhdhlaoepviktu")
 SIGNS = str.maketrans("@$€!|", "aseil")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
-_SPLIT = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|\n+")
-_TOKEN = re.compile(r"[^\W_][\w*@$€!|'’-]*[\w*$€@]|[^\W_]")
+_SPLIT = re.compile(r"[.!?…][\"'”’»)]*\s+|\n+")
+_TOKEN = re.compile(r"[\w*@$€!|'’-]+")
+_EDGE = "_@!|'’-"
+_SPACED = re.compile(r"(?<!\w)\w[ \t]\w[ \t]\w(?!\w)")
 _REPEAT = re.compile(r"(.)\1+")
 _INNER = re.compile(r"['’_-]")
 _MARKS = re.compile("[̀-ͯ]")
 
 
 def plain(word: str) -> str:
-    """A word without disguise: no inner signs, repeats or accents; masked letters stay '*'."""
+    """A word without disguise: no inner signs, repeats or accents; masked letters stay '*'. Empty for signs alone."""
+    word = word.strip(_EDGE)
+    if not any(map(str.isalnum, word)):
+        return ""
     if word.isalpha() and word.isascii():
         return _REPEAT.sub(r"\1", word)
     if word.isdigit():
@@ -76,25 +81,25 @@ class Tokens:
     """Passages of a text as plain words; what a word becomes is kept."""
 
     def __init__(self) -> None:
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
 
     def passages(self, text: str) -> list[list[str]]:
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower() if not text.isascii() else text.lower()
         out, known = [], self.known
         if len(known) > 300_000:
             known.clear()
+        spaced = _SPACED.search(text) is not None
         for part in _SPLIT.split(text):
-            found = _TOKEN.findall(part)
-            if not found:
-                continue
-            if sum(len(x) == 1 for x in found) > 2:
-                found = _joined(found)
-            row = []
-            for x in found:
+            row: list[str] = []
+            for x in part.split():
                 w = known.get(x)
                 if w is None:
-                    w = known[x] = plain(x)
-                row.append(w)
+                    w = known[x] = tuple(filter(None, map(plain, _TOKEN.findall(x))))
+                row += w
+            if spaced:
+                row = _joined(row)
+            if not row:
+                continue
             if len(row) <= LONG:
                 out.append(row)
             else:
@@ -110,7 +115,7 @@ def _joined(found: list[str]) -> list[str]:
         if len(x) == 1 and x.isalpha():
             run.append(x)
             continue
-        out += ["".join(run)] if len(run) > 2 else run
+        out += [_REPEAT.sub(r"\1", "".join(run))] if len(run) > 2 else run
         run = []
         if x:
             out.append(x)
@@ -168,8 +173,8 @@ def features(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal for all kinds side by side, over a fixed offset."""
 
-    def __init__(self) -> None:
-        self.z, self.n = np.zeros((len(KINDS), 1 << BITS)), np.zeros((len(KINDS), 1 << BITS))
+    def __init__(self, size: int) -> None:
+        self.z, self.n = np.zeros((len(KINDS), size)), np.zeros((len(KINDS), size))
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[:, at], self.n[:, at]
@@ -253,7 +258,8 @@ def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tu
     keys, at_row = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
     keep = (np.bincount(keys, minlength=1 << BITS) > 1)[keys]  # a feature of one passage says nothing of others
     at_row = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[at_row]
-    keys = keys[keep]
+    hashed, keys = np.unique(keys[keep], return_inverse=True)  # features in use, numbered closely
+    keys = keys.astype(np.int32)
     del parts, keep
     by_passage: np.ndarray | None = None
     for round_no in range(ROUNDS):
@@ -285,10 +291,11 @@ def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tu
             target[a + best, kind] = 1
             weight[a + best] = POSITIVE
         used = np.flatnonzero(weight > 0)
-        model = Ftrl()
+        model = Ftrl(len(hashed))
         for epoch in range(EPOCHS):
             model.fit(at_row, keys, target, weight, used, seed=17 * round_no + epoch)
         at, w = model.sparse()
+        at = hashed[at]
         dense = np.zeros((len(KINDS), 1 << BITS), np.float32)
         dense[:, at] = w
         by_passage = np.concatenate([scores(rows[a : a + 4096], dense) for a in range(0, len(rows), 4096)])
