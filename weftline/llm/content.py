@@ -228,7 +228,7 @@ def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tu
             bad.update(own)
     # how much more often flagged documents hold a word than documents at large
     share = max(1, flagged.sum()) / max(1, len(docs))
-    support = min(0.3, max(1, flagged.sum()) / 600)  # a word of one flagged document counts little where many are flagged
+    support = min(1.0, max(1, flagged.sum()) / 600)  # a word of one flagged document counts little where many are flagged
     odds = {w: math.log((bad[w] + support) / (count[w] * share + support)) for w in count if "*" not in w and w not in (NUMBER, RARE)}
     kept = {w: v for w, v in odds.items() if count[w] > 1 or bad[w]}
     top = math.log(1 / max(share, 1e-9))  # the odds of a word in flagged documents only
@@ -236,7 +236,7 @@ def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tu
     numbered = [[[vocabulary.of(w) for w in p] for p in d] for d in docs]
     value = np.zeros(len(vocabulary.number))
     for w, v in kept.items():
-        value[vocabulary.number[w]] = v if bad[w] and count[w] > 1 else 0.3 * max(v, 0)
+        value[vocabulary.number[w]] = (v if v > 0.25 * top else 0) if bad[w] and count[w] > 1 else 0.3 * max(v, 0)
     rows: list[list[int]] = []
     owner: list[int] = []
     for k, d in enumerate(numbered):
@@ -261,6 +261,7 @@ def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tu
     hashed, keys = np.unique(keys[keep], return_inverse=True)  # features in use, numbered closely
     keys = keys.astype(np.int32)
     del parts, keep
+    least = 2.0 if flagged.sum() >= 500 else 1.6 if flagged.sum() >= 100 else 1.0  # telling words that an example must have
     by_passage: np.ndarray | None = None
     for round_no in range(ROUNDS):
         target[:], weight[:] = 0, 1
@@ -276,12 +277,12 @@ def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tu
                 weight[a:b] = np.where(doubt, 0, 1 if flags[k] <= 0.25 else 0.5)
                 continue
             if by_passage is None:
-                best, sure, kind = int(np.argmax(first[a:b])), first[a:b].max() >= (1.6 if flagged.sum() >= 100 else 1.0), kinds[k]
+                best, sure, kind = int(np.argmax(first[a:b])), first[a:b].max() >= least, kinds[k]
             else:
                 own = by_passage[a:b] if kinds[k] < 0 else by_passage[a:b, [kinds[k]]]
                 both = own.max(1) + 0.3 * np.minimum(first[a:b], 2)
                 best = int(np.argmax(both))
-                sure = own[best].max() >= 0.15 and both[best] >= 0.5
+                sure = own[best].max() >= 0.15 and first[a + best] >= 0.75 * least
                 kind = kinds[k] if kinds[k] >= 0 else int(np.argmax(by_passage[a + best]))
             rest = np.arange(b - a) != best
             weight[a:b] = np.where(rest & (first[a:b] > 0.8), 0, 0.5)
