@@ -53,14 +53,14 @@ FURNITURE = {
 FUNCTIONS: dict[str, tuple[list[float], list[list[float]]]] = {
     "common_share": ([0.08, 0.18], [[0.02, 0.08, 0.90], [0.60, 0.35, 0.05], [0.90, 0.08, 0.02], [0.80, 0.15, 0.05]]),
     "common_variety": ([0.40, 0.85], [[0.03, 0.07, 0.90], [0.70, 0.25, 0.05], [0.85, 0.12, 0.03], [0.85, 0.10, 0.05]]),
-    "final_lines": ([0.30, 0.70], [[0.10, 0.20, 0.70], [0.85, 0.10, 0.05], [0.90, 0.07, 0.03], [0.80, 0.10, 0.10]]),
+    "closed_lines": ([0.30, 0.70], [[0.10, 0.20, 0.70], [0.85, 0.10, 0.05], [0.90, 0.07, 0.03], [0.80, 0.10, 0.10]]),
     "cell_lines": ([0.20, 0.60], [[0.95, 0.04, 0.01], [0.85, 0.10, 0.05], [0.03, 0.07, 0.90], [0.90, 0.05, 0.05]]),
     "item_lines": ([0.30, 0.60], [[0.92, 0.06, 0.02], [0.02, 0.10, 0.88], [0.90, 0.07, 0.03], [0.85, 0.10, 0.05]]),
-    "furniture_share": ([0.12, 0.30], [[0.98, 0.018, 0.002], [0.979, 0.02, 0.001], [0.98, 0.019, 0.001], [0.55, 0.10, 0.35]]),
+    "furniture_share": ([0.12, 0.30], [[0.98, 0.018, 0.002], [0.994, 0.005, 0.001], [0.98, 0.019, 0.001], [0.50, 0.15, 0.35]]),
     "markup_share": ([0.30, 0.70], [[0.97, 0.02, 0.01], [0.97, 0.02, 0.01], [0.85, 0.10, 0.05], [0.75, 0.05, 0.20]]),
     "repeat_share": ([0.30, 0.60], [[0.97, 0.028, 0.002], [0.957, 0.04, 0.003], [0.947, 0.05, 0.003], [0.60, 0.10, 0.30]]),
-    "odd_share": ([0.15, 0.40], [[0.985, 0.014, 0.001], [0.96, 0.03, 0.01], [0.95, 0.04, 0.01], [0.40, 0.15, 0.45]]),
-    "symbol_ratio": ([0.12, 0.30], [[0.96, 0.03, 0.01], [0.80, 0.18, 0.02], [0.50, 0.40, 0.10], [0.60, 0.10, 0.30]]),
+    "odd_share": ([0.15, 0.40], [[0.9857, 0.014, 0.0003], [0.96, 0.03, 0.01], [0.95, 0.04, 0.01], [0.40, 0.15, 0.45]]),
+    "symbol_ratio": ([0.12, 0.30], [[0.966, 0.03, 0.004], [0.80, 0.18, 0.02], [0.50, 0.40, 0.10], [0.60, 0.10, 0.30]]),
     "mean_word": ([3.0, 14.0], [[0.01, 0.98, 0.01], [0.02, 0.93, 0.05], [0.10, 0.75, 0.15], [0.30, 0.40, 0.30]]),
 }
 PRIOR = (0.85, 0.05, 0.05, 0.05)
@@ -137,6 +137,7 @@ def measure(text: str, common: set[str]) -> tuple[list[float], list[float]]:
     lines = [x for x in text.splitlines() if x.strip()]
     k = max(1, len(lines))
     final = sum(x.rstrip()[-1] in ENDS for x in lines) / k
+    closed = sum(_FINAL.search(x.rstrip()) is not None for x in lines) / k
     tagged = "<" in text and _CELL_TAGS.search(text) is not None
     markup = sum(map(len, _TAGS.findall(text))) / max(1, len(text)) if "<" in text and not tagged else 0.0
     sign, cells = _delimiter(lines)
@@ -178,7 +179,7 @@ def measure(text: str, common: set[str]) -> tuple[list[float], list[float]]:
     repeat = 1 - len(pairs) / (len(bare) - 1) if len(bare) > 4 else 0.0
     furniture = (sum(b in FURNITURE or not b and t in "«»" for b, t in zip(bare, tokens))) / n
     stats = [float(len(tokens)), solid / n, symbols, final, known]
-    return stats, [known, varied, final, cells, items / k, max(furniture, furnished / k), markup, repeat, odd, symbols if not tagged else 0.0, solid / n]
+    return stats, [known, varied, closed, cells, items / k, max(furniture, furnished / k), markup, repeat, odd, symbols if not tagged else 0.0, solid / n]
 
 
 def bins(values: list[float]) -> str:

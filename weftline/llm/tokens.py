@@ -19,9 +19,11 @@ import io
 import json
 import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -226,12 +228,11 @@ def encode(df: DataFrame, doc_id: str, text: str, path: str | None = None, share
     spark = df.sparkSession
     ranks = ranks_of(path)
     words = [r["word"] for r in frequent_words(df, text, path, share).collect()]  # 1 / share rows at most
-    uri = write_shared(spark, "lexicon.bin", pack(compile_lexicon({w: ranks.merge(w) for w in words})))
-    name = f"lexicon-{uri.rsplit('/', 2)[-2]}.bin"
-    shared = uri.removeprefix("file://") if uri.startswith("file:") else None
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    uri = write_shared(spark, name, pack(compile_lexicon({w: ranks.merge(w) for w in words})))
+    shared = urlparse(uri).path if uri.startswith("file:") else None
     if shared is None:
         spark.sparkContext.addFile(uri)
-        name = "lexicon.bin"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ranks_of(path)
