@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W_]+")
+_SIGNS = re.compile(r"[^\w\s]+|_+")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,8 +63,8 @@ def fold(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters and digits, folded."""
-    return WORD.findall(fold(text))
+    """What stands between white space, folded and without signs: "l'eau" and "leau" are one word, "49.5" and "495" too."""
+    return _SIGNS.sub("", fold(text)).split()
 
 
 def side_of(split: Column) -> Column:
