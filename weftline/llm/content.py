@@ -242,12 +242,13 @@ def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tu
     for k, d in enumerate(numbered):
         rows += d
         owner += [k] * len(d)
-    owners = np.array(owner, np.int64)
+    n_docs, owners = len(docs), np.array(owner, np.int64)
+    del docs, numbered, owner  # the driver holds them once
     if not rows or not flagged.any():
         return vocabulary, np.zeros(0, np.int64), np.zeros((len(KINDS), 0), np.float32)
     # the four most telling words of a passage, so that long ones do not win by length
     first = np.array([np.sort(value[p])[-4:].clip(0).sum() for p in rows]) / max(top, 1e-9)
-    starts = np.searchsorted(owners, np.arange(len(docs) + 1))
+    starts = np.searchsorted(owners, np.arange(n_docs + 1))
     target, weight = np.zeros((len(rows), len(KINDS))), np.ones(len(rows))
     lengths, parts = [], []
     for a in range(0, len(rows), 4096):  # in blocks, for memory
@@ -256,16 +257,17 @@ def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tu
         parts.append(f[order].astype(np.int32))
         lengths.append(np.bincount(r, minlength=len(rows[a : a + 4096])))
     keys, at_row = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-    keep = (np.bincount(keys, minlength=1 << BITS) > 1)[keys]  # a feature of one passage says nothing of others
-    at_row = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[at_row]
-    hashed, keys = np.unique(keys[keep], return_inverse=True)  # features in use, numbered closely
-    keys = keys.astype(np.int32)
+    often = np.bincount(keys, minlength=1 << BITS) > 1  # a feature of one passage says nothing of others
+    hashed = np.flatnonzero(often)  # features in use, numbered closely
+    keep = often[keys]
+    at_row = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])[at_row]
+    keys = (np.cumsum(often, dtype=np.int32) - 1)[keys[keep]]
     del parts, keep
     least = 2.0 if flagged.sum() >= 500 else 1.6 if flagged.sum() >= 100 else 1.0  # telling words that an example must have
     by_passage: np.ndarray | None = None
     for round_no in range(ROUNDS):
         target[:], weight[:] = 0, 1
-        for k in range(len(docs)):
+        for k in range(n_docs):
             a, b = starts[k], starts[k + 1]
             if a == b:
                 continue
