@@ -360,6 +360,33 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert run() == whole and len(whole) == 30
 
 
+def test_tags_change_no_word(spark):
+    w = words(prose(8, random.Random(31)))[:45]
+    part = list(w)
+    part[11], part[24], part[37] = "345", "741", "862"
+    text = "Before it. " + " ".join(part[:13]) + ".<br/>\n" + " ".join(part[13:30]) + '.<br class="x">\n<b>' + " ".join(part[30:]) + "</b>.<br/>\nAnd after."
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(2, " ".join(w))], "item_id bigint, text string")
+    assert [tuple(r) for r in leaks.contained(d, i, "doc_id", "text", "item_id", "text").collect()] == [(2, 1, 45)]
+    assert leaks.words("a <b and c> if x<3 &amp; y>2, AT&T") == ["a", "b", "and", "c", "if", "x3", "y2", "att"]
+
+
+def test_passages_against_brute_force():
+    """Changed words alone: on every diagonal, stretches that begin and end intact, no two changed in a row."""
+    rng = random.Random(17)
+    for _ in range(300):
+        a = list(range(rng.randint(15, 60)))
+        b = [x if rng.random() > rng.choice([0.05, 0.12, 0.3]) else -2 for x in a]
+        best = [0] * (len(a) + 1)
+        for q in range(len(a)):
+            best[q + 1] = best[q]
+            for p in range(q - 13):
+                bad = [k for k in range(p, q + 1) if b[k] < 0]
+                if b[p] >= 0 and b[q] >= 0 and 10 * len(bad) <= q + 1 - p and all(y - x > 1 for x, y in zip(bad, bad[1:])):
+                    best[q + 1] = max(best[q + 1], best[p] + q + 1 - p)
+        assert leaks.overlap(a, b, [(k, k) for k in range(len(a)) if b[k] >= 0]) == best[-1]
+
+
 # -- 8 ----------------------------------------------------------------------------------
 
 

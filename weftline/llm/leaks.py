@@ -15,6 +15,8 @@ is broadcast and held against all documents.
 
 from __future__ import annotations
 
+import html
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, words
+from .common import read
+from .common import words as signless
 
 SHINGLE = 5
 LEAST_WORDS, LEAST_PASSAGE, CHANGED = 25, 15, 0.1
@@ -32,6 +35,17 @@ MIN_HITS = 3
 #: Words of all items in one block: what is broadcast at once.
 BLOCK_WORDS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_TAG = re.compile(r"""<!--.*?-->|</?[a-z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))*\s*/?>""", re.I | re.S)
+_ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]\w{1,30});")
+
+
+def words(text: str) -> list[str]:
+    """Words without signs; tags are white space, so that none is glued to a word, and entities are what they stand for."""
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
+    return signless(text)
 
 
 def _hashes(ids: np.ndarray) -> np.ndarray:
@@ -93,61 +107,55 @@ def _numbers(texts: list[str | None], vocabulary: dict[str, int]) -> tuple[np.nd
     return np.array(flat, np.int64), np.array([*starts, len(flat)], np.int64)
 
 
-def _extend(a: list[int], b: list[int], i: int, j: int, step: int) -> tuple[list[tuple[int, int]], int, int]:
-    """Matched places from (i, j) on in one direction, over single changed, added or missing words."""
+def _extend(a: list[int], b: list[int], i: int, j: int, step: int) -> list[tuple[int, int]]:
+    """Matched places from (i, j) on in one direction, over single changed, added or missing words.
+
+    A changed word needs one intact word behind it, an added or missing one three, as it
+    moves all that follows; the longest stretch behind decides, a changed word first.
+    """
     out = []
     na, nb = len(a), len(b)
 
-    def same(x: int, y: int) -> bool:
-        return 0 <= x < na and 0 <= y < nb and a[x] == b[y] and a[x] >= 0
+    def run(x: int, y: int) -> int:
+        n = 0
+        while n < LEAST_PASSAGE and 0 <= x < na and 0 <= y < nb and a[x] == b[y]:
+            x, y, n = x + step, y + step, n + 1
+        return n
 
     while True:
-        if same(i, j):
+        while 0 <= i < na and 0 <= j < nb and a[i] == b[j]:
             out.append((i, j))
             i, j = i + step, j + step
-            continue
-        for di, dj in ((1, 1), (0, 1), (1, 0)):
+        most, to = 0, None
+        for di, dj, least in ((1, 1, 1), (0, 1, 3), (1, 0, 3)):
             x, y = i + di * step, j + dj * step
-            if same(x, y) and same(x + step, y + step) and same(x + 2 * step, y + 2 * step):
-                i, j = x, y
-                break
-        else:
-            return out, i, j
+            if (n := run(x, y)) >= least and n > most:
+                most, to = n, (x, y)
+        if to is None:
+            return out
+        i, j = to
 
 
 def passages(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(item from, to, text from, to, words) of the passages through the seeds; changed words inside count."""
+    """(item from, to, text from, to, words) of the passages through the seeds; changed words inside count.
+
+    Every stretch of intact runs is one that has the least length and at most one changed word in ten.
+    """
     done: set[tuple[int, int]] = set()
     found = []
     for i, j in seeds:
         if (i, j) in done:
             continue
-        right, _, _ = _extend(a, b, i, j, 1)
-        left, _, _ = _extend(a, b, i - 1, j - 1, -1)
-        chain = left[::-1] + right
-        if not chain:
-            continue
+        chain = _extend(a, b, i - 1, j - 1, -1)[::-1] + _extend(a, b, i, j, 1)
         done.update(chain)
-        # shorten at the poorer end until one word in ten at most is changed
-        lo, hi = 0, len(chain)
-
-        def changed(p: int, q: int) -> int:
-            return max(chain[q - 1][0] - chain[p][0], chain[q - 1][1] - chain[p][1]) + 1 - (q - p)
-
-        while hi - lo > 1 and changed(lo, hi) > CHANGED * (hi - lo):
-            left_run, right_run = 1, 1
-            while lo + left_run < hi and chain[lo + left_run] == (chain[lo][0] + left_run, chain[lo][1] + left_run):
-                left_run += 1
-            while hi - 1 - right_run >= lo and chain[hi - 1 - right_run] == (chain[hi - 1][0] - right_run, chain[hi - 1][1] - right_run):
-                right_run += 1
-            if left_run <= right_run:
-                lo += left_run
-            else:
-                hi -= right_run
-        if hi > lo:
-            (i0, j0), (i1, j1) = chain[lo], chain[hi - 1]
-            if (n := min(i1 - i0, j1 - j0) + 1) >= LEAST_PASSAGE:
-                found.append((i0, i1, j0, j1, n))
+        at = [0, *(k for k in range(1, len(chain)) if chain[k] != (chain[k - 1][0] + 1, chain[k - 1][1] + 1)), len(chain)]
+        for p, lo in enumerate(at[:-1]):
+            i0, j0 = chain[lo]
+            for hi in at[p + 1 :]:
+                i1, j1 = chain[hi - 1]
+                n, wide = min(i1 - i0, j1 - j0) + 1, max(i1 - i0, j1 - j0) + 1
+                if n >= LEAST_PASSAGE and wide - (hi - lo) <= CHANGED * n:
+                    found.append((i0, i1, j0, j1, n))
     return found
 
 
