@@ -417,6 +417,17 @@ def test_content_on_held_out_documents(spark):
     assert got[5000] is None and got[5003] is None
 
 
+def test_words_are_counted_in_all_documents(spark):
+    rng = random.Random(41)
+    texts = [prose(3, rng) + rng.choice(["", " It's gr*mf!", " g r u m f. And 'so'", "\nЕnd… of it"]) for _ in range(3500)] + [None, "", " "]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    vocabulary = {w for t in texts[:40] for w in content.Tokens().distinct(t)}
+    want = Counter(w for t in texts if t for w in {w for p in content.Tokens().passages(t) for w in p} & vocabulary)
+    count, total = content.document_counts(d, vocabulary)
+    assert total == 3502 and count == want
+    assert content.document_counts(d.limit(0), vocabulary) == (dict.fromkeys(vocabulary, 0), 0)
+
+
 def test_content_without_verdicts(spark):
     d = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id bigint, text string")
     y = spark.createDataFrame([], "doc_id bigint, flagged int, kind string")

@@ -5,12 +5,12 @@ one model for each kind, with per-coordinate rates and L1 sparsity; the non-zero
 weights are broadcast and every document is scored by its worst passage.
 
 The model is fit on reviewers' verdicts (at most ``MOST_LABELLED`` documents, a
-hash sample beyond that) and on as bounded a sample of other documents
-(``MOST_OTHER``), which tells what is usual. Verdicts are given for documents, of
-which mostly one sentence counts, and some are wrong: training starts from the log
-odds of words between flagged and all documents, takes the passage of a flagged
-document that scores highest as its example, refits, and leaves out verdicts that
-the fit contradicts. Every document is scored.
+hash sample beyond that). What is usual is told by the number of documents that hold
+a word, counted over all documents for the words of the labelled ones. Verdicts are
+given for documents, of which mostly one sentence counts, and some are wrong: training
+starts from the log odds of words between flagged and all documents, takes the passage
+of a flagged document that scores highest as its example, refits, and leaves out
+verdicts that the fit contradicts. Every document is scored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 KINDS = ("abuse", "hate", "sexual")
-MOST_LABELLED, MOST_OTHER = 8_000, 3_000
+MOST_LABELLED = 8_000
 BITS = 20
 CUTOFF = 0.1
 #: Weight of an example against that of a usual passage.
@@ -77,14 +77,33 @@ def plain(word: str) -> str:
     return _REPEAT.sub(lambda m: m[0] if m[1] == "*" else m[1], w) or NUMBER
 
 
+def _folded(text: str) -> str:
+    return _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower() if not text.isascii() else text.lower()
+
+
 class Tokens:
     """Passages of a text as plain words; what a word becomes is kept."""
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[str, ...]] = {}
 
+    def distinct(self, text: str) -> set[str]:
+        """The different words of all passages."""
+        text = _folded(text)
+        if _SPACED.search(text) is not None:
+            return {w for p in self.passages(text) for w in p}
+        known, out = self.known, set()
+        if len(known) > 300_000:
+            known.clear()
+        for x in set(text.split()):
+            w = known.get(x)
+            if w is None:
+                w = known[x] = tuple(filter(None, map(plain, _TOKEN.findall(x))))
+            out.update(w)
+        return out
+
     def passages(self, text: str) -> list[list[str]]:
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower() if not text.isascii() else text.lower()
+        text = _folded(text)
         out, known = [], self.known
         if len(known) > 300_000:
             known.clear()
@@ -213,21 +232,22 @@ def scores(rows: list[list[int]], dense: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(labelled: list[tuple[str, float, str | None]], other: list[str]) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    """Vocabulary and sparse weights from (text, share of verdicts that flag, kind) and texts without a verdict."""
+def train(labelled: list[tuple[str, float, str | None]], count: dict[str, int], total: int) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """Vocabulary and sparse weights from (text, share of verdicts that flag, kind).
+
+    ``count`` holds for every word of these texts how many of all ``total`` documents have it.
+    """
     tokens = Tokens()
-    docs = [tokens.passages(t) for t, _, _ in labelled] + [tokens.passages(t) for t in other]
-    flags = np.array([f for _, f, _ in labelled] + [np.nan] * len(other), float)
-    kinds = [KINDS.index(k) if k in KINDS else -1 for _, _, k in labelled] + [-1] * len(other)
+    docs = [tokens.passages(t) for t, _, _ in labelled]
+    flags = np.array([f for _, f, _ in labelled], float)
+    kinds = [KINDS.index(k) if k in KINDS else -1 for _, _, k in labelled]
     flagged = flags > 0.5
-    count, bad = Counter(), Counter()
+    bad = Counter()
     for d, f in zip(docs, flagged):
-        own = {w for p in d for w in p}
-        count.update(own)
         if f:
-            bad.update(own)
+            bad.update({w for p in d for w in p})
     # how much more often flagged documents hold a word than documents at large
-    share = max(1, flagged.sum()) / max(1, len(docs))
+    share = max(1, flagged.sum()) / max(1, total)
     support = min(1.0, max(1, flagged.sum()) / 600)  # a word of one flagged document counts little where many are flagged
     odds = {w: math.log((bad[w] + support) / (count[w] * share + support)) for w in count if "*" not in w and w not in (NUMBER, RARE)}
     kept = {w: v for w, v in odds.items() if count[w] > 1 or bad[w]}
@@ -314,6 +334,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(verdicts), "doc_id").select("doc_id", "text", "share", "kind")
 
 
+def document_counts(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
+    """How many of all documents hold each word of the (bounded) vocabulary, and how many have a text."""
+    names = sorted(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(names)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, tokens, seen = sent.value, Tokens(), np.zeros(len(sent.value) + 1, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seen[-1] += 1
+                own = [number[w] for w in tokens.distinct(t) if w in number]
+                seen[own] += 1
+        k = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(seen[k])], ["k", "n"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = texts.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    found = {r["k"]: r["n"] for r in rows}
+    total = found.pop(len(names), 0)
+    return {w: found.get(k, 0) for k, w in enumerate(names)}, total
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, kind, abuse, hate, sexual): one row for each row of ``doc_id, text``.
 
@@ -324,13 +366,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels).dropDuplicates(["doc_id"]).collect()  # bounded by MOST_LABELLED
     sample.sort(key=lambda r: r["doc_id"])
-    names = [r["doc_id"] for r in sample]
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_003))
-    part = min(1.0, MOST_OTHER / max(1, docs.where("doc_id is not null").count()))
-    other = docs.select("doc_id", "text").where((bucket < int(1_000_003 * part)) & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).collect()  # bounded by MOST_OTHER
-    other.sort(key=lambda r: r["doc_id"])
-    held = set(names)
-    vocabulary, at, w = train([(r["text"], r["share"], r["kind"]) for r in sample], [r["text"] for r in other if r["doc_id"] not in held])
+    count, total = document_counts(docs, set().union(*map(Tokens().distinct, (r["text"] for r in sample))))
+    vocabulary, at, w = train([(r["text"], r["share"], r["kind"]) for r in sample], count, total)
     sent = spark.sparkContext.broadcast((vocabulary, at, w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
