@@ -428,6 +428,23 @@ def test_words_are_counted_in_all_documents(spark):
     assert content.document_counts(d.limit(0), vocabulary) == (dict.fromkeys(vocabulary, 0), 0)
 
 
+def test_examples_do_not_depend_on_size():
+    """The same share of flagged documents with two telling words teaches, however many they are."""
+    for n in (200, 400, 600):
+        rng = random.Random(n)
+        labelled = [(prose(2, rng) + " Grumf zorkel.", 1.0, "abuse") for _ in range(n)] + [(prose(2, rng), 0.0, None) for _ in range(n)]
+        held = Counter(w for t, _, _ in labelled for w in content.Tokens().distinct(t))
+        vocabulary, at, w = content.train(labelled, {x: c if x in ("grumf", "zorkel") else 20 * c for x, c in held.items()}, 40 * n)
+        dense = content.np.zeros((3, 1 << content.BITS), content.np.float32)
+        dense[:, at] = w
+        assert content.scores([[vocabulary.of("grumf"), vocabulary.of("zorkel")]], dense)[0, 0] > content.CUTOFF, n
+
+
+def test_telling_words_need_support():
+    assert content.telling(1, 0.01) < content.telling(3, 0.1) < content.telling(30, 1)
+    assert content.telling(10, 10) < 0
+
+
 def test_content_without_verdicts(spark):
     d = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id bigint, text string")
     y = spark.createDataFrame([], "doc_id bigint, flagged int, kind string")

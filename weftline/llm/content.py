@@ -34,6 +34,12 @@ BITS = 20
 CUTOFF = 0.1
 #: Weight of an example against that of a usual passage.
 POSITIVE = 8.0
+#: Added to the counts of documents behind the odds of a word, and the errors that its lower bound lies below.
+SUPPORT, ERRORS = 0.5, 0.5
+#: A word tells from this bound on, if so many times more flagged than other labelled documents hold it.
+FLOOR, PURE = 0.5, 2
+#: The summed bounds of its four most telling words that make a passage an example. One rule for every size.
+EVIDENCE = 2.5
 #: The log odds of a passage in which no word counts.
 OFFSET = -4.0
 #: Rate, smoothing, L1 and L2 of FTRL-proximal.
@@ -232,6 +238,14 @@ def scores(rows: list[list[int]], dense: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def telling(bad: float, expected: float) -> float:
+    """A lower bound of the log odds of a word that ``bad`` flagged documents hold where ``expected`` would by chance.
+
+    Rises with the odds and with the documents behind them, whatever the number of all documents.
+    """
+    return math.log((bad + SUPPORT) / (expected + SUPPORT)) - ERRORS / math.sqrt(bad + SUPPORT)
+
+
 def train(labelled: list[tuple[str, float, str | None]], count: dict[str, int], total: int) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     """Vocabulary and sparse weights from (text, share of verdicts that flag, kind).
 
@@ -242,21 +256,16 @@ def train(labelled: list[tuple[str, float, str | None]], count: dict[str, int],
     flags = np.array([f for _, f, _ in labelled], float)
     kinds = [KINDS.index(k) if k in KINDS else -1 for _, _, k in labelled]
     flagged = flags > 0.5
-    bad = Counter()
+    bad, good = Counter(), Counter()  # labelled documents that hold a word
     for d, f in zip(docs, flagged):
-        if f:
-            bad.update({w for p in d for w in p})
-    # how much more often flagged documents hold a word than documents at large
-    share = max(1, flagged.sum()) / max(1, total)
-    support = min(1.0, max(1, flagged.sum()) / 600)  # a word of one flagged document counts little where many are flagged
-    odds = {w: math.log((bad[w] + support) / (count[w] * share + support)) for w in count if "*" not in w and w not in (NUMBER, RARE)}
-    kept = {w: v for w, v in odds.items() if count[w] > 1 or bad[w]}
-    top = math.log(1 / max(share, 1e-9))  # the odds of a word in flagged documents only
-    vocabulary = Vocabulary(kept)
+        (bad if f else good).update({w for p in d for w in p})
+    share = flagged.sum() / max(1, total)
+    odds = {w: telling(bad[w], n * share) for w, n in count.items() if "*" not in w and w not in (NUMBER, RARE) and n > 1}  # others stay rare, as they are in new texts
+    vocabulary = Vocabulary(odds)
     numbered = [[[vocabulary.of(w) for w in p] for p in d] for d in docs]
     value = np.zeros(len(vocabulary.number))
-    for w, v in kept.items():
-        value[vocabulary.number[w]] = (v if v > 0.25 * top else 0) if bad[w] and count[w] > 1 else 0.3 * max(v, 0)
+    for w, v in odds.items():
+        value[vocabulary.number[w]] = v if v > FLOOR and bad[w] > PURE * good[w] else 0
     rows: list[list[int]] = []
     owner: list[int] = []
     for k, d in enumerate(numbered):
@@ -267,7 +276,7 @@ def train(labelled: list[tuple[str, float, str | None]], count: dict[str, int],
     if not rows or not flagged.any():
         return vocabulary, np.zeros(0, np.int64), np.zeros((len(KINDS), 0), np.float32)
     # the four most telling words of a passage, so that long ones do not win by length
-    first = np.array([np.sort(value[p])[-4:].clip(0).sum() for p in rows]) / max(top, 1e-9)
+    first = np.array([np.sort(value[p])[-4:].sum() for p in rows]) / EVIDENCE
     starts = np.searchsorted(owners, np.arange(n_docs + 1))
     target, weight = np.zeros((len(rows), len(KINDS))), np.ones(len(rows))
     lengths, parts = [], []
@@ -278,12 +287,12 @@ def train(labelled: list[tuple[str, float, str | None]], count: dict[str, int],
         lengths.append(np.bincount(r, minlength=len(rows[a : a + 4096])))
     keys, at_row = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
     often = np.bincount(keys, minlength=1 << BITS) > 1  # a feature of one passage says nothing of others
+    often[features([[0] * 4])[1]] = False  # nor does one of rare words alone
     hashed = np.flatnonzero(often)  # features in use, numbered closely
     keep = often[keys]
     at_row = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])[at_row]
     keys = (np.cumsum(often, dtype=np.int32) - 1)[keys[keep]]
     del parts, keep
-    least = 2.0 if flagged.sum() >= 500 else 1.6 if flagged.sum() >= 100 else 1.0  # telling words that an example must have
     by_passage: np.ndarray | None = None
     for round_no in range(ROUNDS):
         target[:], weight[:] = 0, 1
@@ -293,21 +302,21 @@ def train(labelled: list[tuple[str, float, str | None]], count: dict[str, int],
                 continue
             if not flagged[k]:
                 # what looks bad in documents without a clear verdict is left out
-                doubt = first[a:b] > 1.2 if by_passage is None else (by_passage[a:b].max(1) > 0.5) & (first[a:b] > 0.8)
+                doubt = first[a:b] > 0.75 if by_passage is None else (by_passage[a:b].max(1) > 0.5) & (first[a:b] > 0.5)
                 if flags[k] <= 0.25 and by_passage is None:
                     doubt[:] = False
                 weight[a:b] = np.where(doubt, 0, 1 if flags[k] <= 0.25 else 0.5)
                 continue
             if by_passage is None:
-                best, sure, kind = int(np.argmax(first[a:b])), first[a:b].max() >= least, kinds[k]
+                best, sure, kind = int(np.argmax(first[a:b])), first[a:b].max() >= 1, kinds[k]
             else:
                 own = by_passage[a:b] if kinds[k] < 0 else by_passage[a:b, [kinds[k]]]
-                both = own.max(1) + 0.3 * np.minimum(first[a:b], 2)
+                both = own.max(1) + 0.4 * np.minimum(first[a:b], 1.25)
                 best = int(np.argmax(both))
-                sure = own[best].max() >= 0.15 and first[a + best] >= 0.75 * least
+                sure = own[best].max() >= 0.15 and first[a + best] >= 0.75
                 kind = kinds[k] if kinds[k] >= 0 else int(np.argmax(by_passage[a + best]))
             rest = np.arange(b - a) != best
-            weight[a:b] = np.where(rest & (first[a:b] > 0.8), 0, 0.5)
+            weight[a:b] = np.where(rest & (first[a:b] > 0.5), 0, 0.5)
             if kind < 0 or not sure:
                 weight[a + best] = 0
                 continue
