@@ -387,6 +387,19 @@ def test_passages_against_brute_force():
         assert leaks.overlap(a, b, [(k, k) for k in range(len(a)) if b[k] >= 0]) == best[-1]
 
 
+def test_tokens_of_every_allowed_change():
+    """However rare the shingles are, 25 words with two changed ones hold MIN_HITS tokens."""
+    rng = random.Random(5)
+    item = leaks.Items([(1, " ".join(f"w{k}" for k in range(25)))])
+    for _ in range(300):
+        item.choose(leaks.np.array([rng.randint(0, 99) for _ in item.all]))
+        place = item.place.tolist()
+        hits = lambda runs: sum(any(a <= p and p + leaks.SHINGLE <= b for a, b in runs) for p in place)
+        for x in range(1, 22):
+            for y in range(x + 2, 24):
+                assert hits([(0, x), (x + 1, y), (y + 1, 25)]) >= leaks.MIN_HITS
+
+
 # -- 8 ----------------------------------------------------------------------------------
 
 

@@ -2,9 +2,10 @@
 
 Method: a prefix-filtered set join. The shingles (five words) of the items are
 ordered by rarity, that is by the number of documents they occur in, counted over
-all documents. Of every three shingles in a row the rarest is a necessary token:
-seven intact words hold three shingles in a row, and a passage of 15 words with
-one changed word in ten keeps seven. Only these tokens are joined with the
+all documents. Of every two shingles in a row the rarer is a necessary token:
+six intact words hold two shingles in a row, and a passage of 15 words or more with
+one changed word in ten keeps six. A run of n intact words holds (n - 4) // 2 tokens
+or more, so 25 words in such passages hold four. Only these tokens are joined with the
 documents' shingles. A length bound (a document shorter than the least overlap
 has none) and a positional bound (at least ``MIN_HITS`` tokens at places that can
 lie in one order) thin the candidates, and each is verified word by word.
@@ -30,8 +31,8 @@ from .common import words as signless
 
 SHINGLE = 5
 LEAST_WORDS, LEAST_PASSAGE, CHANGED = 25, 15, 0.1
-WINDOW = 3
-MIN_HITS = 3
+WINDOW = 2
+MIN_HITS = 4
 #: Words of all items in one block: what is broadcast at once.
 BLOCK_WORDS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +78,7 @@ class Items:
         self.token = self.owner = self.place = None
 
     def choose(self, df: np.ndarray) -> None:
-        """Keep of every three shingles in a row the rarest; ties by the hash."""
+        """Keep of every ``WINDOW`` shingles in a row the rarest; ties by the hash."""
         token, owner, place = [], [], []
         for k, h in enumerate(self.hashes):
             rank = df[np.searchsorted(self.all, h)].astype(np.float64)
