@@ -1,40 +1,44 @@
 """Problem 7: held-out items that occur in documents, whole or in part.
 
 Method: a prefix-filtered set join. The shingles (five words) of the items are
-ordered by rarity, that is by the number of documents they occur in, counted over
-all documents. Of every two shingles in a row the rarer is a necessary token:
-six intact words hold two shingles in a row, and a passage of 15 words or more with
-one changed word in ten keeps six. A run of n intact words holds (n - 4) // 2 tokens
-or more, so 25 words in such passages hold four. Only these tokens are joined with the
-documents' shingles. A length bound (a document shorter than the least overlap
-has none) and a positional bound (at least ``MIN_HITS`` tokens at places that can
-lie in one order) thin the candidates, and each is verified word by word.
-
-Items are a stated query set: they are taken in blocks of bounded size, each block
-is broadcast and held against all documents.
+ordered by rarity, that is by the number of documents they occur in. Of every two
+shingles in a row the rarer is a necessary token: six intact words hold two shingles
+in a row, and a passage of 15 words or more with one changed word in ten keeps six.
+A run of n intact words holds (n - 4) // 2 tokens or more, so 25 words in such
+passages hold four. Items' tokens are joined with documents' shingles: in the tasks if
+the items have at most ``ITEM_WORDS`` words, which is checked, and by shuffle beyond. A
+length bound (the shingles that the least overlap shares) and the least number of
+tokens thin the candidates, and each is verified word by word.
+
+Texts are read and cut into words once, however many items there are: a filter of
+``FILTER_BITS`` bits over all items' shingles goes to the tasks, and documents with
+enough shingles that pass it are kept as word numbers, which all that follows reads.
+The filter only spares space; one full of items lets every document pass.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut_lineage, read
 from .common import words as signless
 
 SHINGLE = 5
 LEAST_WORDS, LEAST_PASSAGE, CHANGED = 25, 15, 0.1
-WINDOW = 2
-MIN_HITS = 4
-#: Words of all items in one block: what is broadcast at once.
-BLOCK_WORDS = 2_000_000
+#: Tokens (of every two shingles one) and shingles that the least overlap shares: n words with a tenth changed keep n - 5 n / 10 - 4 shingles.
+MIN_HITS, MIN_SHARED = 4, 11
+#: Bits of the filter that goes to the tasks (16 MB), and the tasks over which rows of a hot shingle or item are spread.
+FILTER_BITS, SALTS = 27, 16
+#: Words of all items up to which they are broadcast (40 MB).
+ITEM_WORDS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TAG = re.compile(r"""<!--.*?-->|</?[a-z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))*\s*/?>""", re.I | re.S)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]\w{1,30});")
@@ -65,45 +69,23 @@ def _hashes(ids: np.ndarray) -> np.ndarray:
     return np.where(good, np.maximum(h, np.uint64(1)), np.uint64(0))
 
 
-class Items:
-    """One block of items: word numbers, shingle hashes and, once rarity is known, the tokens to join."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids = [i for i, _ in rows]
-        self.vocabulary: dict[str, int] = {}
-        number = self.vocabulary.setdefault
-        self.words = [np.array([number(w, len(self.vocabulary)) for w in words(t or "")], np.int64) for _, t in rows]
-        self.hashes = [_hashes(w) for w in self.words]
-        self.all = np.unique(np.concatenate([*self.hashes, np.zeros(0, np.uint64)]))
-        self.token = self.owner = self.place = None
-
-    def choose(self, df: np.ndarray) -> None:
-        """Keep of every ``WINDOW`` shingles in a row the rarest; ties by the hash."""
-        token, owner, place = [], [], []
-        for k, h in enumerate(self.hashes):
-            rank = df[np.searchsorted(self.all, h)].astype(np.float64)
-            order = np.lexsort((h, rank))
-            pos = np.empty(len(h), np.int64)
-            pos[order] = np.arange(len(h))
-            chosen = {int(a + np.argmin(pos[a : a + WINDOW])) for a in range(max(1, len(h) - WINDOW + 1))} if len(h) else set()
-            for c in sorted(chosen):
-                token.append(h[c])
-                owner.append(k)
-                place.append(c)
-        order = np.argsort(np.array(token, np.uint64), kind="stable")
-        self.token = np.array(token, np.uint64)[order]
-        self.owner, self.place = np.array(owner, np.int64)[order], np.array(place, np.int64)[order]
-
-
-def _numbers(texts: list[str | None], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+class Numbers(dict):
+    """63-bit hashes of words, kept while there are not too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = n = xxhash.xxh3_64_intdigest(word) >> 1
+        return n
+
+
+def _numbers(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
     """The word numbers of all texts in one array, -1 after each text, and where each begins."""
     flat: list[int] = []
     starts = []
-    get = vocabulary.get
     for t in texts:
         starts.append(len(flat))
-        if t:
-            flat += [get(w, -2) for w in words(t)]
+        flat += map(numbers.__getitem__, words(t))
         flat.append(-1)
     return np.array(flat, np.int64), np.array([*starts, len(flat)], np.int64)
 
@@ -170,86 +152,141 @@ def overlap(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> int:
     return max(best, default=0)
 
 
+def seeds(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The places at which two sequences of word numbers have a shingle in common."""
+    x, y = _hashes(a), _hashes(b)
+    order = np.argsort(x, kind="stable")
+    lo, hi = np.searchsorted(x[order], y, "left"), np.searchsorted(x[order], y, "right")
+    return [(int(order[k]), w) for w in np.flatnonzero(hi > lo).tolist() for k in range(lo[w], hi[w])]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word numbers and shingles of items that have enough words."""
+    numbers = Numbers()
+    for b in batches:
+        ids, starts = _numbers(b.column(1).to_pylist(), numbers)
+        own = [ids[x : y - 1] for x, y in zip(starts, starts[1:])]
+        good = [len(x) >= LEAST_WORDS for x in own]
+        own = [x for x, g in zip(own, good) if g]
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), _lists(own), _lists([_hashes(x).view(np.int64) for x in own])], ["i", "item", "shingles"])
+
+
+def shingle_filter(held: DataFrame) -> np.ndarray:
+    """``FILTER_BITS`` bits, set at every shingle ``h``; put together by Spark, 4 KB a row."""
+    at = F.pmod("h", F.lit(1 << FILTER_BITS)) + 1
+    rows = held.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits"))
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in rows.collect():  # FILTER_BITS / 32,768 rows at most
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
+    return bits
+
+
 def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str) -> DataFrame:
     """(item_id bigint, doc_id bigint, n_words int): items that documents repeat, with the words repeated.
 
     Null, empty and blank items and texts never match; items with fewer than
-    ``LEAST_WORDS`` words cannot. Repeated rows give their pair once. Items are
-    collected block by block (a held-out set is small; each block holds at most
-    ``BLOCK_WORDS`` words, plus one item); documents stay distributed.
+    ``LEAST_WORDS`` words cannot. Repeated rows give their pair once. Both tables stay
+    distributed and may have any size; hot shingles and items are spread by a salt.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(doc_text).cast("string").alias("t")).where(F.length("t") > 0)
-    queries = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and length(t) > 0").dropDuplicates(["i"]).orderBy("i")
-    out = None
-    block: list[tuple[int, str]] = []
-    size = 0
-    parts = []
-    for row in queries.toLocalIterator():
-        block.append((row["i"], row["t"]))
-        size += row["t"].count(" ") + 1
-        if size >= BLOCK_WORDS:
-            parts.append(_block(spark, texts, block))
-            block, size = [], 0
-    parts.append(_block(spark, texts, block))
-    for part in parts:
-        out = part if out is None else out.unionByName(part)
-    return out.dropDuplicates(["item_id", "doc_id"])
-
-
-def _block(spark: SparkSession, texts: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
-    plain = Items(rows)
-    first = spark.sparkContext.broadcast(plain)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = first.value
-        total = np.zeros(len(own.all), np.int64)
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(doc_text).cast("string").alias("t")).where("d is not null and length(t) > 0")
+    queries = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and length(t) > 0").dropDuplicates(["i"])
+    given = cut_lineage(queries.mapInArrow(_words, "i bigint, item array<bigint>, shingles array<bigint>"))
+    held = given.select("i", F.posexplode("shingles").alias("place", "h"))
+    sent = docs.sparkSession.sparkContext.broadcast(shingle_filter(held))
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, numbers = sent.value, Numbers()
         for b in batches:
-            ids, starts = _numbers(b.column(1).to_pylist(), own.vocabulary)
+            ids, starts = _numbers(b.column(1).to_pylist(), numbers)
             h = _hashes(ids)
-            at = np.minimum(np.searchsorted(own.all, h), max(0, len(own.all) - 1))
-            hit = np.flatnonzero((own.all[at] == h) & (h > 0)) if len(own.all) and len(h) else np.zeros(0, np.int64)
-            doc = np.searchsorted(starts, hit, "right")
-            pairs = np.unique(doc * np.int64(len(own.all)) + at[hit])  # a document counts once for a shingle
-            np.add.at(total, pairs % max(1, len(own.all)), 1)
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
-
-    df = np.zeros(len(plain.all), np.int64)
-    for r in texts.mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most the block's shingles
-        df[r["k"]] = r["n"]
-    plain.choose(df)
-    chosen = spark.sparkContext.broadcast(plain)
+            at = h.view(np.int64) % (1 << FILTER_BITS)
+            hit = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (h != 0))
+            doc = np.searchsorted(starts, hit, "right") - 1
+            first, number = np.unique(doc, return_counts=True)
+            kept = first[(number >= MIN_SHARED) & (np.diff(starts)[first] > LEAST_WORDS)] if len(first) else first
+            own = [np.unique(h[hit[np.searchsorted(doc, k, "left") : np.searchsorted(doc, k, "right")]]).view(np.int64) for k in kept]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), _lists([ids[starts[k] : starts[k + 1] - 1] for k in kept]), _lists(own)], ["d", "doc", "shingles"])
+
+    found = texts.mapInArrow(hold, "d bigint, doc array<bigint>, shingles array<bigint>").withColumn("r", F.xxhash64("d", "doc"))
+    found = cut_lineage(found.dropDuplicates(["r"]))
+    often = found.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    ranked = held.join(often, "h", "left").select("i", "h", "place", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h").alias("rank"))
+    w = Window.partitionBy("i").orderBy("place")
+    rarer = (F.col("rank") <= F.lead("rank").over(w)) | (F.col("rank") < F.lag("rank").over(w))
+    tokens = cut_lineage(ranked.withColumn("chosen", F.coalesce(rarer, F.lit(True))).where("chosen").select("i", "h", "place"))
+    small = (given.agg(F.sum(F.size("item"))).first()[0] or 0) <= ITEM_WORDS
+    pairs = _held_in_tasks(found, given, tokens) if small else _joined(found, given, tokens)
+    return pairs.groupBy("item_id", "doc_id").agg(F.max("n_words").alias("n_words"))
+
+
+PAIRS = "item_id bigint, doc_id bigint, n_words int"
+
+
+def _rows(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*found)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["item_id", "doc_id", "n_words"])
+
+
+def _held_in_tasks(found: DataFrame, given: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The join with items of at most ``ITEM_WORDS`` words, which are broadcast: no document moves."""
+    items = {r["i"]: r["item"] for r in given.select("i", "item").collect()}
+    rows = tokens.select("h", "i", "place").sort("h").toArrow()
+    sent = found.sparkSession.sparkContext.broadcast((items, *(rows.column(k).to_numpy() for k in range(3))))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = chosen.value
-        token, item_words = own.token, [w.tolist() for w in own.words]
+        items, token, owner, place = sent.value
         for b in batches:
-            names = b.column(0).to_pylist()
-            ids, starts = _numbers(b.column(1).to_pylist(), own.vocabulary)
-            found: list[tuple[int, int, int]] = []
-            h = _hashes(ids)
-            if len(token) and len(h):
+            out = []
+            for d, doc in zip(b.column(0).to_pylist(), b.column(1)):
+                doc = doc.values.to_numpy()
+                h = _hashes(doc).view(np.int64)
                 lo, hi = np.searchsorted(token, h, "left"), np.searchsorted(token, h, "right")
-                hit = np.flatnonzero((hi > lo) & (h > 0))
+                hit = np.flatnonzero(hi > lo)
                 n = (hi - lo)[hit]
-                where = np.repeat(hit, n)
                 entry = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                doc = np.searchsorted(starts, where, "right") - 1
-                seeds: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                for d, o, p, w in zip(doc.tolist(), own.owner[entry].tolist(), own.place[entry].tolist(), (where - starts[doc]).tolist()):
-                    seeds[d, o].append((p, w))
-                for (d, o), places in seeds.items():
-                    size = int(starts[d + 1] - starts[d]) - 1
-                    if size < LEAST_WORDS or len(item_words[o]) < LEAST_WORDS or len({p for p, _ in places}) < MIN_HITS:
+                own, at, where = owner[entry], place[entry], np.repeat(hit, n)
+                several, number = np.unique(own, return_counts=True)
+                words = None
+                for i in several[number >= MIN_HITS].tolist():
+                    mine = own == i
+                    p = at[mine]
+                    if len(np.unique(p)) < MIN_HITS:
                         continue
-                    k = overlap(item_words[o], ids[starts[d] : starts[d + 1] - 1].tolist(), places)
+                    words = words or doc.tolist()
+                    k = overlap(items[i], words, list(zip(p.tolist(), where[mine].tolist())))
                     if k >= LEAST_WORDS:
-                        found.append((own.ids[o], names[d], k))
-            cols = list(zip(*found)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["item_id", "doc_id", "n_words"])
+                        out.append((i, d, k))
+            yield _rows(out)
+
+    return found.select("d", "doc").mapInArrow(join, PAIRS)
 
-    return texts.mapInArrow(join, "item_id bigint, doc_id bigint, n_words int")
+
+def _joined(found: DataFrame, given: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The join by shuffle, for items of any size; hot shingles and items are spread over ``SALTS`` tasks."""
+    seen = found.select("r", F.explode("shingles").alias("h"))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = F.pmod("r", F.lit(SALTS)).cast("int").alias("salt")
+    tokens = tokens.groupBy("i", "h").agg(F.count("*").alias("places")).select("i", "h", "places", spread)
+    pairs = seen.select("r", "h", salt).join(tokens, ["h", "salt"]).groupBy("i", "r").agg(F.sum("places").alias("tokens")).where(F.col("tokens") >= MIN_HITS).select("i", "r", salt)
+    whole = pairs.join(found.select("r", "d", "doc"), "r").join(given.select("i", "item", spread), ["i", "salt"]).select("i", "d", "item", "doc")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, d, a, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                a, t = a.values.to_numpy(), t.values.to_numpy()
+                k = overlap(a.tolist(), t.tolist(), seeds(a, t))
+                if k >= LEAST_WORDS:
+                    out.append((i, d, k))
+            yield _rows(out)
+
+    return whole.mapInArrow(verify, PAIRS)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
