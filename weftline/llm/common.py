@@ -8,7 +8,7 @@ import unicodedata
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _SIGNS = re.compile(r"[^\w\s]+|_+")
@@ -21,11 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder for files that all executors can read.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is taken.
+    It lies in ``spark.checkpoint.dir``. Where that is unset, a master on this machine
+    (as in tests) takes a temporary folder; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
@@ -54,6 +56,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a list of frequent words that the driver takes.
+MOST_COMMON = 10_000
+
+
+def bounded(df: DataFrame, most: int) -> list[Row]:
+    """The rows of a small table; one with more than ``most`` rows is an error, none is dropped."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table has more than {most} rows")
+    return rows
+
+
 def fold(text: str) -> str:
     """Lower case, compatibility forms composed; the letters that formatting leaves alone."""
     text = text.lower()
@@ -73,13 +87,14 @@ def side_of(split: Column) -> Column:
     return F.when(s == "train", "train").when(s.isin("validation", "test"), "eval")
 
 
-def fit_votes(counts: list[tuple[str, float]], tables: list[np.ndarray], prior: np.ndarray, anchor: float = 0.25, rounds: int = 60) -> tuple[dict[str, np.ndarray], list[np.ndarray], np.ndarray]:
+def fit_votes(counts: list[tuple[str, float]], tables: list[np.ndarray], prior: np.ndarray, anchor: float = 0.25, rows: float = 40, rounds: int = 60, held: dict[int, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], list[np.ndarray], np.ndarray]:
     """Expectation-maximization over the distinct patterns of labelling functions' votes.
 
     A pattern has one digit for each function, the bin it votes; ``tables`` hold
-    what is assumed of P(bin | class), (classes, bins) each. They weigh as much as
-    the share ``anchor`` of the rows, so that a rare class keeps its meaning while the functions'
-    accuracies are learned from their agreement. Returns the posterior of every
+    what is assumed of P(bin | class), (classes, bins) each. They weigh as much as ``rows``
+    rows and the share ``anchor`` of all, so that a rare class keeps its meaning while the
+    functions' accuracies are learned from their agreement. ``held`` gives, by function,
+    P(bin | first class) where it was measured on rows known to be of that class. Returns the posterior of every
     pattern, the learned tables and the learned prior.
     """
     tables = [np.asarray(t, float) for t in tables]
@@ -89,7 +104,7 @@ def fit_votes(counts: list[tuple[str, float]], tables: list[np.ndarray], prior:
     n = np.array([c for _, c in counts], float)
     start = [t.copy() for t in tables]
     pi, post = prior.copy(), None
-    strength = 40 + anchor * n.sum()
+    strength = rows + anchor * n.sum()
     for _ in range(rounds):
         log = np.log(pi)[None] + sum(np.log(t[:, votes[:, j]]).T for j, t in enumerate(tables))
         log -= log.max(1, keepdims=True)
@@ -104,4 +119,6 @@ def fit_votes(counts: list[tuple[str, float]], tables: list[np.ndarray], prior:
             seen = np.stack([weight[votes[:, j] == k].sum(0) for k in range(s.shape[1])], 1)
             t = seen + strength * prior[:, None] * s + 5 * s
             tables[j] = t / t.sum(1, keepdims=True)
+            if held and j in held:
+                tables[j][0] = held[j]
     return {p: row for (p, _), row in zip(counts, post)}, tables, pi

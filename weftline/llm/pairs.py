@@ -5,12 +5,13 @@ expectation-maximization label model for every defect learns from the votes of
 all pairs what each function is worth, on the distinct vote patterns that Spark
 counts. A pair keeps every label whose posterior exceeds the defect's cutoff; the
 cutoff has the best expected F1 on a held half of the pairs, by the model fit on
-the other half.
+the other half; the tests check cutoffs against planted defects.
 
 What the functions know is counted over all queries and labels: in how many
 records a word occurs by the query's language, and how often a label or a sentence
 ends after given words. Words and contexts count from a fixed share on, which
-bounds what is broadcast.
+bounds what is broadcast. A share is taken by its lower bound and without the pair
+itself, one rule for tables of every size.
 """
 
 from __future__ import annotations
@@ -18,21 +19,23 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fit_votes, fold, read
+from .common import MOST_COMMON, bounded, cut_lineage, fit_votes, fold, read
 
 DEFECTS = ("empty", "refusal", "copied", "other_language", "truncated")
 LANGUAGES = ("en", "de", "fr", "es")
-#: A word counts from this share of the records (and 4 of them), a context from this share of all contexts (and 3).
-WORD_SHARE, WORD_LEAST = 2e-4, 4
-CONTEXT_SHARE, CONTEXT_LEAST = 5e-6, 3
-#: Records in other languages that it takes to weigh words for a language.
-OUTSIDE_LEAST = 30
+#: A word counts if at least this share of the other records holds it, a context if this share of all others is it.
+WORD_SHARE, CONTEXT_SHARE = 2e-4, 5e-6
+#: Errors that the lower bound of a share lies below what is seen: chance does not make a word known in a small table.
+ERRORS = 3.0
+#: Imagined pairs that vote as assumed, for each defect; the others teach the functions' accuracies.
+ANCHOR = 150.0
 
 # Turns of phrase that decline to answer, in the four languages.
 REFUSAL = re.compile(
@@ -58,6 +61,10 @@ _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}
 
 #: Labelling functions by defect: P(bin | fine), P(bin | defect) as assumed before EM.
 FUNCTIONS: dict[str, list[tuple[str, list[list[float]]]]] = {
+    "empty": [
+        ("no_letters", [[0.9999, 0.0001], [0.0001, 0.9999]]),
+        ("no_words", [[0.999, 0.001], [0.01, 0.99]]),
+    ],
     "refusal": [
         ("phrase", [[0.975, 0.02, 0.005], [0.03, 0.12, 0.85]]),
         ("no_news", [[0.90, 0.10], [0.04, 0.96]]),
@@ -79,10 +86,18 @@ FUNCTIONS: dict[str, list[tuple[str, list[list[float]]]]] = {
         ("ending", [[0.72, 0.267, 0.012, 0.001], [0.02, 0.33, 0.15, 0.50]]),
         ("open_end", [[0.999, 0.001], [0.50, 0.50]]),
         ("unbalanced", [[0.999, 0.001], [0.80, 0.20]]),
-        ("part_of_word", [[0.9995, 0.0005], [0.65, 0.35]]),
+        ("part_of_word", [[0.999, 0.001], [0.65, 0.35]]),
     ],
 }
-PRIOR = {"refusal": 0.03, "copied": 0.03, "other_language": 0.03, "truncated": 0.04}
+#: Function 3 of ``truncated`` is measured on whole labels: those for which function 0 votes 0, that end as sentences do.
+MEASURED = {"truncated": (3, 0)}
+PRIOR = {"empty": 0.03, "refusal": 0.03, "copied": 0.03, "other_language": 0.03, "truncated": 0.04}
+
+
+def least_share(n: Column, total: Column) -> Column:
+    """The lower bound (Wilson) of the share that n - 1 of total - 1 others make up."""
+    k, of, z = n - 1, F.greatest(total - 1, F.lit(1)), ERRORS
+    return (k + z * z / 2 - z * F.sqrt(k * (1 - k / of) + z * z / 4)) / (of + z * z)
 
 
 def letters(text: str) -> str:
@@ -102,9 +117,17 @@ def language(w: list[str], common: dict[str, dict[str, float]]) -> str | None:
     return max(sorted(score), key=score.__getitem__) if score else None
 
 
-def _contexts(w: list[str], known: set[str]) -> list[str]:
-    """Every word with the two before it, names masked; a sign for the start comes first."""
-    m = ["^", "^", *("#" if x.isdigit() else x if x in known else "N" for x in w)]
+@lru_cache(200_000)
+def _token(word: str) -> str:
+    return fold(word).replace("’", "'")
+
+
+def _contexts(text: str, known: set[str]) -> list[str]:
+    """Every word with the two before it, other words masked by their case; a sign for the start comes first."""
+    m = ["^", "^"]
+    for x in _WORD.findall(text):
+        t = _token(x)
+        m.append("#" if t.isdigit() else t if t in known else "N" if x[0].isupper() else "n")
     return [f"{a} {b} {c}" for a, b, c in zip(m, m[1:], m[2:])]
 
 
@@ -130,9 +153,9 @@ class Knowledge:
             n += 1
         return total / max(1, n), n
 
-    def end_share(self, w: list[str]) -> float:
+    def end_share(self, text: str) -> float:
         """How often other labels or sentences end after the last words; long contexts lean on shorter ones."""
-        c = _contexts(w, self.known)[-1].split(" ")
+        c = (_contexts(text, self.known) or ["^ ^ ^"])[-1].split(" ")
         share = 0.05
         for k in (2, 1, 0):
             n, e = self.ends.get(" ".join(c[k:]), (1, 1))
@@ -141,7 +164,9 @@ class Knowledge:
 
 
 def votes(query: str | None, label: str, know: Knowledge) -> dict[str, str]:
-    """The votes of every defect's functions on a pair whose label has letters or digits."""
+    """The votes of every defect's functions; a label without letters and digits gets those of ``empty`` only."""
+    if not any(map(str.isalnum, label)):
+        return {"empty": "11"}
     low = fold(label).replace("’", "'")
     w, q = tokens(label), tokens(query or "")
     q_set, n = set(q), len(w)
@@ -191,16 +216,16 @@ def votes(query: str | None, label: str, know: Knowledge) -> dict[str, str]:
     if ended:
         ending = 0
     else:
-        share = know.end_share(w)
+        share = know.end_share(_SENTENCE.split(s)[-1])
         ending = 1 if share >= 0.04 else 2 if share >= 0.012 else 3
-    last = w[-1]
+    last = w[-1] if w else ""
     small_last = last in know.common and not ended and not last.isdigit() and ending >= 2
     opened = int(_CUT.search(s) is not None or small_last)
     unbalanced = int(any(s.count(x) > s.count(y) for x, y in _OPEN.items()) or s.count('"') % 2 == 1)
     part = 0
-    if not ended and last not in know.known and not last.isdigit():
+    if last not in know.known and not last.isdigit():
         part = int(last in know.prefixes or any(x.startswith(last) and x != last for x in q) and last not in q_set)
-    return {"refusal": refusal, "copied": copied, "other_language": other, "truncated": f"{ending}{opened}{unbalanced}{part}"}
+    return {"empty": f"0{int(not w)}", "refusal": refusal, "copied": copied, "other_language": other, "truncated": f"{ending}{opened}{unbalanced}{part}"}
 
 
 def learn(pairs: DataFrame, common: dict[str, dict[str, float]]) -> Knowledge:
@@ -217,18 +242,18 @@ def learn(pairs: DataFrame, common: dict[str, dict[str, float]]) -> Knowledge:
             yield pa.RecordBatch.from_pydict({"lang": [k for k, _ in seen], "word": [x for _, x in seen], "n": list(seen.values())})
 
     counts = cut_lineage(pairs.mapInArrow(word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    totals = {r["lang"]: r["n"] for r in counts.where("word = ''").collect()}
+    totals = {r["lang"]: r["n"] for r in counts.where("word = ''").collect()}  # five rows
     total = sum(totals.values())
     often = counts.where("word <> ''").groupBy("word").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))  # at most five languages a word
     by_language: dict[str, dict[str, float]] = {}
-    for r in often.where(F.col("all") >= max(WORD_LEAST, WORD_SHARE * total)).collect():  # bounded by the share
+    for r in often.where(least_share(F.col("all"), F.lit(total)) >= WORD_SHARE).collect():  # bounded by the share
         own = {x["lang"]: x["n"] for x in r["by"]}
         value = {}
         for lang in LANGUAGES:
-            if total - totals.get(lang, 0) < OUTSIDE_LEAST:
-                continue  # nothing to tell this language from; only the lists of small words vote then
-            # six imagined records keep a word that few pairs have near no evidence
             part = totals.get(lang, 0) / max(1, total)
+            if r["all"] * (1 - part) < 1:
+                continue  # no pair with this word is to be expected in other languages: it tells nothing of this one
+            # six imagined records keep a word that few pairs have near no evidence
             inside = (own.get(lang, 0) + 6 * part + 0.01) / (totals.get(lang, 0) + 6)
             outside = (r["all"] - own.get(lang, 0) + 6 * (1 - part) + 0.01) / (total - totals.get(lang, 0) + 6)
             value[lang] = float(np.clip(np.log(inside / outside), -4, 4))
@@ -241,10 +266,7 @@ def learn(pairs: DataFrame, common: dict[str, dict[str, float]]) -> Knowledge:
             seen, ends = Counter(), Counter()
             for t in b.column(1).to_pylist():
                 for s in _SENTENCE.split(t or ""):
-                    w = tokens(s)
-                    if not w:
-                        continue
-                    found = _contexts(w, own)
+                    found = _contexts(s, own)
                     for k, c in enumerate(found):
                         x = c.split(" ")
                         for key in (c, f"{x[1]} {x[2]}", x[2]):
@@ -255,7 +277,7 @@ def learn(pairs: DataFrame, common: dict[str, dict[str, float]]) -> Knowledge:
 
     contexts = cut_lineage(pairs.mapInArrow(end_counts, "c string, n bigint, e bigint").groupBy("c").agg(F.sum("n").alias("n"), F.sum("e").alias("e")))
     size = contexts.agg(F.sum("n")).first()[0] or 0
-    ends = {r["c"]: (r["n"], r["e"]) for r in contexts.where(F.col("n") >= max(CONTEXT_LEAST, CONTEXT_SHARE * size)).collect()}  # bounded by the share
+    ends = {r["c"]: (r["n"], r["e"]) for r in contexts.where(least_share(F.col("n"), F.lit(size)) >= CONTEXT_SHARE).collect()}  # bounded by the share
     return Knowledge(common, by_language, ends)
 
 
@@ -275,14 +297,14 @@ def cutoff(held: list[tuple[float, float]]) -> float:
 def defects(df: DataFrame, common_words: DataFrame, ex_id: str, query: str, label: str) -> DataFrame:
     """(ex_id, defect, posterior): every defect of every pair whose posterior reaches its cutoff.
 
-    A null label, or one without letters and digits, is ``empty`` (posterior 1) and
-    nothing else. A null or blank query leaves out what compares with it. A record
+    A null label, or one without letters and digits, can be ``empty`` only. A null or blank query leaves out what compares with it. A record
     delivered again counts once. Other columns are not read.
     """
     spark = df.sparkSession
-    given = df.select(F.col(ex_id).cast("bigint").alias("ex_id"), F.col(query).cast("string").alias("q"), F.col(label).cast("string").alias("l")).where("ex_id is not null").dropDuplicates(["ex_id"])
+    given = df.select(F.col(ex_id).cast("bigint").alias("ex_id"), F.col(query).cast("string").alias("q"), F.col(label).cast("string").alias("l")).where("ex_id is not null")
+    given = cut_lineage(given.dropDuplicates(["ex_id"]))  # read three times
     common: dict[str, dict[str, float]] = defaultdict(dict)
-    for r in common_words.where("word is not null and lang is not null").select("lang", F.lower("word").alias("word"), "rank_no").limit(10_000).collect():  # a fixed list
+    for r in bounded(common_words.where("word is not null and lang is not null").select("lang", F.lower("word").alias("word")), MOST_COMMON):
         common[r["word"]][r["lang"]] = 1.0
     for own in common.values():  # a word of several languages tells less
         for lang in own:
@@ -292,11 +314,11 @@ def defects(df: DataFrame, common_words: DataFrame, ex_id: str, query: str, labe
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = know.value
         for b in batches:
-            rows = [votes(q, t, own) if t and any(map(str.isalnum, t)) else None for q, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r and r[d] for r in rows], pa.string()) for d in FUNCTIONS)], ["ex_id", *FUNCTIONS])
+            rows = [votes(q, t or "", own) for q, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.get(d) for r in rows], pa.string()) for d in FUNCTIONS)], ["ex_id", *FUNCTIONS])
 
     voted = cut_lineage(given.mapInArrow(vote, "ex_id bigint, " + ", ".join(f"{d} string" for d in FUNCTIONS)))
-    found = voted.where(F.col("refusal").isNull()).select("ex_id", F.lit("empty").alias("defect"), F.lit(1.0).alias("posterior"))
+    found = spark.createDataFrame([], "ex_id bigint, defect string, posterior double")
     half = F.pmod(F.xxhash64("ex_id", F.lit(2)), F.lit(2)).alias("half")
     for d, functions in FUNCTIONS.items():
         counts: list[dict[str, int]] = [{}, {}]
@@ -304,7 +326,16 @@ def defects(df: DataFrame, common_words: DataFrame, ex_id: str, query: str, labe
             counts[r["half"]][r[d]] = r["count"]
         tables = [np.array(t) for _, t in functions]
         prior = np.array([1 - PRIOR[d], PRIOR[d]])
-        _, learned, pi = fit_votes(sorted(counts[0].items()), tables, prior, anchor=1.0)
+        held = None
+        if d in MEASURED and counts[0]:
+            j, k = MEASURED[d]
+            seen = Counter()
+            for p, n in counts[0].items():
+                if p[k] == "0":
+                    seen[int(p[j])] += n
+            rate = ANCHOR * tables[j][0] + np.array([seen[x] for x in range(tables[j].shape[1])])
+            held = {j: rate / rate.sum()}
+        _, learned, pi = fit_votes(sorted(counts[0].items()), tables, prior, anchor=0.0, rows=ANCHOR, held=held)
 
         def posterior(p: str) -> float:
             value = pi * np.prod([t[:, int(c)] for t, c in zip(learned, p)], 0)

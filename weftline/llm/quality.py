@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fit_votes, fold, read
+from .common import MOST_COMMON, bounded, cut_lineage, fit_votes, fold, read
 
 TYPES = ("prose", "list", "table", "junk")
 
@@ -192,8 +192,7 @@ def text_statistics(df: DataFrame, common: DataFrame, doc_id: str, text: str) ->
     One row for each record, deliveries again counted once. Null, empty and blank
     texts have no votes; their counts are 0 and their shares null.
     """
-    # a list of frequent words is fixed in size; the bound keeps a wrong table from the driver
-    listed = {r[0] for r in common.select(F.lower("word")).where("word is not null").distinct().limit(10_000).collect()}
+    listed = {r[0] for r in bounded(common.where("word is not null").select(F.lower("word")).distinct(), MOST_COMMON)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

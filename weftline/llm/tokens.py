@@ -23,7 +23,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -190,11 +189,14 @@ def chunks(text: str) -> list[str]:
     return [*out, held] if held else out
 
 
-def frequent_words(df: DataFrame, text: str, path: str, share: float) -> DataFrame:
-    """(word, n) of the words that make up ``share`` or more of all words: 1 / share rows at most."""
+def frequent_words(df: DataFrame, text: str, vocabulary: str, share: float) -> DataFrame:
+    """(word, n) of the words that make up ``share`` or more of all words: 1 / share rows at most.
+
+    ``vocabulary`` is the name of a file that was added to the application.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = ranks_of(path).split, Counter()
+        split, seen = ranks_of(SparkFiles.get(vocabulary)).split, Counter()
 
         def give() -> pa.RecordBatch:
             total: Counter = Counter()
@@ -227,16 +229,16 @@ def encode(df: DataFrame, doc_id: str, text: str, path: str | None = None, share
     path = path or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     spark = df.sparkSession
     ranks = ranks_of(path)
-    words = [r["word"] for r in frequent_words(df, text, path, share).collect()]  # 1 / share rows at most
+    spark.sparkContext.addFile(path)  # the vocabulary and the lexicon reach every worker through Spark
+    vocabulary = os.path.basename(path)
+    words = [r["word"] for r in frequent_words(df, text, vocabulary, share).collect()]  # 1 / share rows at most
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     uri = write_shared(spark, name, pack(compile_lexicon({w: ranks.merge(w) for w in words})))
-    shared = urlparse(uri).path if uri.startswith("file:") else None
-    if shared is None:
-        spark.sparkContext.addFile(uri)
+    spark.sparkContext.addFile(uri)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ranks_of(path)
-        lexicon = unpack(shared or SparkFiles.get(name))
+        own = ranks_of(SparkFiles.get(vocabulary))
+        lexicon = unpack(SparkFiles.get(name))
         start, table = lexicon["start"], lexicon["ids"]
         whole: dict[str, tuple[int, ...]] = {}
         known: dict[str, tuple[int, ...]] = {}
