@@ -56,6 +56,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Buckets of keys by which rows are sorted out before they are shuffled.
+BUCKETS = 1 << 20
+
+
+def sorted_out(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Rows that may have one of the wanted keys; the others stay where they are.
+
+    At most ``BUCKETS`` numbers are broadcast, whatever the tables. A row of a bucket
+    without any wanted key passes no join by these keys.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket")
+    return rows.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+
+
 #: Rows of a list of frequent words that the driver takes.
 MOST_COMMON = 10_000
 

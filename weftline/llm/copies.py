@@ -24,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fold, read
+from .common import cut_lineage, fold, read, sorted_out
 
 _BRACES = re.compile(r"\s*\{(.*)\}\s*", re.S)
-_QUOTED = re.compile(r"""\s*["'“]([^"”]*)["'”]\s*[:=]\s*(?:["“]((?:[^"\\]|\\.)*)["”]|([^",{}]*))\s*(?:,|;|$)""", re.S)
+_QUOTED = re.compile(r"""\s*["'“]([^"”]*)["'”]\s*[:=]\s*(?:["“]((?:[^"\\]|\\.)*)["”]|(\[[^\]]*\]|[^",{}]*))\s*(?:,|;|$)""", re.S)
 _NOT_ALNUM = re.compile(r"[\W_]+")
-_MOST_NAME_WORDS = 4
+#: A class of equal letters with at least this share of all passages is joined by broadcast: 1 / HEAVY classes at most.
+HEAVY = 1e-3
 
 
 def letters(text: str) -> str:
@@ -39,7 +40,8 @@ def letters(text: str) -> str:
 def fields(text: str) -> list[tuple[str, str]] | None:
     """The normalized (name, value) pairs of a passage that consists only of fields, else None.
 
-    Fewer than two fields need no order and count as plain text.
+    Fewer than two fields need no order and count as plain text; a blank value is a
+    value; names may have any length.
     """
     found = []
     inner = _BRACES.fullmatch(text)
@@ -60,12 +62,10 @@ def fields(text: str) -> list[tuple[str, str]] | None:
                 return None
             k = min(cuts)
             name = letters(part[:k])
-            if not name or len(part[:k].split()) > _MOST_NAME_WORDS:
+            if not name:
                 return None
             found.append((name, letters(part[k + 1 :])))
-    if len(found) < 2 or not all(n and v for n, v in found):
-        return None
-    return found
+    return found if len(found) > 1 and all(n for n, _ in found) else None
 
 
 def _signed(x: int) -> int:
@@ -101,13 +101,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def groups(df: DataFrame, ex_id: str, docs: str) -> tuple[DataFrame, DataFrame]:
     """(marks, classes): every passage's place and hashes; every class of equal letters with its group's first passage and size."""
     marks = df.select(F.col(ex_id).cast("bigint").alias("e"), F.col(docs).cast("array<string>").alias("d")).where("e is not null").mapInArrow(_fingerprints, "ex_id bigint, pos int, a1 bigint, a2 bigint, f1 bigint, f2 bigint")
-    marks = cut_lineage(marks.dropDuplicates(["ex_id", "pos"]))  # 40 bytes a passage, read twice
+    marks = cut_lineage(marks.dropDuplicates(["ex_id", "pos"]))  # 40 bytes a passage, read three times
     classes = marks.groupBy("a1", "a2").agg(F.min(F.struct("ex_id", "pos")).alias("at"), F.count("*").alias("n"), F.min(F.when(F.col("f1").isNotNull(), F.struct("f1", "f2"))).alias("f"))
     plain = F.struct(F.lit(0).alias("k"), F.col("a1").alias("x"), F.col("a2").alias("y"))
     by_field = F.struct(F.lit(1).alias("k"), F.col("f.f1").alias("x"), F.col("f.f2").alias("y"))
     classes = classes.select("a1", "a2", "at", "n", F.when(F.col("f").isNull(), plain).otherwise(by_field).alias("key"))
     firsts = classes.groupBy("key").agg(F.min("at").alias("first"), F.sum("n").alias("copies"))
-    return marks, classes.join(firsts, "key").select("a1", "a2", "first", "copies")
+    return marks, cut_lineage(classes.join(firsts, "key").select("a1", "a2", "n", "first", "copies"))
 
 
 def same_passages(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -128,33 +128,54 @@ def same_passages(a: pd.Series, b: pd.Series) -> pd.Series:
 MEMBERS_A_TASK = 20_000
 
 
+def members(df: DataFrame, ex_id: str, docs: str, marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(first, ex_id, pos, copies, same) of every passage but the first of its group; ``same`` where its fields equal the first's.
+
+    Hot classes are joined by broadcast and never shuffled by their hash; the first
+    passage is repeated once for each ``MEMBERS_A_TASK`` members, which are spread over
+    these. Of the passages only those that may be repeated travel.
+    """
+    several = classes.where("copies > 1").select("a1", "a2", "n", "first", "copies")
+    least = HEAVY * marks.count()
+    heavy, light = F.broadcast(several.where(F.col("n") >= least).drop("n")), several.where(F.col("n") < least).drop("n")
+    places = marks.select("ex_id", "pos", "a1", "a2")
+    many = places.join(heavy, ["a1", "a2"]).unionByName(places.join(heavy, ["a1", "a2"], "left_anti").join(light, ["a1", "a2"]))
+    many = cut_lineage(many.select("ex_id", "pos", "first", "copies"))
+    passages = df.select(F.col(ex_id).cast("bigint").alias("ex_id"), F.posexplode(F.col(docs).cast("array<string>")).alias("pos", "passage"))
+    found = sorted_out(passages, many, "ex_id", "pos").join(many, ["ex_id", "pos"]).withColumn("parts", F.ceil(F.col("copies") / MEMBERS_A_TASK).cast("int"))
+    is_first = (F.col("first.ex_id") == F.col("ex_id")) & (F.col("first.pos") == F.col("pos"))
+    heads = found.where(is_first).dropDuplicates(["ex_id", "pos"]).select("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("passage").alias("head"))
+    others = found.where(~is_first).withColumn("part", F.pmod(F.xxhash64("ex_id", "pos"), F.col("parts")).cast("int"))
+    held = others.join(heads, ["first", "part"]).select("first", "ex_id", "pos", "copies", F.pandas_udf(same_passages, "boolean")("passage", "head").alias("same"))
+    return held.dropDuplicates(["ex_id", "pos"])
+
+
 def copies(df: DataFrame, ex_id: str, docs: str) -> DataFrame:
     """(first_ex_id, first_doc_pos, ex_id, doc_pos, copies) of every passage but the first of its group.
 
     Null, empty and blank passages and null arrays give none; a record delivered
     twice counts once; ties go to the smaller (ex_id, doc_pos). A group may hold
-    any share of the rows: it is counted before the shuffle, the first passage is
-    repeated once for each ``MEMBERS_A_TASK`` members, and members are spread over
-    these copies. Only records with repeated passages are read a second time.
+    any share of the rows: it is counted before the shuffle and its members are spread.
     """
-    marks, classes = groups(df, ex_id, docs)
-    many = marks.join(classes.where("copies > 1"), ["a1", "a2"]).select("ex_id", "pos", "first", "copies")
-    wanted = many.groupBy("ex_id").agg(F.collect_list(F.struct("pos", "first", "copies")).alias("places"))  # at most a record's passages
-    records = df.select(F.col(ex_id).cast("bigint").alias("ex_id"), F.col(docs).cast("array<string>").alias("docs"))
-    found = records.join(wanted, "ex_id").select("ex_id", "docs", F.explode("places").alias("at"))
-    found = found.select("ex_id", F.col("at.pos").alias("pos"), F.col("at.first").alias("first"), F.ceil(F.col("at.copies") / MEMBERS_A_TASK).cast("int").alias("parts"), F.col("at.copies").alias("copies"), F.get("docs", F.col("at.pos")).alias("passage"))
-    is_first = (F.col("first.ex_id") == F.col("ex_id")) & (F.col("first.pos") == F.col("pos"))
-    heads = found.where(is_first).dropDuplicates(["ex_id", "pos"]).select("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("passage").alias("head"))
-    members = found.where(~is_first).withColumn("part", F.pmod(F.xxhash64("ex_id", "pos"), F.col("parts")).cast("int"))
-    held = members.join(heads, ["first", "part"]).where(F.pandas_udf(same_passages, "boolean")("passage", "head"))
-    return held.select(F.col("first.ex_id").alias("first_ex_id"), F.col("first.pos").alias("first_doc_pos"), "ex_id", F.col("pos").alias("doc_pos"), "copies").dropDuplicates(["ex_id", "doc_pos"])
+    held = members(df, ex_id, docs, *groups(df, ex_id, docs)).where("same")
+    return held.select(F.col("first.ex_id").alias("first_ex_id"), F.col("first.pos").alias("first_doc_pos"), "ex_id", F.col("pos").alias("doc_pos"), "copies")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(read(spark, sf_dir, "rag_in"), "ex_id", "docs").drop("copies")
 
 
+def distinct_passages(df: DataFrame, ex_id: str, docs: str) -> DataFrame:
+    """(ex_id, doc_pos, copies): every distinct passage once, at its first place; a member whose fields differ stands for itself."""
+    marks, classes = groups(df, ex_id, docs)
+    held = members(df, ex_id, docs, marks, classes)
+    one = F.lit(1).cast("bigint")
+    firsts = classes.select("first", one.alias("copies")).distinct()
+    counted = held.where("same").groupBy("first").agg(F.count("*").alias("copies"))
+    own = held.where("not same").select(F.struct("ex_id", "pos").alias("first"), one.alias("copies"))
+    rows = firsts.unionByName(counted).unionByName(own).groupBy("first").agg(F.sum("copies").alias("copies"))
+    return rows.select(F.col("first.ex_id").alias("ex_id"), F.col("first.pos").alias("doc_pos"), "copies")
+
+
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct passage once: its first place and its number of copies."""
-    _, classes = groups(read(spark, sf_dir, "rag_in"), "ex_id", "docs")
-    return classes.groupBy("first").agg(F.max("copies").alias("copies")).select(F.col("first.ex_id").alias("ex_id"), F.col("first.pos").alias("doc_pos"), "copies")
+    return distinct_passages(read(spark, sf_dir, "rag_in"), "ex_id", "docs")

@@ -4,19 +4,20 @@ Method: dynamic programming over boundary positions. A piece that ends at e is
 followed by one that starts at most ``overlap`` characters before e, at a word's
 start where there is one; both bounds together give the candidates that can
 follow each other. The sum of cut penalties and of squared deviations from an
-even size is minimal over all admissible sequences of the tier in use: paragraph,
-line and sentence ends; these and word ends, if the first tier has no
-admissible sequence; any position, if a run without white space leaves none. (A
-word end costs more than any imbalance, so that the tiers lose no better cut.)
+even size is minimal over all admissible sequences of the candidates: paragraph,
+line and sentence ends; the word ends of each stretch between two of these that no
+piece can span; and every position of each run without white space that no piece can
+span. (A word end costs more than any imbalance, a position inside a word more than
+any word ends, so that opening them where they are needed only loses no better cut.)
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,6 @@ from .common import read
 LIMIT, OVERLAP = 1200, 100
 KINDS = ("paragraph", "line", "sentence", "word", "character")
 PENALTY = {"paragraph": 0.0, "line": 0.2, "sentence": 0.4, "word": 1e3, "character": 1e6}
-#: In a run without any white space only every so many positions are candidates.
-RUN_STEP = 25
 _STRONG = re.compile(r"(?P<p>\s*\n\s*\n\s*)|(?P<l>[^\S\n]*\n\s*)|[.!?…]+[\"'”’»)\]]*(?P<s>\s+)|[。！？]+[”’」』）]*(?P<c>\s*)")
 _SPACE = re.compile(r"\s+")
 _START = re.compile(r"\s\S")
@@ -50,43 +49,59 @@ def _boundaries(text: str) -> dict[int, str]:
     return found
 
 
+def _back(text: str, end: int, overlap: int) -> int:
+    """Where the piece after a cut at ``end`` starts: at a word's start within the overlap, where there is one."""
+    m = _START.search(text, max(0, end - overlap), end)
+    return m.start() + 1 if m else _safe(text, max(0, end - overlap))
+
+
 def _chain(text: str, at: list[int], kinds: list[str], limit: int, overlap: int) -> list[tuple[int, int, str]] | None:
-    """The cheapest admissible pieces (start, end, kind of the cut at the end), or None."""
+    """The cheapest admissible pieces (start, end, kind of the cut at the end), or None.
+
+    Ends within ``overlap`` of each other cannot follow each other: such a block is
+    priced at once, against all earlier ends that a piece can span.
+    """
     n = len(text)
-    ends = [*at, n]
-    kinds = [*kinds, "end"]
-    backs = []
-    for e in at:
-        m = _START.search(text, max(0, e - overlap), e)
-        backs.append(m.start() + 1 if m else _safe(text, max(0, e - overlap)))
+    ends = np.array([*at, n], np.int64)
+    own = np.array([*(PENALTY[k] for k in kinds), 0.0])
+    backs = np.array([*(_back(text, e, overlap) for e in at), n], np.int64)
     pieces = max(1, -(-(n - overlap) // (limit - overlap)))
     even = (n + (pieces - 1) * overlap) / pieces
-    cost: list[float] = [float("inf")] * len(ends)
-    via = [-1] * len(ends)
-    for j, e in enumerate(ends):
-        best, own = float("inf"), PENALTY.get(kinds[j], 0.0)
-        if e <= limit:
-            best = ((e - even) / even) ** 2
-        # of earlier ends only those whose next piece can reach e
-        for i in range(min(j, bisect_left(at, e - (0 if j == len(at) else overlap))) - 1, -1, -1):
-            if e - backs[i] > limit:
-                if e - at[i] > limit:
-                    break
-                continue
-            c = cost[i] + ((e - backs[i] - even) / even) ** 2
-            if c < best:
-                best, via[j] = c, i
-        cost[j] = best + own
-    if cost[-1] == float("inf"):
+    cost, via = np.full(len(ends), np.inf), np.full(len(ends), -1, np.int64)
+    j = lo = 0
+    while j < len(ends):
+        stop = int(np.searchsorted(ends, ends[j] + overlap, "right")) if j < len(ends) - 1 else len(ends)
+        stop = max(j + 1, min(stop, len(ends) - 1)) if j < len(ends) - 1 else stop
+        block = ends[j:stop]
+        while lo < j and ends[j] - backs[lo] > limit and ends[j] - ends[lo] > limit:
+            lo += 1
+        best = np.where(block <= limit, ((block - even) / even) ** 2, np.inf)
+        if lo < j:
+            size = (block[:, None] - backs[None, lo:j]).astype(float)
+            gap = 0 if j == len(ends) - 1 else overlap
+            price = np.where((size <= limit) & (ends[None, lo:j] < block[:, None] - gap), cost[None, lo:j] + ((size - even) / even) ** 2, np.inf)
+            k = price.shape[1] - 1 - np.argmin(price[:, ::-1], 1)  # of equal ones the last
+            cheapest = price[np.arange(len(block)), k]
+            better = cheapest < best
+            best, via[j:stop] = np.where(better, cheapest, best), np.where(better, lo + k, -1)
+        cost[j:stop] = best + own[j:stop]
+        j = stop
+    if cost[-1] == np.inf:
         return None
     out, j = [], len(ends) - 1
     while j >= 0:
-        i = via[j]
-        out.append((backs[i] if i >= 0 else 0, ends[j], kinds[j]))
+        i = int(via[j])
+        out.append((int(backs[i]) if i >= 0 else 0, int(ends[j]), [*kinds, "end"][j] if j == len(ends) - 1 else kinds[j]))
         j = i
     return out[::-1]
 
 
+def _gaps(text: str, found: dict[int, str], limit: int, overlap: int) -> list[tuple[int, int]]:
+    """The stretches between neighbouring candidates that no piece can span."""
+    marks = [0, *sorted(found), len(text)]
+    return [(a, b) for a, b in zip(marks, marks[1:]) if b - (_back(text, a, overlap) if a else 0) > limit]
+
+
 def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """Pieces (start, end, kind) of at most ``limit`` code points that cover the text.
 
@@ -96,18 +111,19 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
     if n <= limit:
         return [(0, n, "end")]
     found = _boundaries(text)
-    for tier in range(3):
-        if tier == 1:
-            for m in _SPACE.finditer(text):
-                found.setdefault(m.end(), "word")
-            found.pop(n, None)
-            found.pop(0, None)
-        elif tier == 2:
-            marks = [0, *sorted(found), n]
-            for a, b in zip(marks, marks[1:]):
-                for x in range(a + RUN_STEP, b, RUN_STEP):
-                    if (x := _safe(text, x)) > a:
+    for tier in ("strong", "word", "character", "all words", "all"):
+        if tier in ("word", "all words"):
+            for a, b in _gaps(text, found, limit, overlap) if tier == "word" else [(0, n)]:
+                for m in _SPACE.finditer(text, a, b):
+                    if a < m.end() < b:
+                        found.setdefault(m.end(), "word")
+        elif tier in ("character", "all"):
+            for a, b in _gaps(text, found, limit, overlap) if tier == "character" else [(0, n)]:
+                for x in {_safe(text, x) for x in range(a + 1, b)}:
+                    if a < x < b:
                         found.setdefault(x, "character")
+        if _gaps(text, found, limit, overlap):
+            continue
         at = sorted(found)
         if (chain := _chain(text, at, [found[x] for x in at], limit, overlap)) is not None:
             return chain
@@ -116,13 +132,14 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
     return [(x, min(n, x + limit), "character") for x in range(0, max(1, n - overlap), step)]
 
 
-def split_items(items: DataFrame, field: str, item_id: str, pos: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True) -> DataFrame:
+def split_items(items: DataFrame, field: str, item_id: str, pos: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True, unique: bool = False) -> DataFrame:
     """One row for each piece of each item longer than ``limit`` code points.
 
     ``field_name, item_id bigint, item_pos int, piece_no int, piece_start int,
     piece_end int, cut string`` and, with ``with_text``, ``piece``; positions
     count code points from 0. Nulls, empty and short items give no row; repeated
-    deliveries of an item give its pieces once. Other columns are not read.
+    deliveries of an item give its pieces once. Other columns are not read. With
+    ``unique`` the caller vouches that no item is repeated, and no piece is shuffled.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must lie below half of the limit")
@@ -141,7 +158,8 @@ def split_items(items: DataFrame, field: str, item_id: str, pos: str, text: str,
 
     schema = "field_name string, item_id bigint, item_pos int, piece_no int, piece_start int, piece_end int, cut string" + ", piece string" * with_text
     long = items.select(F.col(field).alias("f"), F.col(item_id).cast("bigint").alias("i"), F.col(pos).cast("int").alias("p"), F.col(text).cast("string").alias("t")).where(F.length("t") > limit)
-    return long.mapInArrow(run, schema).dropDuplicates(["field_name", "item_id", "item_pos", "piece_no"])
+    pieces = long.mapInArrow(run, schema)
+    return pieces if unique else pieces.dropDuplicates(["field_name", "item_id", "item_pos", "piece_no"])
 
 
 def corpus_items(spark: SparkSession, sf_dir: str) -> DataFrame:
