@@ -1,5 +1,6 @@
 """Golden micro-vectors, invariants over the tables, and the same results in every partitioning."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -17,6 +18,16 @@ DATA = "/root/testdata/sf0.001"
 SP = Specials()
 
 
+def stub_encoder(width: int = 4) :
+    """Vectors from a hash of position and token: a stand-in for a model."""
+
+    def vector(pos: int, token: str) -> list[float]:
+        digest = hashlib.md5(f"{pos}|{token}".encode()).digest()
+        return [x / 255 for x in digest[:width]]
+
+    return lambda: lambda rows: [[vector(p, t) for p, t in enumerate(r)] for r in rows]
+
+
 def value(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
@@ -255,10 +266,67 @@ def test_vectors(spark):
     vecs = spark.createDataFrame([(1, 0, [7.0])], "ex_id bigint, mem_ordinal int, vec array<double>")
     assert {(r["pos"], r["mem_ordinal"], tuple(r["vec"] or ())) for r in vectors.scatter(places, vecs, "ex_id").collect()} == {(4, 0, (7.0,)), (9, 1, ())}
     assert value(spark, vectors.argmax(F.array(F.lit(1.0), F.lit(3.0), F.lit(3.0)))) == 1
-    coded = encoder.encode(spark.createDataFrame([(1, ["a", "b"]), (2, [])], "k bigint, t array<string>"), "k", "t", encoder.stub_encoder(3))
+    coded = encoder.encode(spark.createDataFrame([(1, ["a", "b"]), (2, [])], "k bigint, t array<string>"), "k", "t", stub_encoder(3))
     assert coded.count() == 2 and len(coded.first()["vec"]) == 3
 
 
+def test_compress(spark):
+    rows = spark.createDataFrame([(1, ["a", "<MEM>", "b", "<MEM>"]), (2, ["c"])], "k bigint, t array<string>")
+    double = lambda vec: vectors.connector(vec, [[2.0, 0.0], [0.0, 2.0]], [0.0, 0.0], [[1.0, 0.0], [0.0, 1.0]], [0.0, 0.0])
+    got = encoder.compress(rows, "k", "t", stub_encoder(2), double).orderBy("pos").collect()
+    want = stub_encoder(2)()([["a", "<MEM>", "b", "<MEM>"]])[0]
+    assert [(r["k"], r["mem_ordinal"], r["pos"]) for r in got] == [(1, 0, 1), (1, 1, 3)]
+    assert all(abs(x - 2 * y) < 1e-12 for r in got for x, y in zip(r["vec"], want[r["pos"]]))
+
+
+def test_scatter_in_row(spark):
+    tokens = F.array(*map(F.lit, ["<MEM>", "x", "<MEM>"]))
+    got = value(spark, vectors.scatter_in_row(tokens, F.array(F.array(F.lit(7.0)))))
+    assert [(r["pos"], r["mem_ordinal"], r["vec"]) for r in got] == [(0, 0, [7.0]), (2, 1, None)]
+
+
+@pytest.mark.parametrize("most", [10, 1])
+def test_lookup(spark, most):
+    tokens = spark.createDataFrame([(k, x) for k in range(40) for x in ("a", "b", "?")], "k bigint, token string")
+    vocabulary = spark.createDataFrame([("a", [1.0]), ("b", [2.0]), ("c", [3.0])], "token string, vec array<double>")
+    got = sorted((r["k"], r["token"], tuple(r["vec"] or ())) for r in vectors.lookup(tokens, vocabulary, most=most).collect())
+    assert got == sorted((k, x, v) for k in range(40) for x, v in (("a", (1.0,)), ("b", (2.0,)), ("?", ())))
+
+
+def test_two_tables_meet_by_key(spark):
+    p = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (9, "z")], "k bigint, prediction string")
+    r = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "k bigint, reference string")
+    assert sorted(map(tuple, metrics.matched(p, r, "k").collect())) == [(1, "a", "A"), (2, "b", "B"), (2, "c", "B")]
+    assert {x["side"]: x["n"] for x in metrics.unmatched(p, r, "k").collect()} == {"prediction": 1, "reference": 1}
+    means = metrics.hard_metrics(metrics.matched(p, r, "k"), "k", {"same_length": lambda a, b: (F.length(a) == F.length(b)).cast("double")}).first()
+    assert means["em"] == round(2 / 3, 6) and means["same_length"] == 1.0
+
+
+@pytest.mark.parametrize("most", [10, 0])
+def test_first_deliveries(spark, tmp_path, most):
+    rows = [(k, f"text {k}", d) for k in range(50) for d in ((3, 1, 2) if k % 10 == 0 else (5,))] + [(None, "no key", 1), (None, "no key either", 2)]
+    spark.createDataFrame(rows, "k bigint, text string, loaded_at int").repartition(5).write.parquet(str(tmp_path / "t"))
+    got = tables.first_deliveries(spark.read.parquet(str(tmp_path / "t")), "k", most).where("k is not null").collect()
+    assert sorted((r["k"], r["text"]) for r in got) == [(k, f"text {k}") for k in range(50)]
+    if most:
+        assert all(r["loaded_at"] == (1 if r["k"] % 10 == 0 else 5) for r in got)
+
+
+def test_row_numbers_of_sparse_and_uneven_ids(spark):
+    rng = random.Random(8)
+    ids = sorted({*range(300), *(rng.getrandbits(62) for _ in range(3000)), -(1 << 62), -5})
+    df = spark.createDataFrame([(k,) for k in ids], "k bigint").repartition(6)
+    assert {r["k"]: r["row_no"] for r in tables.by_id(df, "k", buckets=64).collect()} == {k: i for i, k in enumerate(ids)}
+    sizes = tables.by_id(df, "k", buckets=64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" in sizes
+
+
+def test_preview(spark):
+    rows = spark.createDataFrame([(1, ["<pad>", "<s>", "a", "</s>"], ["-100", "-100", "a", "</s>"], "x")], "k bigint, decoder array<string>, labels array<string>, task string")
+    assert tuple(sinks.preview(rows, "k", keep=("task", "other")).first()) == (1, "a", "a", "0111", "0011", "x")
+    assert tuple(sinks.preview_pairs(pairs(spark, ("p", "r")), "ex_id").first()) == (0, "r", "p")
+
+
 def test_registry(spark):
     with pytest.raises(KeyError):
         registry.build("nothing", spark.range(1))

@@ -17,10 +17,10 @@ from .config import Pretraining, Rag, Specials, Trajectory
 from .functions import arrays as A
 from .functions import text as T
 from .functions.rng import uniform
-from .operators import batching, metrics, vectors
+from .operators import batching, encoder, metrics, vectors
 from .plans import pretraining, rag, registry, trajectory
 from .sources import tables
-from .sources.sinks import preview
+from .sources.sinks import preview, preview_pairs
 from .streaming import rows as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,7 +133,7 @@ def chunk_random_tail(spark, sf_dir):
     return _tokens(spark, sf_dir).select("doc_id", F.posexplode(spans).alias("chunk_no", "s")).select("doc_id", "chunk_no", "s.st", "s.len")
 
 
-@query(None)
+@query(S.recursive(S.TOKENS, S.RANDOM_K) + "SELECT doc_id, i - 1 AS part_no, size AS n_tokens FROM rk WHERE i > 0")
 def chunk_random_k(spark, sf_dir):
     """Exactly one part more than needed for each text's tokens."""
     n = F.size("tk")
@@ -315,12 +315,12 @@ def rag_rows(spark, sf_dir):
     return rows.select("ex_id", "n_mem", "prefix", F.size("decoder").alias("n_decoder"), joined("decoder").alias("decoder"), joined("labels").alias("labels"), "n_loss", "lost_mem")
 
 
-@query(S.with_(S.QUESTIONS, S.CHUNKED) + "SELECT ex_id, n_chunks, n_mem, section FROM ch")
+@query(S.with_(S.QUESTIONS, S.CHUNKED, S.PROMPTS, S.RAG_ROWS) + f"SELECT ex_id, n_chunks, n_mem, section, prefix, {S.joined('decoder')} AS decoder, {S.joined('labels')} AS labels FROM rr JOIN ch USING (ex_id)")
 def rag_rows_chunked(spark, sf_dir):
     """Documents in up to three overlapping chunks each; one header covers all chunks of a document."""
     c = Rag(chunk_docs=True, chunk_overlap=OVERLAP, n_max_chunks=3)
     rows = rag.rows(_questions(spark, sf_dir), c)
-    return rows.select("ex_id", F.size("chunks").alias("n_chunks"), "n_mem", T.doc_section(F.col("n_mems")).alias("section"))
+    return rows.select("ex_id", F.size("chunks").alias("n_chunks"), "n_mem", T.doc_section(F.col("n_mems")).alias("section"), "prefix", joined("decoder").alias("decoder"), joined("labels").alias("labels"))
 
 
 @query(S.with_(S.QUESTIONS, S.NMEMS, S.PROMPTS, S.RAG_ROWS) + f"SELECT ex_id, {S.joined(S.mask_prefix('decoder', 'prefix', 4))} AS labels FROM rr")
@@ -413,6 +413,12 @@ def _hidden(spark, sf_dir):
     return rows.select(F.floor(F.col("vec_id") / 8).alias("ex_id"), (F.col("vec_id") % 8).alias("pos"), token.alias("token"), F.col("embedding").alias("vec"))
 
 
+def _connector(vec: Column) -> Column:
+    w1 = [[weight("w1", h * IN + d) for d in range(IN)] for h in range(HIDDEN)]
+    w2 = [[weight("w2", o * HIDDEN + h) for h in range(HIDDEN)] for o in range(OUT)]
+    return vectors.connector(vec, w1, [0.1] * HIDDEN, w2, [0.2] * OUT)
+
+
 @query(S.with_(S.HIDDEN) + "SELECT ex_id, mem_ordinal, pos, round(CAST(list_sum(vec) AS DOUBLE), 3) AS total FROM g")
 def mem_gather(spark, sf_dir):
     rows = vectors.mem_gather(_hidden(spark, sf_dir), "ex_id", SP.mem)
@@ -421,11 +427,8 @@ def mem_gather(spark, sf_dir):
 
 @query(S.with_(S.HIDDEN, S.CONNECTOR) + "SELECT ex_id, mem_ordinal, o, y FROM cn")
 def connector_mlp(spark, sf_dir):
-    w1 = [[weight("w1", h * IN + d) for d in range(IN)] for h in range(HIDDEN)]
-    w2 = [[weight("w2", o * HIDDEN + h) for h in range(HIDDEN)] for o in range(OUT)]
     rows = vectors.mem_gather(_hidden(spark, sf_dir), "ex_id", SP.mem)
-    out = vectors.connector(F.col("vec"), w1, [0.1] * HIDDEN, w2, [0.2] * OUT)
-    return rows.select("ex_id", "mem_ordinal", out.alias("v")).select("ex_id", "mem_ordinal", F.posexplode("v").alias("o", "y")).withColumn("y", F.round("y", 4))
+    return rows.select("ex_id", "mem_ordinal", _connector(F.col("vec")).alias("v")).select("ex_id", "mem_ordinal", F.posexplode("v").alias("o", "y")).withColumn("y", F.round("y", 4))
 
 
 @query(S.with_(S.HIDDEN) + "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS at FROM embeddings WHERE embedding IS NOT NULL")
@@ -433,24 +436,31 @@ def argmax_tokens(spark, sf_dir):
     return tables.read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", vectors.argmax(F.col("embedding")).alias("at"))
 
 
-@query(S.with_(S.PAIRS) + f"SELECT ex_id, h, count(*) AS n, round(avg({S.md5_real('token')}), 6) AS mean FROM (SELECT ex_id, md5(prediction || reference) AS h, unnest({S.words('prediction')}) AS token FROM pa) GROUP BY ex_id, h")
+@query(S.with_(S.PAIRS, S.VOCABULARY) + f"SELECT ex_id, h, count(*) AS n, count(rank) AS n_known, round(avg(rank), 6) AS mean FROM (SELECT ex_id, md5(prediction || reference) AS h, unnest({S.words('prediction')}) AS token FROM pa) LEFT JOIN v USING (token) GROUP BY ex_id, h")
 def embed_lookup(spark, sf_dir):
-    """Predictions' tokens joined with a vocabulary of one-dimensional vectors."""
+    """Predictions' tokens joined with the list of frequent words as a vocabulary of one-dimensional vectors."""
     rows = tables.pairs(spark, sf_dir).select("ex_id", F.md5(F.concat("prediction", "reference")).alias("h"), F.explode(T.words(F.col("prediction"))).alias("token"))
-    real = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("double") / 4294967296.0
-    vocabulary = rows.select("token").distinct().select("token", F.array(real).alias("vec"))
-    return vectors.lookup(rows, vocabulary).groupBy("ex_id", "h").agg(F.count("*").alias("n"), F.round(F.avg(F.col("vec")[0]), 6).alias("mean"))
+    listed = tables.read(spark, sf_dir, "common_words").where("word is not null")
+    vocabulary = listed.groupBy(F.lower("word").alias("token")).agg(F.array(F.min("rank_no").cast("double")).alias("vec"))
+    at = F.col("vec")[0]
+    return vectors.lookup(rows, vocabulary).groupBy("ex_id", "h").agg(F.count("*").alias("n"), F.count(at).alias("n_known"), F.round(F.avg(at), 6).alias("mean"))
 
 
 @query(S.recursive(S.TOKENS, *S.PRETRAIN) + f"SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS mem_ordinal, round({S.u32('doc_id', 'vec', 'row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1')} / 4294967296.0, 6) AS v FROM (SELECT doc_id, i - 1 AS pos FROM (SELECT doc_id, decoder, unnest(range(1, len(decoder) + 1)) AS i FROM rows) WHERE decoder[i] = '<MEM>')")
 def embed_scatter(spark, sf_dir):
     """Vectors of a record's chunks, in order, to the placeholders of its decoder sequence."""
     rows = pretraining.rows(_tokens(spark, sf_dir), PRE)
-    places = rows.select("doc_id", F.explode(A.positions(F.col("decoder"), SP.mem)).alias("pos"))
-    ordinal = F.explode(F.sequence(F.lit(0), F.col("n_mem") - 1)).alias("mem_ordinal")
-    compressed = rows.where("n_mem > 0").select("doc_id", ordinal)
-    compressed = compressed.withColumn("vec", F.array(uniform(SEED, F.col("doc_id"), "vec", F.col("mem_ordinal"))))
-    return vectors.scatter(places, compressed, "doc_id").select("doc_id", "pos", "mem_ordinal", F.round(F.col("vec")[0], 6).alias("v"))
+    vec = F.transform(F.sequence(F.lit(0), F.col("n_mem") - 1), lambda k: F.array(uniform(SEED, F.col("doc_id"), "vec", k)))
+    rows = rows.where("n_mem > 0").select("doc_id", F.explode(vectors.scatter_in_row(F.col("decoder"), vec, SP.mem)).alias("m"))
+    return rows.select("doc_id", "m.pos", "m.mem_ordinal", F.round(F.col("m.vec")[0], 6).alias("v"))
+
+
+@query(S.with_(S.HIDDEN, S.CONNECTOR) + "SELECT ex_id, count(DISTINCT mem_ordinal) AS n_mem, CAST(sum(CAST(round(y * 10000) AS BIGINT)) AS BIGINT) AS total FROM cn GROUP BY ex_id")
+def compress(spark, sf_dir):
+    """Hidden states to compressed vectors of a record: gathered at placeholders, sent through the connector; their sum in ten thousandths."""
+    rows = encoder.connected(_hidden(spark, sf_dir), "ex_id", _connector, SP.mem)
+    rows = rows.withColumn("total", F.aggregate("vec", F.lit(0).cast("bigint"), lambda a, y: a + F.round(F.round(y, 4) * 10000).cast("bigint")))
+    return rows.groupBy("ex_id").agg(F.count("*").alias("n_mem"), F.sum("total").alias("total"))
 
 
 # -- metrics ----------------------------------------------------------------------------
@@ -529,47 +539,68 @@ def rouge2(spark, sf_dir):
     return metrics.with_rouge_n(metrics.with_words(_pairs(spark, sf_dir)), 2).select("ex_id", F.round("rouge_2", 6).alias("rouge_2"))
 
 
-@query(None)
+@query(S.with_(S.PAIRS, S.SCORES) + "SELECT ex_id, rouge_l FROM sc")
 def rougeL(spark, sf_dir):  # noqa: N802
     return metrics.with_words(_pairs(spark, sf_dir)).select("ex_id", F.round(metrics.rouge_l("p_words", "r_words"), 6).alias("rouge_l"))
 
 
-@query(None)
+@query(S.with_(S.PAIRS, S.SCORES) + f"SELECT {S.MEANS[0]} FROM sc")
 def rouge_scores(spark, sf_dir):
-    return metrics.hard_metrics(_pairs(spark, sf_dir)).select("rouge_1", "rouge_2", "rouge_l")
+    return metrics.hard_metrics(_pairs(spark, sf_dir)).select(*(F.round(c, 4).alias(c) for c in ("rouge_1", "rouge_2", "rouge_l")))
 
 
-@query(None)
+@query(S.with_(S.PAIRS, S.SCORES) + f"SELECT {S.MEANS[0]}, {S.MEANS[1]} FROM sc")
 def hard_metrics(spark, sf_dir):
-    return metrics.hard_metrics(_pairs(spark, sf_dir))
+    return _means(metrics.hard_metrics(_pairs(spark, sf_dir)))
+
 
+def _means(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 4).alias(c) for c in metrics.MEANS))
 
-@query(None)
+
+@query(S.with_(S.QUESTIONS, S.MATCHED, S.SCORES) + f"SELECT {S.MEANS[0]}, {S.MEANS[1]} FROM sc")
 def eval_metrics(spark, sf_dir):
-    """Labels and predictions of the retrieval rows, unmasked, decoded and scored; the stand-in prediction is the row's own decoder sequence."""
-    rows = rag.rows(_questions(spark, sf_dir), RAG)
-    text = lambda c: T.decode(A.unmask(F.col(c), F.col("labels"), SP.pad), SP)
-    return metrics.hard_metrics(rows.select("ex_id", text("decoder").alias("prediction"), text("labels").alias("reference")))
+    """Predictions against the labels of the retrieval records, from two tables that meet by key."""
+    return _means(metrics.hard_metrics(metrics.matched(_predictions(spark, sf_dir), _labels(spark, sf_dir), "ex_id")))
+
+
+def _predictions(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("ex_id", T.clean_text(F.col("prediction")).alias("prediction"))
+
+
+def _labels(spark, sf_dir):
+    return _questions(spark, sf_dir).where("label is not null").select("ex_id", T.clean_text(F.col("label")).alias("reference"))
+
+
+@query(S.with_(S.QUESTIONS, S.PAIRS) + "SELECT 'prediction' AS side, count(*) AS n FROM pa WHERE ex_id NOT IN (SELECT ex_id FROM q WHERE label IS NOT NULL) UNION ALL SELECT 'reference', count(*) FROM q WHERE label IS NOT NULL AND ex_id NOT IN (SELECT ex_id FROM pa)")
+def unmatched_pairs(spark, sf_dir):
+    """Predictions without a labelled record, and labelled records without a prediction."""
+    return metrics.unmatched(_predictions(spark, sf_dir), _labels(spark, sf_dir), "ex_id")
 
 
 # -- looking at rows, streams -----------------------------------------------------------
 
 
-@query(None)
+@query(S.recursive(S.TOKENS, *S.PRETRAIN) + f"SELECT doc_id, task, {S.joined(S.decode('decoder'))} AS decoder_text, {S.joined(S.decode(S.counted(S.mask_special('decoder'))))} AS label_text, repeat('1', len(decoder)) AS mask, array_to_string(list_transform({S.mask_special('decoder')}, lambda y: CASE WHEN y = '-100' THEN '0' ELSE '1' END), '') AS loss FROM rows ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 2")
 def preview_rows(spark, sf_dir):
-    return preview(pretraining.rows(_tokens(spark, sf_dir), PRE), "doc_id", 2)
+    return preview(pretraining.rows(_tokens(spark, sf_dir), PRE), "doc_id", 2, keep=("task",))
+
+
+@query(S.with_(S.PAIRS) + "SELECT ex_id, reference, prediction FROM pa ORDER BY md5(CAST(ex_id AS VARCHAR)), ex_id, prediction, reference LIMIT 1")
+def preview_prediction(spark, sf_dir):
+    """A label beside its prediction."""
+    return preview_pairs(_pairs(spark, sf_dir), "ex_id", 1)
 
 
 @query(S.with_(S.TOKENS, S.chunks(0)) + f"SELECT t.doc_id, len(tk) AS n_tokens, count(chunk) AS n_chunks, CAST(coalesce(sum(len(chunk) // {RATE} + 1), 0) AS BIGINT) AS n_mem FROM t LEFT JOIN c ON t.doc_id = c.doc_id GROUP BY t.doc_id, len(tk)")
 def row_stage(spark, sf_dir):
     """The row-wise stage that also runs on streams, over the whole table."""
-    return streams.chunk_counts(tables.read(spark, sf_dir, "pretrain_in"), CMAX, RATE).drop("loaded_at").distinct()
+    return streams.chunk_counts(tables.first_deliveries(tables.read(spark, sf_dir, "pretrain_in"), "doc_id"), CMAX, RATE).drop("loaded_at")
 
 
-@query("SELECT strftime(loaded_at, '%Y-%m-%d') AS day, count(*) AS records, CAST(sum(CASE WHEN text = '' THEN 0 ELSE len(string_split(replace(replace(text, '<RET>', '< RET >'), '<MEM>', '< MEM >'), ' ')) END) AS BIGINT) AS tokens FROM pretrain_in WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT strftime(loaded_at, '%Y-%m-%d') AS day, count(*) AS records, CAST(sum(CASE WHEN text = '' THEN 0 ELSE len(string_split(replace(replace(text, '<RET>', '< RET >'), '<MEM>', '< MEM >'), ' ')) END) AS BIGINT) AS tokens FROM (SELECT doc_id, any_value(text) AS text, min(loaded_at) AS loaded_at FROM pretrain_in WHERE text IS NOT NULL GROUP BY doc_id) GROUP BY 1")
 def window_totals(spark, sf_dir):
-    """Daily totals by load time, as the streaming windows give them."""
-    totals = streams.windows(streams.chunk_counts(tables.read(spark, sf_dir, "pretrain_in"), CMAX, RATE))
+    """Daily totals by load time, as the streaming windows give them; a record counts on the day of its first delivery."""
+    rows = tables.first_deliveries(tables.read(spark, sf_dir, "pretrain_in"), "doc_id")
+    totals = streams.windows(streams.chunk_counts(rows, CMAX, RATE))
     return totals.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "records", "tokens")
-
-

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import Specials
-from .rng import randint, u32
+from .rng import randint
 
 NO_TOKENS, NO_CHUNKS = "array<string>", "array<array<string>>"
 IGNORED = "-100"
@@ -58,19 +58,19 @@ def spans_to_chunks(tokens: Column, spans: Column) -> Column:
 def random_k_sizes(key: Column, n: Column, k: Column, longest: int, seed: int) -> Column:
     """Sizes of exactly ``k`` parts of 1 to ``longest`` units that make up ``n``; null where there is no such split.
 
-    Units are added one by one to a part drawn among the live ones; a full part
-    leaves when it is drawn. At most n draws.
+    One draw for each part, between what the parts behind it need and what they can hold.
     """
 
-    def step(s: Column, draw: Column) -> Column:
-        at = F.element_at(s["live"], (u32(seed, key, "parts", draw) % F.greatest(F.size(s["live"]), F.lit(1)) + 1).cast("int"))
-        full = F.element_at(s["sizes"], at) >= longest
-        grown = F.transform(s["sizes"], lambda x, i: F.when(i + 1 == at, x + 1).otherwise(x))
-        moved = F.struct(F.when(full, s["sizes"]).otherwise(grown).alias("sizes"), F.when(full, F.array_remove(s["live"], at)).otherwise(s["live"]).alias("live"), F.when(full, s["left"]).otherwise(s["left"] - 1).alias("left"))
-        return F.when(s["left"] <= 0, s).otherwise(moved)
+    def step(s: Column, i: Column) -> Column:
+        behind = k - i
+        low = F.greatest(F.lit(1), s["rest"] - behind * longest)
+        high = F.least(F.lit(longest), s["rest"] - behind)
+        size = randint(seed, key, low, high, "parts", i).cast("int")
+        return F.struct((s["rest"] - size).alias("rest"), F.concat(s["sizes"], F.array(size)).alias("sizes"))
 
-    start = F.struct(F.array_repeat(F.lit(1), k).alias("sizes"), F.sequence(F.lit(1), k).alias("live"), (n - k).alias("left"))
-    return F.when((k >= 1) & (n >= k) & (n <= k * longest), F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, lambda s: s["sizes"]))
+    start = F.struct(n.cast("int").alias("rest"), F.array().cast("array<int>").alias("sizes"))
+    sizes = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), start, step, lambda s: s["sizes"])
+    return F.when((k >= 1) & (n >= k) & (n <= k * longest), sizes)
 
 
 def n_mem(length: Column, rate: int) -> Column:

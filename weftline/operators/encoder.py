@@ -1,17 +1,18 @@
 """The boundary to neural models: ids in, vectors or ids out, a batch at a time.
 
 A model is a factory that is called once in each worker and returns a function of
-a batch. The engine ships a deterministic stand-in for tests only; real models,
-their training and their checkpoints are not part of it.
+a batch. Models, their training and their checkpoints are not part of the engine.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .vectors import mem_gather
 
 Encode = Callable[[list[list[str]]], list[list[list[float]]]]
 
@@ -31,11 +32,11 @@ def encode(df: DataFrame, key: str, tokens: str, factory: Callable[[], Encode])
     return df.selectExpr(f"{key} AS k", f"{tokens} AS t").mapInPandas(run, f"{key} {kind}, pos int, token string, vec array<double>")
 
 
-def stub_encoder(width: int = 4) -> Callable[[], Encode]:
-    """Vectors from a hash of position and token, for tests."""
+def compress(df: DataFrame, key: str, tokens: str, factory: Callable[[], Encode], connect: Callable[[Column], Column], mem: str = "<MEM>") -> DataFrame:
+    """(key, mem_ordinal, pos, vec): rows encoded, hidden states gathered at placeholders and sent through the connector."""
+    return connected(encode(df, key, tokens, factory), key, connect, mem)
 
-    def vector(pos: int, token: str) -> list[float]:
-        digest = hashlib.md5(f"{pos}|{token}".encode()).digest()
-        return [x / 255 for x in digest[:width]]
 
-    return lambda: lambda rows: [[vector(p, t) for p, t in enumerate(r)] for r in rows]
+def connected(hidden: DataFrame, key: str, connect: Callable[[Column], Column], mem: str = "<MEM>") -> DataFrame:
+    """(key, mem_ordinal, pos, vec) from hidden states (key, pos, token, vec)."""
+    return mem_gather(hidden, key, mem).withColumn("vec", connect(F.col("vec")))

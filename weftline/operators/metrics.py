@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +31,15 @@ def token_counts(df: DataFrame, key: str, text: str, tokenize: Callable[[Column]
 
 
 def f1_pairs(df: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference", tokenize: Callable[[Column], Column] = words) -> DataFrame:
-    """(key, overlap, n_pred, n_ref, f1, precision, recall): multiset overlap of tokens, not normalized.
+    """(key, overlap, n_pred, n_ref, f1, precision, recall) of each row: multiset overlap of tokens, not normalized; no shuffle."""
+    return with_f1(df.select(key, tokenize(F.col(prediction)).alias("p_words"), tokenize(F.col(reference)).alias("r_words"))).drop("p_words", "r_words")
 
-    The multisets meet in one aggregation on (key, token), no join of texts is needed.
-    """
-    side = lambda c, s: df.select(key, F.explode(tokenize(F.col(c))).alias("token"), F.lit(s).alias("side"))
-    both = side(prediction, 1).unionByName(side(reference, 0)).groupBy(key, "token").agg(F.sum("side").alias("p"), F.sum(1 - F.col("side")).alias("r"))
-    hits = both.groupBy(key).agg(F.sum(F.least("p", "r")).alias("overlap"), F.sum("p").alias("n_pred"), F.sum("r").alias("n_ref"))
-    rows = df.select(key).distinct().join(hits, key, "left").fillna(0, ["overlap", "n_pred", "n_ref"])
-    return with_scores(rows)
+
+def with_f1(rows: DataFrame) -> DataFrame:
+    """Overlap and scores from ``p_words`` and ``r_words``: each distinct common word counts as often as the side with fewer of it."""
+    times = lambda side, x: F.size(F.filter(side, lambda y: y == x))
+    overlap = F.aggregate(F.array_intersect("p_words", "r_words"), F.lit(0), lambda a, x: a + F.least(times("p_words", x), times("r_words", x)))
+    return with_scores(rows.withColumns({"overlap": overlap.cast("bigint"), "n_pred": F.size("p_words").cast("bigint"), "n_ref": F.size("r_words").cast("bigint")}))
 
 
 def with_scores(rows: DataFrame) -> DataFrame:
@@ -63,9 +62,8 @@ def f1_multi(df: DataFrame, key: str, prediction: str, references: str, char_ref
     else:
         given = F.col(references)
     rows = df.select(key, F.col(prediction).alias("prediction"), F.posexplode_outer(F.array_distinct(given)).alias("ref_no", "reference"))
-    rows = rows.select(F.struct(key, "ref_no").alias("pair"), "prediction", F.coalesce("reference", F.lit("")).alias("reference"))
-    scores = f1_pairs(rows, "pair")
-    return scores.groupBy(F.col(f"pair.{key}").alias(key)).agg(F.max("f1").alias("f1"), F.max("precision").alias("precision"), F.max("recall").alias("recall"))
+    scores = f1_pairs(rows.withColumn("reference", F.coalesce("reference", F.lit(""))), key)
+    return scores.groupBy(key).agg(F.max("f1").alias("f1"), F.max("precision").alias("precision"), F.max("recall").alias("recall"))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -91,19 +89,16 @@ def with_rouge_n(rows: DataFrame, *sizes: int) -> DataFrame:
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, row by row over arrays."""
-    if not len(a) or not len(b):
-        return 0
-    number: dict[str, int] = {}
-    x = np.array([number.setdefault(t, len(number)) for t in a])
-    y = np.array([number.setdefault(t, len(number)) for t in b])
-    if len(x) < len(y):
-        x, y = y, x
-    row = np.zeros(len(y) + 1, np.int64)
-    for t in x:
-        step = np.maximum(row[1:], np.where(y == t, row[:-1] + 1, 0))
-        row[1:] = np.maximum.accumulate(step)
-    return int(row[-1])
+    """Length of the longest common subsequence, a whole row of the table in one number's bits."""
+    at: dict[str, int] = {}
+    for k, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def rouge_l(p_words: Column | str, r_words: Column | str) -> Column:
@@ -118,16 +113,34 @@ def rouge_l(p_words: Column | str, r_words: Column | str) -> Column:
     return F.pandas_udf(run, "double")(p_words, r_words)
 
 
-def pair_scores(pairs: DataFrame, key: str = "ex_id") -> DataFrame:
-    """Every metric of every (prediction, reference); a key may have several pairs, which are told apart by their texts."""
-    pairs = pairs.withColumn("pair", F.struct(key, F.xxhash64("prediction", "reference").alias("h")))
+#: A metric of the user's: a column from prediction and reference.
+Metric = Callable[[Column, Column], Column]
+
+
+def pair_scores(pairs: DataFrame, key: str = "ex_id", more: dict[str, Metric] | None = None) -> DataFrame:
+    """Every metric of every (prediction, reference) row, and those in ``more`` by name; one pass without a shuffle."""
     p, r = F.col("prediction"), F.col("reference")
-    rows = with_rouge_n(with_words(pairs), 1, 2)
-    rows = rows.select("pair", exact(p, r).alias("em"), contained(p, r).alias("m"), "rouge_1", "rouge_2", rouge_l("p_words", "r_words").alias("rouge_l"))
-    return rows.join(f1_pairs(pairs.select("pair", "prediction", "reference"), "pair"), "pair").withColumn(key, F.col(f"pair.{key}")).drop("pair")
+    own = {name: metric(p, r) for name, metric in (more or {}).items()}
+    rows = with_f1(with_rouge_n(with_words(pairs), 1, 2))
+    return rows.select(key, exact(p, r).alias("em"), contained(p, r).alias("m"), "rouge_1", "rouge_2", rouge_l("p_words", "r_words").alias("rouge_l"), "overlap", "n_pred", "n_ref", "precision", "recall", "f1", *(c.alias(n) for n, c in own.items()))
+
 
+MEANS = ("rouge_1", "rouge_2", "rouge_l", "precision", "recall", "f1", "em", "m")
 
-def hard_metrics(pairs: DataFrame, key: str = "ex_id") -> DataFrame:
-    """One row of means: ROUGE, precision, recall, f1, exact match and containment; null for no pairs."""
+
+def hard_metrics(pairs: DataFrame, key: str = "ex_id", more: dict[str, Metric] | None = None) -> DataFrame:
+    """One row of means: ROUGE, precision, recall, f1, exact match, containment and ``more``; null for no pairs."""
     mean = lambda c: F.round(F.avg(c), 6).alias(c)
-    return pair_scores(pairs, key).agg(*map(mean, ("rouge_1", "rouge_2", "rouge_l", "precision", "recall", "f1", "em", "m")))
+    return pair_scores(pairs, key, more).agg(*map(mean, (*MEANS, *(more or {}))))
+
+
+def matched(predictions: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """(key, prediction, reference) of two tables that meet by key; one row for each pair of rows."""
+    return predictions.select(key, "prediction").join(references.select(key, "reference"), key)
+
+
+def unmatched(predictions: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """(side, n): how many keys only predictions or only references have."""
+    a, b = predictions.select(key).distinct(), references.select(key).distinct()
+    only = lambda x, y, name: x.join(y, key, "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n")
+    return only(a, b, "prediction").unionByName(only(b, a, "reference"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import positions
+
 
 def mem_gather(hidden: DataFrame, key: str, mem: str = "<MEM>") -> DataFrame:
     """(key, mem_ordinal, pos, vec): hidden states at placeholders, in order, from (key, pos, token, vec)."""
@@ -47,9 +49,26 @@ def scatter(places: DataFrame, compressed: DataFrame, key: str) -> DataFrame:
     return places.select(key, "pos", ordinal.alias("mem_ordinal")).join(compressed, [key, "mem_ordinal"], "left")
 
 
-def lookup(tokens: DataFrame, vocabulary: DataFrame, token: str = "token") -> DataFrame:
-    """Each token's row with its vector from (token, vec); unknown tokens get null."""
-    return tokens.join(vocabulary, token, "left")
+def scatter_in_row(tokens: Column, vecs: Column, mem: str = "<MEM>") -> Column:
+    """(pos, mem_ordinal, vec) of a row's placeholders, from the row's own vectors in order; no join."""
+    return F.transform(positions(tokens, mem), lambda pos, k: F.struct(pos.alias("pos"), k.alias("mem_ordinal"), F.get(vecs, k).alias("vec")))
+
+
+#: Rows of a vocabulary that is broadcast, and the parts of one that is not.
+MOST_BROADCAST, SALTS = 1_000_000, 16
+
+
+def lookup(tokens: DataFrame, vocabulary: DataFrame, token: str = "token", most: int = MOST_BROADCAST) -> DataFrame:
+    """Each token's row with its vector from (token, vec), one row a token; unknown tokens get null.
+
+    A vocabulary of at most ``most`` rows is broadcast; beyond that its rows are repeated
+    ``SALTS`` times, so that frequent tokens are spread over as many tasks.
+    """
+    if vocabulary.count() <= most:
+        return tokens.join(F.broadcast(vocabulary), token, "left")
+    spread = vocabulary.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = tokens.withColumn("__salt", F.pmod(F.xxhash64(*tokens.columns), F.lit(SALTS)).cast("int"))  # by hash, so that a task run again gives the same
+    return salted.join(spread, [token, "__salt"], "left").drop("__salt")
 
 
 def argmax(values: Column) -> Column:

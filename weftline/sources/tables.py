@@ -24,14 +24,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df
 
 
-def records(spark: SparkSession, sf_dir: str, table: str, where: str | None = None) -> DataFrame:
-    """The declared columns of the rows wanted, a record delivered again once.
+#: Repeated records up to which their first places are broadcast (24 bytes each).
+MOST_REPEATED = 2_000_000
+
+
+def first_deliveries(df: DataFrame, key: str, most: int = MOST_REPEATED) -> DataFrame:
+    """One row for each key of a Parquet table, without moving the rows.
 
-    Deliveries of a record are equal in these columns, so that rows are compared as
-    a whole, by hash and without a sort; what is rejected is so before the shuffle.
+    Keys alone are counted, and the places of the first deliveries (by ``loaded_at`` if
+    there is one) of repeated keys are broadcast: rows of these keys at other places are
+    dropped where they lie. Beyond ``most`` repeated keys rows are shuffled by key instead.
+    Rows without a key stay.
     """
-    df = read(spark, sf_dir, table).select(*SCHEMAS[table])
-    return (df if where is None else df.where(where)).distinct()
+    place = {"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
+    keys = df.select(F.col(key).alias("__key"), *(["loaded_at"] if "loaded_at" in df.columns else []), *(c.alias(n) for n, c in place.items()))
+    order = F.struct(*keys.columns[1:])
+    repeated = keys.groupBy("__key").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1 and __key is not null")
+    if repeated.count() > most:
+        return df.dropDuplicates([key])
+    firsts = F.broadcast(repeated.select("__key", F.col("first.__file").alias("__first_file"), F.col("first.__row").alias("__first_row")))
+    later = (F.col(key) == F.col("__key")) & ((F.col("__file") != F.col("__first_file")) | (F.col("__row") != F.col("__first_row")))
+    return df.withColumns(place).join(firsts, later, "left_anti").drop("__file", "__row")
+
+
+def records(spark: SparkSession, sf_dir: str, table: str, where: str | None = None) -> DataFrame:
+    """The declared columns of the rows wanted, a record delivered again once; no row is shuffled."""
+    columns = list(SCHEMAS[table])
+    df = first_deliveries(read(spark, sf_dir, table), columns[0]).select(*columns)
+    return df if where is None else df.where(where)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +83,9 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
 def dense_index(df: DataFrame, bucket: Column, *order: Column, name: str = "row_no") -> DataFrame:
     """Row numbers from 0 in a total order, without sorting all rows in one task.
 
-    ``bucket`` must rise with the order. Rows are numbered within their bucket; the
-    buckets' offsets are a running sum over one row for each bucket.
+    ``bucket`` must rise with the order and have a bounded number of values. Rows are
+    numbered within their bucket; the buckets' offsets are a running sum over one row
+    for each bucket.
     """
     rows = df.withColumn("__bucket", bucket)
     sizes = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
@@ -74,8 +95,22 @@ def dense_index(df: DataFrame, bucket: Column, *order: Column, name: str = "row_
     return numbered.join(offsets, "__bucket").withColumn(name, F.col("__before") + F.col("__k") - 1).drop("__bucket", "__before", "__k")
 
 
-def by_id(df: DataFrame, key: str, name: str = "row_no", width: int = 4096) -> DataFrame:
-    return dense_index(df, F.floor(F.col(key) / width), F.col(key), name=name)
+def by_id(df: DataFrame, key: str, name: str = "row_no", buckets: int = 1024) -> DataFrame:
+    """Row numbers by a key of any values: the buckets are cut at its quantiles, so that each holds about as many rows.
+
+    ``buckets`` is a power of two; more of them suit larger tables.
+    """
+    steps = buckets.bit_length() - 1
+    cuts = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("cuts")).scalar()
+    rows = df.withColumn("__cuts", cuts)
+
+    def half(at: Column, step: Column) -> Column:
+        """Binary search: the number of cuts at or below the key."""
+        to = at + F.element_at(F.array(*(F.lit(buckets >> s) for s in range(1, steps + 1))), step)
+        return F.when(F.get("__cuts", to - 1) <= F.col(key), to).otherwise(at)
+
+    bucket = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0), half)
+    return dense_index(rows, bucket, F.col(key), name=name).drop("__cuts")
 
 
 def train_test_split(df: DataFrame, key: str, seed: int = 42, most: int = 64) -> DataFrame:

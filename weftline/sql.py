@@ -78,6 +78,10 @@ def unmask(values: str, labels: str) -> str:
     return f"list_transform(range(1, len({values}) + 1), lambda u: CASE WHEN ({labels})[u] = '-100' THEN '<pad>' ELSE ({values})[u] END)"
 
 
+def counted(x: str) -> str:
+    return f"list_filter({x}, lambda e: e <> '-100')"
+
+
 def decode(x: str) -> str:
     return f"list_filter({x}, lambda d: d NOT IN ('<AE>', '<pad>', '<s>', '</s>', '<MEM>'))"
 
@@ -103,6 +107,11 @@ def tail(source: str, n: str) -> str:
     return f"r AS (SELECT doc_id, {n} AS n, 0::BIGINT AS k, 0::BIGINT AS pos, 0::BIGINT AS size FROM {source} UNION ALL SELECT doc_id, n, k + 1, pos + size, {size} FROM r WHERE {rest} > 0)"
 
 
+RANDOM_K = (
+    f"kk AS (SELECT doc_id, len(tk) AS n, CASE WHEN len(tk) > 1 THEN (len(tk) + {CMAX - 1}) // {CMAX} + 1 ELSE len(tk) END AS k FROM t WHERE len(tk) > 0),\n"
+    f"rk AS (SELECT doc_id, k, 0::BIGINT AS i, CAST(n AS BIGINT) AS rest, 0::BIGINT AS size FROM kk UNION ALL SELECT doc_id, k, i + 1, rest - drawn, drawn FROM (SELECT *, low + {u32('doc_id', 'parts', 'i + 1')} % (high - low + 1) AS drawn FROM (SELECT *, greatest(1, rest - (k - i - 1) * {CMAX}) AS low, least({CMAX}, rest - (k - i - 1)) AS high FROM rk WHERE i < k)))"
+)
+VOCABULARY = "v AS (SELECT lower(word) AS token, min(rank_no) AS rank FROM common_words WHERE word IS NOT NULL GROUP BY 1)"
 AUTOENCODE = (
     tail("t", f"CAST(CASE WHEN len(tk) <= 64 THEN 0 ELSE least(len(tk), {DMAX}) END AS BIGINT)"),
     f"mm AS (SELECT doc_id, CAST(count(*) FILTER (WHERE k > 0) AS BIGINT) AS parts, CAST(coalesce(sum(size // {RATE} + 1) FILTER (WHERE k > 0), 0) AS BIGINT) AS mems FROM r GROUP BY doc_id)",
@@ -138,9 +147,10 @@ RAG_ROWS = (
 )
 _STEP = CMAX - OVERLAP
 CHUNKED = (
-    f"d0 AS (SELECT ex_id, list_transform(docs[1:{TOPK}], lambda d: list_transform(range(0, len({tok(clean('d'))}), {_STEP})[1:3], lambda st: least({CMAX}, len({tok(clean('d'))}) - st))) AS lens FROM q),\n"
-    f"d1 AS (SELECT ex_id, lens, list_transform(lens, lambda l: CAST(coalesce(list_sum(list_transform(l, lambda y: y // {RATE} + 1)), 0) AS BIGINT)) AS m FROM d0),\n"
-    "ch AS (SELECT ex_id, CAST(coalesce(list_sum(list_transform(lens, lambda l: len(l))), 0) AS BIGINT) AS n_chunks, CAST(coalesce(list_sum(m), 0) AS BIGINT) AS n_mem, array_to_string(list_transform(range(1, len(m) + 1), lambda k: 'Document ' || (k - 1) || ':' || repeat('<MEM>', m[k])), '') AS section FROM d1)"
+    f"d0 AS (SELECT ex_id, query, label, list_transform(docs[1:{TOPK}], lambda d: list_transform(range(0, len({tok(clean('d'))}), {_STEP})[1:3], lambda st: least({CMAX}, len({tok(clean('d'))}) - st))) AS lens FROM q),\n"
+    f"d1 AS (SELECT ex_id, query, label, lens, list_transform(lens, lambda l: CAST(coalesce(list_sum(list_transform(l, lambda y: y // {RATE} + 1)), 0) AS BIGINT)) AS m FROM d0),\n"
+    "n AS (SELECT ex_id, query, label, m FROM d1),\n"
+    "ch AS (SELECT ex_id, CAST(coalesce(list_sum(list_transform(lens, lambda l: len(l))), 0) AS BIGINT) AS n_chunks, array_to_string(list_transform(range(1, len(m) + 1), lambda k: 'Document ' || (k - 1) || ':' || repeat('<MEM>', m[k])), '') AS section FROM d1)"
 )
 
 STEPS = (
@@ -209,3 +219,16 @@ def grams(x: str, n: int) -> str:
 def rouge(a: str, b: str, n: int) -> str:
     x, y = grams(a, n), grams(b, n)
     return f"CASE WHEN len(list_intersect({x}, {y})) > 0 THEN round(2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y})), 6) ELSE 0.0 END"
+
+
+_HITS = f"list_transform({words('prediction')}, lambda x: list_transform({words('reference')}, lambda y: CASE WHEN x = y THEN 1 ELSE 0 END))"
+_CELL = "greatest(acc[i], CASE WHEN hit[i] = 1 THEN 1 + CASE WHEN i = 1 THEN 0 ELSE acc[i - 1] END ELSE 0 END)"
+#: One row of the table after another, each cell the best of those before it.
+_LCS = f"list_last(list_reduce(list_concat([list_transform({words('reference')}, lambda z: 0)], {_HITS}), lambda acc, hit: list_transform(range(1, len(acc) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: {_CELL})))))"
+_COMMON = f"coalesce(list_sum(list_transform(list_intersect({words('prediction')}, {words('reference')}), lambda w: least(len(list_filter({words('prediction')}, lambda x: x = w)), len(list_filter({words('reference')}, lambda x: x = w))))), 0)"
+SCORES = (
+    f"s0 AS (SELECT ex_id, CASE WHEN len({words('prediction')}) > 0 AND len({words('reference')}) > 0 THEN {_LCS} ELSE 0 END AS lcs, {_COMMON} AS both_, len({words('prediction')}) AS np, len({words('reference')}) AS nr, {rouge('prediction', 'reference', 1)} AS rouge_1, {rouge('prediction', 'reference', 2)} AS rouge_2, CAST({normalize('prediction')} = {normalize('reference')} AS DOUBLE) AS em, CAST(contains({normalize('prediction')}, {normalize('reference')}) AS DOUBLE) AS m FROM pa),\n"
+    "sc AS (SELECT ex_id, CASE WHEN lcs > 0 THEN round(2.0 * lcs / (np + nr), 6) ELSE 0.0 END AS rouge_l, rouge_1, rouge_2, em, m, CASE WHEN both_ > 0 THEN both_ / np ELSE 0.0 END AS precision, CASE WHEN both_ > 0 THEN both_ / nr ELSE 0.0 END AS recall, CASE WHEN both_ > 0 THEN 2.0 * both_ / (np + nr) ELSE 0.0 END AS f1 FROM s0)"
+)
+MEANS = tuple(", ".join(f"round(avg({c}), 4) AS {c}" for c in part) for part in (("rouge_1", "rouge_2", "rouge_l"), ("precision", "recall", "f1", "em", "m")))
+MATCHED = f"pa AS (SELECT q.ex_id, {clean('p.prediction')} AS prediction, {clean('q.label')} AS reference FROM q JOIN (SELECT DISTINCT ex_id, coalesce(prediction, '') AS prediction FROM pairs_in WHERE reference IS NOT NULL) p ON p.ex_id = q.ex_id WHERE q.label IS NOT NULL)"
