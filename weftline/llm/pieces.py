@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import first_deliveries
 from .common import read
 
 LIMIT, OVERLAP = 1200, 100
@@ -163,19 +164,19 @@ def split_items(items: DataFrame, field: str, item_id: str, pos: str, text: str,
 
 
 def corpus_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(field_name, item_id, item_pos, item) of all passages and pretraining texts."""
-    docs = read(spark, sf_dir, "rag_in").select(F.lit("docs").alias("field_name"), F.col("ex_id").alias("item_id"), F.posexplode("docs").alias("item_pos", "item"))
-    texts = read(spark, sf_dir, "pretrain_in").select(F.lit("text").alias("field_name"), F.col("doc_id").alias("item_id"), F.lit(0).alias("item_pos"), F.col("text").alias("item"))
+    """(field_name, item_id, item_pos, item) of all passages and pretraining texts, a record delivered again once."""
+    docs = first_deliveries(read(spark, sf_dir, "rag_in"), "ex_id").select(F.lit("docs").alias("field_name"), F.col("ex_id").alias("item_id"), F.posexplode("docs").alias("item_pos", "item"))
+    texts = first_deliveries(read(spark, sf_dir, "pretrain_in"), "doc_id").select(F.lit("text").alias("field_name"), F.col("doc_id").alias("item_id"), F.lit(0).alias("item_pos"), F.col("text").alias("item"))
     return docs.unionByName(texts)
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_items(corpus_items(spark, sf_dir), "field_name", "item_id", "item_pos", "item")
+    return split_items(corpus_items(spark, sf_dir), "field_name", "item_id", "item_pos", "item", unique=True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items that come out in more than one piece: each has a piece with number 1."""
-    pieces = split_items(corpus_items(spark, sf_dir), "field_name", "item_id", "item_pos", "item", with_text=False)
+    pieces = split_items(corpus_items(spark, sf_dir), "field_name", "item_id", "item_pos", "item", with_text=False, unique=True)
     return pieces.where("piece_no = 1").select("field_name", "item_id", "item_pos")
 
 
