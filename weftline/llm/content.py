@@ -4,13 +4,16 @@ Method: FTRL-proximal logistic regression over hashed word n-grams and skip-gram
 one model for each kind, with per-coordinate rates and L1 sparsity; the non-zero
 weights are broadcast and every document is scored by its worst passage.
 
-The model is fit on reviewers' verdicts (at most ``MOST_LABELLED`` documents, a
-hash sample beyond that). What is usual is told by the number of documents that hold
-a word, counted over all documents for the words of the labelled ones. Verdicts are
-given for documents, of which mostly one sentence counts, and some are wrong: training
+The model is fit on reviewers' verdicts (at most ``MOST_LABELLED`` documents, a hash
+sample beyond that), in parts of ``PART_CHARS`` characters: every task runs FTRL over
+one part, and Spark averages the weights feature by feature, by the evidence that each
+part has for them; only sparse weights reach the driver. What is usual is told by the
+number of documents that hold a word, counted over all documents. Verdicts are given
+for documents, of which mostly one sentence counts, and some are wrong: training
 starts from the log odds of words between flagged and all documents, takes the passage
 of a flagged document that scores highest as its example, refits, and leaves out
-verdicts that the fit contradicts. Every document is scored.
+verdicts that the fit contradicts. The cutoff is the one with the best F1 on a fifth
+of the verdicts, by a model fit on the others. Every document is scored.
 """
 
 from __future__ import annotations
@@ -23,15 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut_lineage, read
 
 KINDS = ("abuse", "hate", "sexual")
 MOST_LABELLED = 8_000
-BITS = 20
-CUTOFF = 0.1
+#: Characters of labelled text that one task fits on.
+PART_CHARS = 2_000_000
+BITS = 21
+#: One of so many verdicts is held out for the cutoff, which is one of these.
+FOLDS = 5
+CUTOFFS = (0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.25, 0.3, 0.4, 0.5)
 #: Weight of an example against that of a usual passage.
 POSITIVE = 8.0
 #: Added to the counts of documents behind the odds of a word, and the errors that its lower bound lies below.
@@ -46,7 +54,7 @@ OFFSET = -4.0
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.1, 0.1
 EPOCHS, ROUNDS, BATCH = 2, 3, 512
 LONG, WINDOW, STRIDE = 40, 24, 12
-NUMBER, RARE = "#", "?"
+NUMBER = "#"
 
 # Letters of other scripts that look Latin, and signs that stand for letters.
 LOOKALIKES = str.maketrans("аеорсухіѕјкмтвнԁһӏαοερνικτυ", "aeopcyxisjkmtbhdhlaoepviktu")
@@ -147,38 +155,38 @@ def _joined(found: list[str]) -> list[str]:
     return out
 
 
-class Vocabulary:
-    """Words of the labelled documents as numbers, and what a masked word can be."""
+class Words:
+    """Words as 64-bit hashes; a masked word is the most telling word that it can be."""
 
-    def __init__(self, words: dict[str, float]):
-        self.number = {w: k + 2 for k, w in enumerate(sorted(words))}
-        self.number[RARE], self.number[NUMBER] = 0, 1
-        self.masked: dict[str, int] = {}
+    def __init__(self, telling: dict[str, float]):
+        self.value = telling
+        self.known: dict[str, int] = {}
         self.by_shape: dict[tuple[int, str], list[tuple[float, str]]] = defaultdict(list)
-        for w, value in words.items():
+        for w, value in telling.items():
             if len(w) > 2:
                 self.by_shape[len(w), w[0]].append((value, w))
 
+    def plain(self, word: str) -> str:
+        if "*" not in word or word.count("*") > (len(word) + 1) // 2:
+            return word
+        shape = re.compile("".join("." if c == "*" else re.escape(c) for c in word))
+        fits = [x for x in self.by_shape.get((len(word), word[0]), ()) if shape.fullmatch(x[1])]
+        return max(fits)[1] if fits else word
+
     def of(self, word: str) -> int:
-        n = self.number.get(word)
-        if n is not None:
-            return n
-        if "*" not in word:
-            return 0
-        if word not in self.masked:
-            shape = re.compile("".join("." if c == "*" else re.escape(c) for c in word))
-            fits = [x for x in self.by_shape.get((len(word), word[0]), ()) if shape.fullmatch(x[1])]
-            if len(self.masked) > 100_000:
-                self.masked.clear()
-            self.masked[word] = self.number[max(fits)[1]] if fits and word.count("*") <= (len(word) + 1) // 2 else 0
-        return self.masked[word]
+        n = self.known.get(word)
+        if n is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            n = self.known[word] = xxhash.xxh3_64_intdigest(self.plain(word))
+        return n
 
 
 def features(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(row, hashed feature): words, pairs, triples, and pairs with one or two words skipped."""
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
     row = np.repeat(np.arange(len(rows)), lengths)
-    w = np.fromiter((x for r in rows for x in r), np.uint64, int(lengths.sum())) + np.uint64(1)
+    w = np.fromiter((x for r in rows for x in r), np.uint64, int(lengths.sum()))
     out_row, out_key = [row], [w * np.uint64(0x9E3779B97F4A7C15)]
     with np.errstate(over="ignore"):
         for kind, steps in enumerate(((1,), (1, 2), (2,), (3,)), 1):
@@ -224,18 +232,12 @@ class Ftrl:
                 self.z[k, at] += g - (np.sqrt(old + g * g) - np.sqrt(old)) / ALPHA * w[k]
                 self.n[k, at] = old + g * g
 
-    def sparse(self) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero((np.abs(self.z) > L1).any(0))
-        return at, self.weights(at).astype(np.float32)
-
 
 def scores(rows: list[list[int]], dense: np.ndarray) -> np.ndarray:
     """The probability of every kind for every passage."""
     if not rows:
         return np.zeros((0, len(KINDS)))
-    r, f = features(rows)
-    out = np.stack([np.bincount(r, w[f], len(rows)) + OFFSET for w in dense], 1)
-    return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+    return probabilities(*features(rows), len(rows), dense)
 
 
 def telling(bad: float, expected: float) -> float:
@@ -246,101 +248,187 @@ def telling(bad: float, expected: float) -> float:
     return math.log((bad + SUPPORT) / (expected + SUPPORT)) - ERRORS / math.sqrt(bad + SUPPORT)
 
 
-def train(labelled: list[tuple[str, float, str | None]], count: dict[str, int], total: int) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    """Vocabulary and sparse weights from (text, share of verdicts that flag, kind).
+PASSAGES = "part int, fold int, doc_id bigint, share double, kind int, first double, keys array<int>"
+WEIGHTS = "feature int, " + ", ".join(f"w{k} double, n{k} double" for k in range(len(KINDS)))
+
 
-    ``count`` holds for every word of these texts how many of all ``total`` documents have it.
+def passages(sample: DataFrame, telling: dict[str, float]) -> DataFrame:
+    """One row for each passage of the labelled documents: its features, and ``first``, its four most telling words."""
+    sent = sample.sparkSession.sparkContext.broadcast(telling)
+    names = [x.split()[0] for x in PASSAGES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, words, value = Tokens(), Words(sent.value), sent.value
+        for b in batches:
+            rows, owner = [], []
+            first = []
+            for k, t in enumerate(b.column("text").to_pylist()):
+                for p in tokens.passages(t):
+                    rows.append([words.of(w) for w in p])
+                    first.append(sum(sorted(value.get(words.plain(w), 0.0) for w in p)[-4:]) / EVIDENCE)  # four, so that long ones do not win by length
+                    owner.append(k)
+            r, f = features(rows) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            order = np.argsort(r, kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(rows)))])
+            at = pa.array(owner, pa.int64())
+            kind = [KINDS.index(x) if x in KINDS else -1 for x in b.column("kind").to_pylist()]
+            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(f[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names[:4]), pa.array(kind, pa.int32()).take(at), pa.array(first, pa.float64()), keys], names)
+
+    return sample.select("part", "fold", "doc_id", "share", "kind", "text").mapInArrow(run, PASSAGES)
+
+
+def examples(first: np.ndarray, share: float, kind: int, seen: np.ndarray | None) -> tuple[np.ndarray, int, int]:
+    """(weight of each passage of a document, its example or -1, the example's kind) by its verdicts and the last fit."""
+    if share <= 0.5:  # what looks bad in documents without a clear verdict is left out
+        doubt = first > 0.75 if seen is None else (seen.max(1) > 0.5) & (first > 0.5)
+        if share <= 0.25 and seen is None:
+            doubt[:] = False
+        return np.where(doubt, 0.0, 1.0 if share <= 0.25 else 0.5), -1, -1
+    if seen is None:
+        best = int(np.argmax(first))
+        sure = first[best] >= 1
+    else:
+        own = seen.max(1) if kind < 0 else seen[:, kind]
+        best = int(np.argmax(own + 0.4 * np.minimum(first, 1.25)))
+        sure = own[best] >= 0.15 and first[best] >= 0.75
+        kind = kind if kind >= 0 else int(np.argmax(seen[best]))
+    weight = np.where(first > 0.5, 0, 0.5)
+    weight[best] = POSITIVE if kind >= 0 and sure else 0
+    return weight, best if weight[best] else -1, kind
+
+
+def fit(rows: DataFrame, often: DataFrame) -> np.ndarray:
+    """Dense weights of all kinds from passages: ``ROUNDS`` rounds, in each of which every part is fit by itself and Spark averages.
+
+    ``often`` holds the features of more than one passage; one of a single passage says
+    nothing of others.
     """
-    tokens = Tokens()
-    docs = [tokens.passages(t) for t, _, _ in labelled]
-    flags = np.array([f for _, f, _ in labelled], float)
-    kinds = [KINDS.index(k) if k in KINDS else -1 for _, _, k in labelled]
-    flagged = flags > 0.5
-    bad, good = Counter(), Counter()  # labelled documents that hold a word
-    for d, f in zip(docs, flagged):
-        (bad if f else good).update({w for p in d for w in p})
-    share = flagged.sum() / max(1, total)
-    odds = {w: telling(bad[w], n * share) for w, n in count.items() if "*" not in w and w not in (NUMBER, RARE) and n > 1}  # others stay rare, as they are in new texts
-    vocabulary = Vocabulary(odds)
-    numbered = [[[vocabulary.of(w) for w in p] for p in d] for d in docs]
-    value = np.zeros(len(vocabulary.number))
-    for w, v in odds.items():
-        value[vocabulary.number[w]] = v if v > FLOOR and bad[w] > PURE * good[w] else 0
-    rows: list[list[int]] = []
-    owner: list[int] = []
-    for k, d in enumerate(numbered):
-        rows += d
-        owner += [k] * len(d)
-    n_docs, owners = len(docs), np.array(owner, np.int64)
-    del docs, numbered, owner  # the driver holds them once
-    if not rows or not flagged.any():
-        return vocabulary, np.zeros(0, np.int64), np.zeros((len(KINDS), 0), np.float32)
-    # the four most telling words of a passage, so that long ones do not win by length
-    first = np.array([np.sort(value[p])[-4:].sum() for p in rows]) / EVIDENCE
-    starts = np.searchsorted(owners, np.arange(n_docs + 1))
-    target, weight = np.zeros((len(rows), len(KINDS))), np.ones(len(rows))
-    lengths, parts = [], []
-    for a in range(0, len(rows), 4096):  # in blocks, for memory
-        r, f = features(rows[a : a + 4096])
-        order = np.argsort(r, kind="stable")
-        parts.append(f[order].astype(np.int32))
-        lengths.append(np.bincount(r, minlength=len(rows[a : a + 4096])))
-    keys, at_row = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-    often = np.bincount(keys, minlength=1 << BITS) > 1  # a feature of one passage says nothing of others
-    often[features([[0] * 4])[1]] = False  # nor does one of rare words alone
-    hashed = np.flatnonzero(often)  # features in use, numbered closely
-    keep = often[keys]
-    at_row = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])[at_row]
-    keys = (np.cumsum(often, dtype=np.int32) - 1)[keys[keep]]
-    del parts, keep
-    by_passage: np.ndarray | None = None
-    for round_no in range(ROUNDS):
-        target[:], weight[:] = 0, 1
-        for k in range(n_docs):
-            a, b = starts[k], starts[k + 1]
-            if a == b:
-                continue
-            if not flagged[k]:
-                # what looks bad in documents without a clear verdict is left out
-                doubt = first[a:b] > 0.75 if by_passage is None else (by_passage[a:b].max(1) > 0.5) & (first[a:b] > 0.5)
-                if flags[k] <= 0.25 and by_passage is None:
-                    doubt[:] = False
-                weight[a:b] = np.where(doubt, 0, 1 if flags[k] <= 0.25 else 0.5)
-                continue
-            if by_passage is None:
-                best, sure, kind = int(np.argmax(first[a:b])), first[a:b].max() >= 1, kinds[k]
-            else:
-                own = by_passage[a:b] if kinds[k] < 0 else by_passage[a:b, [kinds[k]]]
-                both = own.max(1) + 0.4 * np.minimum(first[a:b], 1.25)
-                best = int(np.argmax(both))
-                sure = own[best].max() >= 0.15 and first[a + best] >= 0.75
-                kind = kinds[k] if kinds[k] >= 0 else int(np.argmax(by_passage[a + best]))
-            rest = np.arange(b - a) != best
-            weight[a:b] = np.where(rest & (first[a:b] > 0.5), 0, 0.5)
-            if kind < 0 or not sure:
-                weight[a + best] = 0
-                continue
-            target[a + best, kind] = 1
-            weight[a + best] = POSITIVE
-        used = np.flatnonzero(weight > 0)
-        model = Ftrl(len(hashed))
-        for epoch in range(EPOCHS):
-            model.fit(at_row, keys, target, weight, used, seed=17 * round_no + epoch)
-        at, w = model.sparse()
-        at = hashed[at]
+    context = rows.sparkSession.sparkContext
+    used = np.zeros(1 << BITS, bool)
+    used[[r[0] for r in often.collect()]] = True  # at most 2 ** BITS
+    dense: np.ndarray | None = None
+    for number in range(ROUNDS):
+        sent = context.broadcast((used, dense, number))
+
+        def run(table: pa.Table) -> pa.Table:
+            used, dense, number = sent.value
+            table = table.sort_by([("doc_id", "ascending")]).combine_chunks()
+            keys = table.column("keys").combine_chunks()
+            at, flat = keys.offsets.to_numpy().astype(np.int64), keys.values.to_numpy().astype(np.int64)
+            keep = used[flat]
+            at, flat = np.concatenate([[0], np.cumsum(keep)])[at], flat[keep]
+            hashed, close = np.unique(flat, return_inverse=True)  # features in use, numbered closely
+            first, share, kinds, docs = (table.column(c).to_numpy() for c in ("first", "share", "kind", "doc_id"))
+            seen = None
+            if dense is not None:
+                row = np.repeat(np.arange(len(first)), np.diff(at))
+                seen = probabilities(row, flat, len(first), dense)
+            target, weight = np.zeros((len(first), len(KINDS))), np.ones(len(first))
+            edges = [0, *(np.flatnonzero(np.diff(docs)) + 1).tolist(), len(docs)]
+            for a, b in zip(edges, edges[1:]):
+                weight[a:b], best, kind = examples(first[a:b], share[a], int(kinds[a]), None if seen is None else seen[a:b])
+                if best >= 0:
+                    target[a + best, kind] = 1
+            model = Ftrl(len(hashed))
+            for epoch in range(EPOCHS):
+                model.fit(at, close, target, weight, np.flatnonzero(weight > 0), seed=17 * number + epoch)
+            own = np.flatnonzero(model.n.any(0))
+            w = model.weights(own)
+            cols = [x for k in range(len(KINDS)) for x in (pa.array(w[k]), pa.array(model.n[k, own]))]
+            return pa.Table.from_arrays([pa.array(hashed[own].astype(np.int32)), *cols], [x.split()[0] for x in WEIGHTS.split(", ")])
+
+        parts = rows.groupBy("part").applyInArrow(run, WEIGHTS)
+        mean = [F.sum(F.col(f"w{k}") * F.col(f"n{k}")) / F.greatest(F.sum(f"n{k}"), F.lit(1e-9)) for k in range(len(KINDS))]
+        found = parts.groupBy("feature").agg(*(m.alias(f"w{k}") for k, m in enumerate(mean))).where(" or ".join(f"abs(w{k}) > 0" for k in range(len(KINDS)))).toArrow()  # at most 2 ** BITS
         dense = np.zeros((len(KINDS), 1 << BITS), np.float32)
-        dense[:, at] = w
-        by_passage = np.concatenate([scores(rows[a : a + 4096], dense) for a in range(0, len(rows), 4096)])
-    return vocabulary, at, w
+        for k in range(len(KINDS)):
+            dense[k, found.column("feature").to_numpy()] = found.column(f"w{k}").to_numpy()
+    return dense
+
+
+def probabilities(row: np.ndarray, keys: np.ndarray, n: int, dense: np.ndarray) -> np.ndarray:
+    out = np.stack([np.bincount(row, w[keys], n) + OFFSET for w in dense], 1)
+    return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+
+
+def cutoff(held: list[float], flagged: dict[float, float]) -> float:
+    """The cutoff with the best F1 in all documents, the middle one of equals.
+
+    ``held`` are the scores of held-out flagged documents: they give the recall. In how
+    many of all documents the score reaches a cutoff (``flagged``) gives the precision;
+    reviewers see more flagged documents than there are, so that theirs would be too high.
+    """
+    recall = {c: sum(s >= c for s in held) / max(1, len(held)) for c in flagged}
+    sure = max(CUTOFFS)
+    true = flagged[sure] / recall[sure] if recall[sure] else flagged[sure]
+    f1 = {c: 2 * true * recall[c] / max(1e-9, true + flagged[c]) for c in CUTOFFS}
+    equal = [c for c in CUTOFFS if f1[c] >= max(f1.values()) - 1e-9]
+    return equal[(len(equal) - 1) // 2]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, flagged, kind) of documents with verdicts, at most about ``MOST_LABELLED``."""
+    """(doc_id, text, share, kind, part, fold) of documents with verdicts, at most about ``MOST_LABELLED``."""
     verdicts = labels.where("doc_id is not null and flagged is not null").groupBy("doc_id").agg(F.avg("flagged").alias("share"), F.mode("kind").alias("kind"))
     total = verdicts.count()
     if total > MOST_LABELLED:
         verdicts = verdicts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * MOST_LABELLED / total))
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(verdicts), "doc_id").select("doc_id", "text", "share", "kind")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sample = cut_lineage(texts.join(F.broadcast(verdicts), "doc_id").dropDuplicates(["doc_id"]))
+    parts = -(-int(sample.agg(F.sum(F.length("text"))).first()[0] or 1) // PART_CHARS)
+    of = lambda seed, n: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n)).cast("int")
+    return sample.withColumns({"part": of(5, parts), "fold": of(6, FOLDS)})
+
+
+def word_counts(sample: DataFrame) -> DataFrame:
+    """(word, bad, good): in how many flagged and in how many other labelled documents a word occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, seen = Tokens(), (Counter(), Counter())
+        for b in batches:
+            for t, share in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[share <= 0.5].update(tokens.distinct(t))
+        words = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_pydict({"word": words, "bad": [seen[0][w] for w in words], "good": [seen[1][w] for w in words]})
+
+    return sample.select("text", "share").mapInArrow(run, "word string, bad bigint, good bigint").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def telling_words(docs: DataFrame, sample: DataFrame) -> dict[str, float]:
+    """Words that tell flagged documents, with the lower bounds of their log odds against all documents."""
+    flagged = sample.where("share > 0.5").count()
+    rows = word_counts(sample).where(f"bad > {PURE} * good and word not like '%*%' and word <> '{NUMBER}'").collect()  # words of MOST_LABELLED documents
+    bad = {r["word"]: r["bad"] for r in rows}
+    count, total = document_counts(docs, set(bad))
+    odds = {w: telling(n, count[w] * flagged / max(1, total)) for w, n in bad.items() if count[w] > 1}  # others are as rare in new texts
+    return {w: v for w, v in odds.items() if v > FLOOR}
+
+
+def model(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray, np.ndarray, list[float]]:
+    """(telling words, features in use, their weights, scores of held-out flagged documents), all of bounded size."""
+    sample = labelled_sample(docs, labels)
+    words = telling_words(docs, sample)
+    rows = cut_lineage(passages(sample, words))
+    often = rows.select(F.explode(F.array_distinct("keys")).alias("feature")).groupBy("feature").agg(F.count("*").alias("n")).where("n > 1").select("feature")
+    often = cut_lineage(often)
+    trial = fit(rows.where("fold > 0"), often)
+    held = rows.where("fold = 0")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = sent.value
+        for b in batches:
+            keys = b.column("keys")
+            n = np.diff(keys.offsets.to_numpy())
+            flat = keys.values.to_numpy()[keys.offsets[0].as_py() : keys.offsets[-1].as_py()]
+            top = probabilities(np.repeat(np.arange(b.num_rows), n), flat, b.num_rows, dense).max(1)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(top), b.column("share")], ["doc_id", "top", "share"])
+
+    sent = docs.sparkSession.sparkContext.broadcast(trial)
+    judged = held.mapInArrow(judge, "doc_id bigint, top double, share double").groupBy("doc_id").agg(F.max("top").alias("top"), F.first("share").alias("share"))
+    top = [r["top"] for r in judged.where("share > 0.5").collect()]  # a fifth of MOST_LABELLED
+    dense = fit(rows, often)
+    used = np.flatnonzero(dense.any(0))
+    return words, used, dense[:, used], top
 
 
 def document_counts(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
@@ -370,17 +458,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Scores are probabilities of the worst passage; ``kind`` is the likeliest kind if
     its score reaches the cutoff, else null. Null, empty and blank texts score 0.
-    Without any verdict that flags, all scores are low and no kind is given.
+    Without any verdict that flags, all scores are equal and low and no kind is given.
     """
-    spark = docs.sparkSession
-    sample = labelled_sample(docs, labels).dropDuplicates(["doc_id"]).collect()  # bounded by MOST_LABELLED
-    sample.sort(key=lambda r: r["doc_id"])
-    count, total = document_counts(docs, set().union(*map(Tokens().distinct, (r["text"] for r in sample))))
-    vocabulary, at, w = train([(r["text"], r["share"], r["kind"]) for r in sample], count, total)
-    sent = spark.sparkContext.broadcast((vocabulary, at, w))
+    telling, used, weights, held = model(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast((telling, used, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, at, w = sent.value
+        telling, at, w = sent.value
+        words = Words(telling)
         dense = np.zeros((len(KINDS), 1 << BITS), np.float32)
         dense[:, at] = w
         tokens, number = Tokens(), words.of
@@ -396,12 +481,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for k in range(b.num_rows):
                 if starts[k + 1] > starts[k]:
                     out[k] = each[starts[k] : starts[k + 1]].max(0)
-            top = out.max(1)
-            kind = [KINDS[k] if s >= CUTOFF else None for k, s in zip(out.argmax(1).tolist(), top.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(top), pa.array(kind, pa.string()), *(pa.array(out[:, k]) for k in range(len(KINDS)))], ["doc_id", "score", "kind", *KINDS])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[:, k]) for k in range(len(KINDS)))], ["doc_id", *KINDS])
 
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id bigint, score double, kind string, abuse double, hate double, sexual double")
+    rows = cut_lineage(given.mapInArrow(run, "doc_id bigint, abuse double, hate double, sexual double").withColumn("score", F.greatest(*KINDS)))
+    reached = rows.agg(*(F.count_if(F.col("score") >= c).alias(str(c)) for c in CUTOFFS)).first()
+    least = cutoff(held, {c: reached[k] for k, c in enumerate(CUTOFFS)})
+    kind = F.coalesce(*(F.when(F.col(k) == F.col("score"), k) for k in KINDS))
+    return rows.select("doc_id", "score", F.when(F.col("score") >= least, kind).alias("kind"), *KINDS)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
