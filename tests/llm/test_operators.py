@@ -23,13 +23,36 @@ def prose(n, rng=SEED):
 # -- 1 ----------------------------------------------------------------------------------
 
 
+def plain_letters(text):
+    return "".join(c for c in text.lower() if c.isalnum())
+
+
+def plain_fields(text):
+    """Fields by hand, for the simple passages of these tests."""
+    if text.strip().startswith("{"):
+        import json
+
+        found = [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in json.loads(text).items()]
+    else:
+        found = []
+        for part in text.replace(";", "\n").replace("|", "\n").split("\n"):
+            if not plain_letters(part):
+                continue
+            at = [part.index(c) for c in ":=" if c in part]
+            if not at:
+                return None
+            found.append((part[: min(at)], part[min(at) + 1 :]))
+    found = [(plain_letters(n), plain_letters(v)) for n, v in found]
+    return found if len(found) > 1 and all(n for n, _ in found) else None
+
+
 def brute_copies(rows):
     groups, plain = {}, {}
     items = []
     for ex, docs in sorted(rows.items()):
         for pos, t in enumerate(docs or []):
-            if t and any(map(str.isalnum, t)):
-                items.append((ex, pos, copies.letters(t), copies.fields(t)))
+            if t and plain_letters(t):
+                items.append((ex, pos, plain_letters(t), plain_fields(t)))
     for _, _, s, f in items:
         if f is not None:
             plain.setdefault(s, frozenset(Counter(f).items()))
@@ -45,6 +68,8 @@ def test_copies(spark):
         1: [base, "Some  text, here."], 2: ["some text here", None, "", "  ", "!!"], 3: None, 4: [],
         5: ['{"Height": "20 m", "Name": "Alo", "Place": "Bree"}', "PLACE = bree | NAME = alo | HEIGHT = 20 m"], 6: ["Name: Bree; Place: Alo; Height: 20 m", base],
         7: ["name alo place bree height 20 m", "x" * 30_000, "X" * 30_000], 8: ["Note: one field only", "note one field only"],
+        9: ["Name of the first owner: Anna Holt / Year: 1990\nPlace of the mill: Bree", "place of the mill = BREE | name of the first owner = anna holt / year 1990"],
+        10: ["Year: ; Owner: Holt", "owner: holt\nyear:", '{"Owner": "Holt", "Year": ""}', '{"a": [1, 2], "b": "c"}', '{"b": "C", "a": [1, 2]}'],
     }
     data = [(k, v, "clash") for k, v in rows.items()] + [(1, rows[1], "again")]
     df = spark.createDataFrame(data, "ex_id bigint, docs array<string>, a1 string")
@@ -58,6 +83,22 @@ def test_copies_in_a_hot_group(spark, monkeypatch):
     got = copies.copies(spark.createDataFrame(data, "ex_id bigint, docs array<string>"), "ex_id", "docs")
     assert {tuple(r)[:4] for r in got.collect()} == brute_copies(dict(data))
     assert got.select(F.max("copies")).first()[0] == 200 + 67
+    distinct = {(r["ex_id"], r["doc_pos"]): r["copies"] for r in copies.distinct_passages(spark.createDataFrame(data, "ex_id bigint, docs array<string>"), "ex_id", "docs").collect()}
+    assert distinct[0, 0] == 267 and sum(distinct.values()) == 400 and len(distinct) == 1 + 133
+
+
+def test_a_hot_class_is_not_shuffled_by_its_hash(spark):
+    """A third of all passages are one text: its members must not meet in one task, whatever Spark adapts at run time."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(9000).select(F.col("id").alias("ex_id"), F.array(F.when(F.col("id") % 3 == 0, "Hot one!").otherwise(F.concat(F.lit("cold "), F.col("id").cast("string")))).alias("docs"))
+        marks, classes = copies.groups(df, "ex_id", "docs")
+        plan = copies.members(df, "ex_id", "docs", marks, classes)
+        assert plan.count() == 2999 and plan.where("not same").count() == 0
+        heavy = classes.where(F.col("n") >= copies.HEAVY * marks.count())
+        assert heavy.count() == 1 and heavy.first()["n"] == 3000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_multiset_hash_counts_fields():
@@ -131,11 +172,63 @@ def test_label_model_learns_from_agreement():
         votes = [int(y) if rng.random() < acc else 1 - int(y) for acc in (0.95, 0.9, 0.6)]
         truth.append(y)
         patterns.append("".join(map(str, votes)))
-    post, learned, _ = fit_votes(sorted(Counter(patterns).items()), [np.array(t) for t in tables], np.array([0.7, 0.3]), anchor=0.01)
+    post, learned, _ = fit_votes(sorted(Counter(patterns).items()), [np.array(t) for t in tables], np.array([0.7, 0.3]), anchor=0.0, rows=pairs.ANCHOR)
     right = sum((post[p][1] > 0.5) == y for p, y in zip(patterns, truth))
     assert right > 0.93 * len(truth) and learned[0][1, 1] > learned[2][1, 1]
 
 
+def test_a_useless_function_is_found_out():
+    """With the settings of the queries, a function that votes at random ends with an accuracy of one half."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, defect = 100_000, "refusal"
+    tables = [np.array(t) for _, t in pairs.FUNCTIONS[defect]]
+    names = [x for x, _ in pairs.FUNCTIONS[defect]]
+    truth = (rng.random(n) < 0.03).astype(int)
+    votes = [np.array([rng.choice(t.shape[1], p=t[y] / t[y].sum()) for y in (0, 1)]) for t in tables]
+    votes = [np.where(truth == 1, rng.choice(t.shape[1], n, p=t[1] / t[1].sum()), rng.choice(t.shape[1], n, p=t[0] / t[0].sum())) for t in tables]
+    votes[names.index("first_person")] = rng.integers(0, 2, n)
+    counts = Counter(map("".join, zip(*(v.astype(str) for v in votes))))
+    from weftline.llm.common import fit_votes
+
+    _, learned, pi = fit_votes(sorted(counts.items()), tables, np.array([1 - pairs.PRIOR[defect], pairs.PRIOR[defect]]), anchor=0.0, rows=pairs.ANCHOR)
+    useless = learned[names.index("first_person")]
+    assert np.abs(useless - 0.5).max() <= 0.05 and abs(pi[1] - 0.03) < 0.01
+
+
+def test_cutoffs_hold_on_planted_defects(spark):
+    """On pairs with known truth the cutoff chosen is near the best one of all."""
+    rows, want = question_rows(1200)
+    common = spark.createDataFrame(COMMON, "lang string, word string, rank_no int")
+    df = spark.createDataFrame(rows, "ex_id bigint, query string, label string, extra string")
+    found = pairs.defects(df, common, "ex_id", "query", "label").collect()
+    for kind in pairs.DEFECTS:
+        held = {k for k, v in want.items() if v == kind and k % 2}  # those of either half do
+        own = {r["ex_id"] for r in found if r["defect"] == kind}
+        right = len([k for k in own if want.get(k) == kind])
+        assert right >= 0.9 * len(own) and len(held & own) >= 0.9 * len(held), kind
+
+
+def test_a_pair_keeps_two_labels(spark):
+    rows, _ = question_rows(800)
+    a, b = NAMES[1].title(), NAMES[2].title()
+    rows.append((5000, f"Qui est le patron du moulin de {a} dans la ville de {b} ?", f"The owner of the mill in {a} was a man who had a house on the coast of the (", "x"))
+    rows.append((5001, f"Who was the owner of the mill in {a} on the coast of {b}?", f"Le patron du moulin de {a} est dans une des rues de la (", "x"))
+    common = spark.createDataFrame(COMMON, "lang string, word string, rank_no int")
+    got = pairs.defects(spark.createDataFrame(rows, "ex_id bigint, query string, label string, extra string"), common, "ex_id", "query", "label")
+    for k in (5000, 5001):
+        assert {r["defect"] for r in got.where(F.col("ex_id") == k).collect()} == {"other_language", "truncated"}
+
+
+def test_a_long_list_of_words_is_an_error(spark):
+    from weftline.llm.common import bounded
+
+    assert len(bounded(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError, match="more than 5"):
+        bounded(spark.range(6), 5)
+
+
 # -- 3 ----------------------------------------------------------------------------------
 
 
@@ -161,12 +254,90 @@ def test_overlaps_against_brute_force(spark):
     df = spark.createDataFrame(rows, "field string, side string, id bigint, text string")
     got = {tuple(r) for r in splits.overlaps(df).collect()}
     want = set()
-    of = lambda f, s: [(i, words(t)) for i, t in {(r[2], r[3]) for r in rows if r[0] == f and r[1] == s and r[3]} if words(t)]
-    for f, same in (("text", splits.same_text), ("query", splits.same_question)):
-        want |= {(f, i, j) for i, a in of(f, "train") for j, b in of(f, "eval") if same(b, a)}
+    for f, same in (("text", near_text), ("query", near_question)):
+        want |= {(f, i, j) for i, a in plain_words(rows, f, "train") for j, b in plain_words(rows, f, "eval") if same(b, a)}
     assert got == want and len(want) > 40
 
 
+def plain_words(rows, field, side):
+    own = {(r[2], r[3]) for r in rows if r[0] == field and r[1] == side and r[3]}
+    split = [(i, "".join(c if c.isalnum() else "" if not c.isspace() else " " for c in t.lower()).split()) for i, t in own]
+    return [(i, w) for i, w in split if w]
+
+
+def distance(a, b):
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        cur = [i]
+        for j, y in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+    return prev[-1]
+
+
+def near_text(a, b):
+    longest = max(len(a), len(b))
+    return abs(len(a) - len(b)) <= 0.14 * longest and distance(a, b) <= 0.14 * longest
+
+
+def near_question(a, b):
+    """One slip (swapped letters are one) in the letters behind at most three words of either; digits agree."""
+    for x in ("".join(a[i:]) for i in range(min(4, len(a)))):
+        for y in ("".join(b[j:]) for j in range(min(4, len(b)))):
+            if [c for c in x if c.isdigit()] == [c for c in y if c.isdigit()]:
+                swapped = [y[:k] + y[k + 1] + y[k] + y[k + 2 :] for k in range(len(y) - 1)]
+                if abs(len(x) - len(y)) <= 1 and (distance(x, y) <= 1 or x in swapped):
+                    return True
+    return False
+
+
+def test_overlaps_lose_no_link_to_edits(spark):
+    """Every allowed number of changes, texts of common words only, questions with few telling words and a slip."""
+    rng = random.Random(12)
+    rows, pool = [], ["the", "of", "a", "in", "to", "and", "was", "is", "mill", "year"]
+    for k in range(90):
+        n = rng.randint(3, 60)
+        w = [rng.choice(pool if k % 3 else NAMES) for _ in range(n)]
+        rows.append(("text", "train", k, " ".join(w)))
+        for e in range(2):
+            v = list(w)
+            for _ in range(rng.randint(0, n // 6)):
+                at = rng.randrange(len(v))
+                move = rng.randint(0, 2)
+                v[at : at + 1] = [[rng.choice(NAMES)], [], [v[at], rng.choice(NAMES)]][move] if len(v) > 2 or move != 1 else [v[at]]
+            rows.append(("text", "eval", 1000 + 2 * k + e, " ".join(v)))
+    for k in range(60):
+        q = f"What is the capital of {rng.choice(NAMES[:40])} in {rng.choice(NAMES[:8])}" if k % 2 else f"Who won in {rng.randint(1900, 1920)}"
+        rows.append(("query", "train", 5000 + k, q))
+        at = rng.randrange(3, len(q) - 2)
+        slip = rng.choice([q[:at] + q[at + 1] + q[at] + q[at + 2 :], q[:at] + q[at + 1 :], q[:at] + "x" + q[at:], q])
+        rows.append(("query", "eval", 6000 + k, rng.choice(["", "Please tell me ", "Hi, ", "Well so ok "]) + slip + rng.choice(["?", " ?", ""])))
+    got = {tuple(r) for r in splits.overlaps(spark.createDataFrame(rows, "field string, side string, id bigint, text string")).collect()}
+    want = set()
+    for f, same in (("text", near_text), ("query", near_question)):
+        want |= {(f, i, j) for i, a in plain_words(rows, f, "train") for j, b in plain_words(rows, f, "eval") if same(b, a)}
+    assert got == want and len(want) > 100
+
+
+def test_overlaps_of_a_hot_text(spark):
+    """10^5 copies of one text in training: one class, counted without pairs."""
+    hot = spark.range(100_000).select(F.lit("text").alias("field"), F.lit("train").alias("side"), "id", F.lit("one hot text that very many records of training have").alias("text"))
+    rest = spark.createDataFrame([("text", "eval", -1, "One hot text, that very many records of training have!"), ("text", "eval", -2, "One hot text that very few records of training have"), ("text", "eval", -3, "another one")], hot.schema)
+    got = {r["eval_id"]: (r["pairs"], r["coverage"]) for r in splits.link_counts(hot.unionByName(rest)).collect()}
+    assert got.keys() == {-1, -2} and got[-1][0] == got[-2][0] == 100_000 and got[-1][1] > got[-2][1] > 0
+    assert splits.overlaps(hot.unionByName(rest)).count() == 200_000
+
+
+def test_overlaps_in_several_shards(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [prose(4, rng) for _ in range(60)]
+    rows = [("text", "train", k, t) for k, t in enumerate(texts)] + [("text", "eval", 100 + k, edited(t, rng, 0.05)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "field string, side string, id bigint, text string")
+    whole = {tuple(r) for r in splits.overlaps(df).collect()}
+    monkeypatch.setattr(splits, "SHARD_WORDS", 900)
+    assert {tuple(r) for r in splits.overlaps(df).collect()} == whole and len(whole) >= 60
+
+
 def test_overlaps_of_empty_tables(spark):
     schema = "field string, side string, id bigint, text string"
     assert splits.overlaps(spark.createDataFrame([], schema)).count() == 0
@@ -265,6 +436,21 @@ def test_cut_is_cheapest():
     assert abs(cost([(s, e) for s, e, _ in chain]) - min(best)) < 1e-9
 
 
+def test_word_ends_are_opened_only_where_they_are_needed():
+    sentences, run = "Aa bb cc. " * 300, "word " * 900
+    out = pieces.cut(sentences + run + sentences)
+    words = [e for _, e, kind in out if kind == "word"]
+    assert words and all(len(sentences) < e < len(sentences + run) for e in words)
+    assert {kind for _, e, kind in out if e <= len(sentences)} == {"sentence"}
+
+
+def test_cut_of_a_run_is_even():
+    """Without any boundary every position is a candidate, so that the pieces are as even as they can be."""
+    for n in (1300, 2500, 4001):
+        sizes = [e - s for s, e, _ in pieces.cut("x" * n)]
+        assert max(sizes) - min(sizes) <= 1
+
+
 def test_split_items(spark):
     rows = [("docs", 1, 0, "word " * 600, 5), ("docs", 1, 1, None, 5), ("docs", 2, 0, "", 5), ("text", 3, 0, "y" * 1201, 5), ("text", 3, 0, "y" * 1201, 6), ("text", 4, 0, "z" * 1200, 5)]
     df = spark.createDataFrame(rows, "f string, i bigint, p int, t string, piece int")
@@ -349,15 +535,37 @@ def test_contained(spark):
     assert leaks.contained(d, i.limit(0), "doc_id", "text", "item_id", "text").count() == 0
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_the_join_by_shuffle_gives_the_same(spark, monkeypatch):
     rng = random.Random(8)
     items = [(k, prose(6, rng)) for k in range(9)]
     docs = [(100 + k, prose(2, rng) + " " + items[k % 9][1]) for k in range(30)]
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     run = lambda: {tuple(r) for r in leaks.contained(d, i, "doc_id", "text", "item_id", "text").collect()}
     whole = run()
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 150)
+    monkeypatch.setattr(leaks, "ITEM_WORDS", 0)
     assert run() == whole and len(whole) == 30
+    monkeypatch.setattr(leaks, "FILTER_BITS", 15)  # full of shingles: lets all pass, loses none
+    assert run() == whole
+
+
+def test_changed_words_at_every_place(spark):
+    """Passages of 25 to 31 words with changed words everywhere but side by side and at the ends, against the rule itself."""
+    rng = random.Random(77)
+    item = words(prose(20, random.Random(78)))[:120]
+    docs, want = [], set()
+    for k in range(240):
+        n = rng.randint(25, 31)
+        at = rng.randint(0, len(item) - n)
+        part = list(item[at : at + n])
+        bad = rng.sample(range(1, n - 1), rng.randint(0, 3))
+        for x in bad:
+            part[x] = f"changed{x}"
+        docs.append((1000 + k, "Before it comes this. " + " ".join(part) + " And this comes after."))
+        if len(bad) <= 0.1 * n and all(abs(x - y) > 1 for x in bad for y in bad if x != y):
+            want.add(1000 + k)
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"] for r in leaks.contained(d, i, "doc_id", "text", "item_id", "text").collect()}
+    assert want <= got and len(want) > 60
 
 
 def test_tags_change_no_word(spark):
@@ -388,16 +596,17 @@ def test_passages_against_brute_force():
 
 
 def test_tokens_of_every_allowed_change():
-    """However rare the shingles are, 25 words with two changed ones hold MIN_HITS tokens."""
+    """However rare the shingles are, 25 words with two changed ones hold MIN_HITS tokens and MIN_SHARED shingles."""
     rng = random.Random(5)
-    item = leaks.Items([(1, " ".join(f"w{k}" for k in range(25)))])
+    n = 25 - leaks.SHINGLE + 1
     for _ in range(300):
-        item.choose(leaks.np.array([rng.randint(0, 99) for _ in item.all]))
-        place = item.place.tolist()
-        hits = lambda runs: sum(any(a <= p and p + leaks.SHINGLE <= b for a, b in runs) for p in place)
+        rank = [(rng.randint(0, 5), rng.random()) for _ in range(n)]
+        chosen = {a if rank[a] <= rank[a + 1] else a + 1 for a in range(n - 1)}
+        inside = lambda at, runs: sum(any(a <= p and p + leaks.SHINGLE <= b for a, b in runs) for p in at)
         for x in range(1, 22):
             for y in range(x + 2, 24):
-                assert hits([(0, x), (x + 1, y), (y + 1, 25)]) >= leaks.MIN_HITS
+                runs = [(0, x), (x + 1, y), (y + 1, 25)]
+                assert inside(chosen, runs) >= leaks.MIN_HITS and inside(range(n), runs) >= leaks.MIN_SHARED
 
 
 # -- 8 ----------------------------------------------------------------------------------
@@ -426,7 +635,7 @@ def test_content_on_held_out_documents(spark):
     got = {r["doc_id"]: r["kind"] for r in content.score(d, y).collect()}
     assert len(got) == len(docs)
     held = [k for k in range(700, 1200)]
-    assert sum(got[k] == truth.get(k) for k in held) >= 0.97 * len(held)
+    assert sum(got[k] == truth.get(k) for k in held) >= 0.96 * len(held)
     assert got[5000] is None and got[5003] is None
 
 
@@ -441,16 +650,26 @@ def test_words_are_counted_in_all_documents(spark):
     assert content.document_counts(d.limit(0), vocabulary) == (dict.fromkeys(vocabulary, 0), 0)
 
 
-def test_examples_do_not_depend_on_size():
-    """The same share of flagged documents with two telling words teaches, however many they are."""
-    for n in (200, 400, 600):
-        rng = random.Random(n)
-        labelled = [(prose(2, rng) + " Grumf zorkel.", 1.0, "abuse") for _ in range(n)] + [(prose(2, rng), 0.0, None) for _ in range(n)]
-        held = Counter(w for t, _, _ in labelled for w in content.Tokens().distinct(t))
-        vocabulary, at, w = content.train(labelled, {x: c if x in ("grumf", "zorkel") else 20 * c for x, c in held.items()}, 40 * n)
+@pytest.mark.parametrize("n", [200, 600])
+def test_fit_does_not_depend_on_size(spark, n, monkeypatch):
+    """The same share of flagged documents with two telling words teaches, however many they are and in however many parts."""
+    rng = random.Random(n)
+    docs = [(k, prose(2, rng) + (" Grumf zorkel." if k < n else "")) for k in range(4 * n)]
+    labels = [(k, int(k < n), "abuse" if k < n else None) for k in range(2 * n)]
+    d, y = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, flagged int, kind string")
+    for chars in (2_000_000, 60_000):
+        monkeypatch.setattr(content, "PART_CHARS", chars)
+        telling, used, w, held = content.model(d, y)
         dense = content.np.zeros((3, 1 << content.BITS), content.np.float32)
-        dense[:, at] = w
-        assert content.scores([[vocabulary.of("grumf"), vocabulary.of("zorkel")]], dense)[0, 0] > content.CUTOFF, n
+        dense[:, used] = w
+        of = content.Words(telling).of
+        assert content.scores([[of("grumf"), of("zorkel")]], dense)[0, 0] > 0.5 and len(held) > n / 10
+
+
+def test_cutoff():
+    assert content.cutoff([], {c: 0 for c in content.CUTOFFS}) in content.CUTOFFS
+    flagged = {c: 1000 if c < 0.2 else 100 for c in content.CUTOFFS}
+    assert content.cutoff([0.6] * 30 + [0.25] * 2, flagged) >= 0.2
 
 
 def test_telling_words_need_support():
@@ -470,5 +689,5 @@ def test_disguises():
     flat = lambda s: [w for p in t.passages(s) for w in p]
     assert flat("g r u m f!") == ["grumf"] and flat("grrrumf gr​umf gr_umf") == ["grumf"] * 3
     assert flat("grumf ае") == ["grumf", "ae"] and flat("gr*mf m0r0n") == ["gr*mf", "m*r*n"]
-    v = content.Vocabulary({"grumf": 2.0, "other": 0.1})
-    assert v.of("gr*mf") == v.of("grumf") and v.of("unseen") == 0
+    v = content.Words({"grumf": 2.0, "other": 0.6})
+    assert v.of("gr*mf") == v.of("grumf") and len({v.of("unseen"), v.of("unheard"), v.of("grumf"), v.of("g****")}) == 4

@@ -52,7 +52,9 @@ EVIDENCE = 2.5
 OFFSET = -4.0
 #: Rate, smoothing, L1 and L2 of FTRL-proximal.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.1, 0.1
-EPOCHS, ROUNDS, BATCH = 2, 3, 512
+EPOCHS, ROUNDS = 2, 3
+#: Steps of an epoch, whatever the number of rows, so that few and many documents are fit as far.
+STEPS = 32
 LONG, WINDOW, STRIDE = 40, 24, 12
 NUMBER = "#"
 
@@ -217,8 +219,7 @@ class Ftrl:
     def fit(self, starts: np.ndarray, keys: np.ndarray, target: np.ndarray, weight: np.ndarray, used: np.ndarray, seed: int) -> None:
         """One pass in a fixed random order; row k has ``keys[starts[k]:starts[k + 1]]``."""
         order = np.random.default_rng(seed).permutation(used)
-        for a in range(0, len(order), BATCH):
-            chosen = order[a : a + BATCH]
+        for chosen in np.array_split(order, min(STEPS, max(1, len(order)))):
             n = starts[chosen + 1] - starts[chosen]
             r = np.repeat(np.arange(len(chosen)), n)
             f = keys[np.repeat(starts[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
