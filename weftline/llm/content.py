@@ -299,21 +299,32 @@ def examples(first: np.ndarray, share: float, kind: int, seen: np.ndarray | None
     return weight, best if weight[best] else -1, kind
 
 
-def fit(rows: DataFrame, often: DataFrame) -> np.ndarray:
-    """Dense weights of all kinds from passages: ``ROUNDS`` rounds, in each of which every part is fit by itself and Spark averages.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def spread(sparse: Sparse) -> np.ndarray:
+    """The weights of all kinds at their features, zero elsewhere."""
+    dense = np.zeros((len(KINDS), 1 << BITS), np.float32)
+    dense[:, sparse[0]] = sparse[1]
+    return dense
+
+
+def fit(rows: DataFrame, often: DataFrame) -> Sparse:
+    """(features, their weights for all kinds) from passages: ``ROUNDS`` rounds, in each of which every part is fit by itself and Spark averages.
 
     ``often`` holds the features of more than one passage; one of a single passage says
     nothing of others.
     """
     context = rows.sparkSession.sparkContext
-    used = np.zeros(1 << BITS, bool)
-    used[[r[0] for r in often.collect()]] = True  # at most 2 ** BITS
-    dense: np.ndarray | None = None
+    listed = np.sort(often.toArrow().column(0).to_numpy())  # at most 2 ** BITS
+    sparse: Sparse | None = None
     for number in range(ROUNDS):
-        sent = context.broadcast((used, dense, number))
+        sent = context.broadcast((listed, sparse, number))
 
         def run(table: pa.Table) -> pa.Table:
-            used, dense, number = sent.value
+            listed, sparse, number = sent.value
+            used = np.zeros(1 << BITS, bool)
+            used[listed] = True
             table = table.sort_by([("doc_id", "ascending")]).combine_chunks()
             keys = table.column("keys").combine_chunks()
             at, flat = keys.offsets.to_numpy().astype(np.int64), keys.values.to_numpy().astype(np.int64)
@@ -322,9 +333,9 @@ def fit(rows: DataFrame, often: DataFrame) -> np.ndarray:
             hashed, close = np.unique(flat, return_inverse=True)  # features in use, numbered closely
             first, share, kinds, docs = (table.column(c).to_numpy() for c in ("first", "share", "kind", "doc_id"))
             seen = None
-            if dense is not None:
+            if sparse is not None:
                 row = np.repeat(np.arange(len(first)), np.diff(at))
-                seen = probabilities(row, flat, len(first), dense)
+                seen = probabilities(row, flat, len(first), spread(sparse))
             target, weight = np.zeros((len(first), len(KINDS))), np.ones(len(first))
             edges = [0, *(np.flatnonzero(np.diff(docs)) + 1).tolist(), len(docs)]
             for a, b in zip(edges, edges[1:]):
@@ -342,10 +353,9 @@ def fit(rows: DataFrame, often: DataFrame) -> np.ndarray:
         parts = rows.groupBy("part").applyInArrow(run, WEIGHTS)
         mean = [F.sum(F.col(f"w{k}") * F.col(f"n{k}")) / F.greatest(F.sum(f"n{k}"), F.lit(1e-9)) for k in range(len(KINDS))]
         found = parts.groupBy("feature").agg(*(m.alias(f"w{k}") for k, m in enumerate(mean))).where(" or ".join(f"abs(w{k}) > 0" for k in range(len(KINDS)))).toArrow()  # at most 2 ** BITS
-        dense = np.zeros((len(KINDS), 1 << BITS), np.float32)
-        for k in range(len(KINDS)):
-            dense[k, found.column("feature").to_numpy()] = found.column(f"w{k}").to_numpy()
-    return dense
+        sparse = found.column("feature").to_numpy(), np.stack([found.column(f"w{k}").to_numpy() for k in range(len(KINDS))]).astype(np.float32)
+        sent.unpersist()
+    return sparse
 
 
 def probabilities(row: np.ndarray, keys: np.ndarray, n: int, dense: np.ndarray) -> np.ndarray:
@@ -416,7 +426,7 @@ def model(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     held = rows.where("fold = 0")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = sent.value
+        dense = spread(sent.value)
         for b in batches:
             keys = b.column("keys")
             n = np.diff(keys.offsets.to_numpy())
@@ -427,9 +437,7 @@ def model(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     sent = docs.sparkSession.sparkContext.broadcast(trial)
     judged = held.mapInArrow(judge, "doc_id bigint, top double, share double").groupBy("doc_id").agg(F.max("top").alias("top"), F.first("share").alias("share"))
     top = [r["top"] for r in judged.where("share > 0.5").collect()]  # a fifth of MOST_LABELLED
-    dense = fit(rows, often)
-    used = np.flatnonzero(dense.any(0))
-    return words, used, dense[:, used], top
+    return words, *fit(rows, often), top
 
 
 def document_counts(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
@@ -467,8 +475,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         telling, at, w = sent.value
         words = Words(telling)
-        dense = np.zeros((len(KINDS), 1 << BITS), np.float32)
-        dense[:, at] = w
+        dense = spread((at, w))
         tokens, number = Tokens(), words.of
         for b in batches:
             rows: list[list[int]] = []
