@@ -214,7 +214,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, ite
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), _lists([ids[starts[k] : starts[k + 1] - 1] for k in kept]), _lists(own)], ["d", "doc", "shingles"])
 
     found = texts.mapInArrow(hold, "d bigint, doc array<bigint>, shingles array<bigint>").withColumn("r", F.xxhash64("d", "doc"))
-    found = cut_lineage(found.dropDuplicates(["r"]))
+    found = cut_lineage(found)  # a row given twice gives its pairs twice, which are counted once at the end
     often = found.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     ranked = held.join(often, "h", "left").select("i", "h", "place", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h").alias("rank"))
     w = Window.partitionBy("i").orderBy("place")
@@ -269,7 +269,7 @@ def _held_in_tasks(found: DataFrame, given: DataFrame, tokens: DataFrame) -> Dat
 
 def _joined(found: DataFrame, given: DataFrame, tokens: DataFrame) -> DataFrame:
     """The join by shuffle, for items of any size; hot shingles and items are spread over ``SALTS`` tasks."""
-    seen = found.select("r", F.explode("shingles").alias("h"))
+    seen = found.select("r", F.explode("shingles").alias("h")).distinct()
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     salt = F.pmod("r", F.lit(SALTS)).cast("int").alias("salt")
     tokens = tokens.groupBy("i", "h").agg(F.count("*").alias("places")).select("i", "h", "places", spread)
