@@ -660,10 +660,8 @@ def test_fit_does_not_depend_on_size(spark, n, monkeypatch):
     for chars in (2_000_000, 60_000):
         monkeypatch.setattr(content, "PART_CHARS", chars)
         telling, used, w, held = content.model(d, y)
-        dense = content.np.zeros((3, 1 << content.BITS), content.np.float32)
-        dense[:, used] = w
         of = content.Words(telling).of
-        assert content.scores([[of("grumf"), of("zorkel")]], dense)[0, 0] > 0.5 and len(held) > n / 10
+        assert content.scores([[of("grumf"), of("zorkel")]], content.spread((used, w)))[0, 0] > 0.5 and len(held) > n / 10
 
 
 def test_cutoff():

@@ -234,11 +234,11 @@ class Ftrl:
                 self.n[k, at] = old + g * g
 
 
-def scores(rows: list[list[int]], dense: np.ndarray) -> np.ndarray:
+def scores(rows: list[list[int]], weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The probability of every kind for every passage."""
     if not rows:
         return np.zeros((0, len(KINDS)))
-    return probabilities(*features(rows), len(rows), dense)
+    return probabilities(*features(rows), len(rows), weights)
 
 
 def telling(bad: float, expected: float) -> float:
@@ -302,11 +302,11 @@ def examples(first: np.ndarray, share: float, kind: int, seen: np.ndarray | None
 Sparse = tuple[np.ndarray, np.ndarray]
 
 
-def spread(sparse: Sparse) -> np.ndarray:
-    """The weights of all kinds at their features, zero elsewhere."""
-    dense = np.zeros((len(KINDS), 1 << BITS), np.float32)
-    dense[:, sparse[0]] = sparse[1]
-    return dense
+def spread(sparse: Sparse) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of all kinds at their features, zero elsewhere, and where they are not all zero."""
+    dense, used = np.zeros((len(KINDS), 1 << BITS), np.float32), np.zeros(1 << BITS, bool)
+    dense[:, sparse[0]], used[sparse[0]] = sparse[1], True
+    return dense, used
 
 
 def fit(rows: DataFrame, often: DataFrame) -> Sparse:
@@ -358,7 +358,10 @@ def fit(rows: DataFrame, often: DataFrame) -> Sparse:
     return sparse
 
 
-def probabilities(row: np.ndarray, keys: np.ndarray, n: int, dense: np.ndarray) -> np.ndarray:
+def probabilities(row: np.ndarray, keys: np.ndarray, n: int, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    dense, used = weights
+    hit = np.flatnonzero(used[keys])  # most features have no weight
+    row, keys = row[hit], keys[hit]
     out = np.stack([np.bincount(row, w[keys], n) + OFFSET for w in dense], 1)
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
