@@ -568,6 +568,18 @@ def test_changed_words_at_every_place(spark):
     assert want <= got and len(want) > 60
 
 
+def test_passages_in_any_order(spark):
+    """Two passages of one item count together, the later one first too; a passage given twice counts once."""
+    w = words(prose(12, random.Random(41)))[:90]
+    one, two = " ".join(w[5:25]), " ".join(w[50:72])
+    filler = "And something else stands between these two here."
+    docs = [(1, f"{one} {filler} {two}"), (2, f"{two} {filler} {one}"), (3, f"{one} {filler} {one}"), (4, f"{two} {filler} {' '.join(w[5:18])}")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(9, " ".join(w))], "item_id bigint, text string")
+    assert {tuple(r) for r in leaks.contained(d, i, "doc_id", "text", "item_id", "text").collect()} == {(9, 1, 42), (9, 2, 42)}
+    twice = list(range(15)) * 2
+    assert leaks.overlap(twice, list(range(15)), [(0, 0), (15, 0)]) == 15 and leaks.overlap(twice, twice, [(0, 0), (0, 15), (15, 0), (15, 15)]) == 30
+
+
 def test_tags_change_no_word(spark):
     w = words(prose(8, random.Random(31)))[:45]
     part = list(w)

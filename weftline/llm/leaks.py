@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,14 +143,24 @@ def passages(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> list[t
     return found
 
 
+def _apart(spans: list[tuple[int, int, int]]) -> int:
+    """The most words of (from, to, words) stretches that do not overlap."""
+    ends: list[int] = []
+    best = [0]
+    for lo, hi, n in sorted(spans, key=lambda s: s[1]):
+        best.append(max(best[-1], best[bisect_left(ends, lo)] + n))
+        ends.append(hi)
+    return best[-1]
+
+
 def overlap(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> int:
-    """The most words that passages in one order repeat; each passage has LEAST_PASSAGE or more."""
-    found = sorted(set(passages(a, b, seeds)))
-    best: list[int] = []
-    for k, (i0, _, j0, _, n) in enumerate(found):
-        before = [best[m] for m in range(k) if found[m][1] < i0 and found[m][3] < j0]
-        best.append(n + max(before, default=0))
-    return max(best, default=0)
+    """The most words that passages of LEAST_PASSAGE or more repeat.
+
+    Words keep their order inside a passage; the passages may come in any order. They do
+    not overlap in the item, nor in the text: the smaller of both counts.
+    """
+    found = set(passages(a, b, seeds))
+    return min(_apart([(i0, i1, n) for i0, i1, _, _, n in found]), _apart([(j0, j1, n) for _, _, j0, j1, n in found]))
 
 
 def seeds(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -190,6 +201,7 @@ def shingle_filter(held: DataFrame) -> np.ndarray:
 def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str) -> DataFrame:
     """(item_id bigint, doc_id bigint, n_words int): items that documents repeat, with the words repeated.
 
+    An item's passages count together in whatever order a document holds them.
     Null, empty and blank items and texts never match; items with fewer than
     ``LEAST_WORDS`` words cannot. Repeated rows give their pair once. Both tables stay
     distributed and may have any size; hot shingles and items are spread by a salt.
