@@ -24,8 +24,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df
 
 
-#: Repeated records up to which their first places are broadcast (24 bytes each).
-MOST_REPEATED = 2_000_000
+#: Repeated records up to which their first places are broadcast (24 bytes each), and the parts over which a hot key is spread beyond.
+MOST_REPEATED, SALTS = 2_000_000, 16
 
 
 def first_deliveries(df: DataFrame, key: str, most: int = MOST_REPEATED) -> DataFrame:
@@ -33,18 +33,22 @@ def first_deliveries(df: DataFrame, key: str, most: int = MOST_REPEATED) -> Data
 
     Keys alone are counted, and the places of the first deliveries (by ``loaded_at`` if
     there is one) of repeated keys are broadcast: rows of these keys at other places are
-    dropped where they lie. Beyond ``most`` repeated keys rows are shuffled by key instead.
+    dropped where they lie. Beyond ``most`` repeated keys the same join is a salted shuffle.
     Rows without a key stay.
     """
     place = {"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
     keys = df.select(F.col(key).alias("__key"), *(["loaded_at"] if "loaded_at" in df.columns else []), *(c.alias(n) for n, c in place.items()))
     order = F.struct(*keys.columns[1:])
     repeated = keys.groupBy("__key").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1 and __key is not null")
-    if repeated.count() > most:
-        return df.dropDuplicates([key])
-    firsts = F.broadcast(repeated.select("__key", F.col("first.__file").alias("__first_file"), F.col("first.__row").alias("__first_row")))
+    firsts = repeated.select("__key", F.col("first.__file").alias("__first_file"), F.col("first.__row").alias("__first_row"))
     later = (F.col(key) == F.col("__key")) & ((F.col("__file") != F.col("__first_file")) | (F.col("__row") != F.col("__first_row")))
-    return df.withColumns(place).join(firsts, later, "left_anti").drop("__file", "__row")
+    placed = df.withColumns(place)
+    if repeated.count() <= most:
+        rows = placed.join(F.broadcast(firsts), later, "left_anti")
+    else:
+        spread = firsts.withColumn("__to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = placed.withColumn("__salt", F.pmod("__row", F.lit(SALTS)).cast("int")).join(spread, later & (F.col("__salt") == F.col("__to")), "left_anti").drop("__salt")
+    return rows.drop("__file", "__row")
 
 
 def records(spark: SparkSession, sf_dir: str, table: str, where: str | None = None) -> DataFrame:
