@@ -383,7 +383,7 @@ def test_text_types(spark):
         elif k % 10 == 5:
             t = t.replace(" ", "\n", 30)
         rows.append((k, t, 1))
-    rows += [(900, None, 1), (901, "", 1), (902, " \n ", 1), (903, prose(900, rng), 1), rows[1]]
+    rows += [(900, None, 1), (901, "", 1), (902, " \n ", 1), (903, prose(900, rng), 1), rows[1], (None, "- one\n- two\n- three", 1), (None, "no id", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, votes int")
     common = spark.createDataFrame(COMMON, "lang string, word string, rank_no int")
     got = {r["doc_id"]: r for r in quality.text_types(df, common, "doc_id", "text").collect()}
@@ -451,6 +451,12 @@ def test_cut_of_a_run_is_even():
         assert max(sizes) - min(sizes) <= 1
 
 
+def test_items_without_an_id_give_no_piece(spark):
+    rows = [("text", None, 0, "a sentence here. " * 200), ("text", None, 0, "another one there. " * 150), ("text", 1, 0, "a sentence here. " * 200)]
+    got = pieces.split_items(spark.createDataFrame(rows, "f string, i bigint, p int, t string"), "f", "i", "p", "t").collect()
+    assert {r["item_id"] for r in got} == {1} and len({r["piece_no"] for r in got}) == len(got) > 1
+
+
 def test_split_items(spark):
     rows = [("docs", 1, 0, "word " * 600, 5), ("docs", 1, 1, None, 5), ("docs", 2, 0, "", 5), ("text", 3, 0, "y" * 1201, 5), ("text", 3, 0, "y" * 1201, 6), ("text", 4, 0, "z" * 1200, 5)]
     df = spark.createDataFrame(rows, "f string, i bigint, p int, t string, piece int")

@@ -138,8 +138,8 @@ def split_items(items: DataFrame, field: str, item_id: str, pos: str, text: str,
 
     ``field_name, item_id bigint, item_pos int, piece_no int, piece_start int,
     piece_end int, cut string`` and, with ``with_text``, ``piece``; positions
-    count code points from 0. Nulls, empty and short items give no row; repeated
-    deliveries of an item give its pieces once. Other columns are not read. With
+    count code points from 0. Nulls, empty and short items and items without an id give
+    no row; repeated deliveries of an item give its pieces once. Other columns are not read. With
     ``unique`` the caller vouches that no item is repeated, and no piece is shuffled.
     """
     if not 0 <= overlap < limit // 2:
@@ -158,7 +158,7 @@ def split_items(items: DataFrame, field: str, item_id: str, pos: str, text: str,
             yield pa.RecordBatch.from_arrays(arrays[: 8 if with_text else 7], [x.split()[0] for x in schema.split(", ")])
 
     schema = "field_name string, item_id bigint, item_pos int, piece_no int, piece_start int, piece_end int, cut string" + ", piece string" * with_text
-    long = items.select(F.col(field).alias("f"), F.col(item_id).cast("bigint").alias("i"), F.col(pos).cast("int").alias("p"), F.col(text).cast("string").alias("t")).where(F.length("t") > limit)
+    long = items.select(F.col(field).alias("f"), F.col(item_id).cast("bigint").alias("i"), F.col(pos).cast("int").alias("p"), F.col(text).cast("string").alias("t")).where((F.length("t") > limit) & F.col("i").isNotNull())
     pieces = long.mapInArrow(run, schema)
     return pieces if unique else pieces.dropDuplicates(["field_name", "item_id", "item_pos", "piece_no"])
 

@@ -189,8 +189,8 @@ def bins(values: list[float]) -> str:
 def text_statistics(df: DataFrame, common: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, n_words, mean_word_length, symbol_ratio, final_line_share, common_word_share, votes).
 
-    One row for each record, deliveries again counted once. Null, empty and blank
-    texts have no votes; their counts are 0 and their shares null.
+    One row for each record, deliveries again counted once; rows without an id are left
+    out. Null, empty and blank texts have no votes; their counts are 0 and their shares null.
     """
     listed = {r[0] for r in bounded(common.where("word is not null").select(F.lower("word")).distinct(), MOST_COMMON)}
 
@@ -209,7 +209,7 @@ def text_statistics(df: DataFrame, common: DataFrame, doc_id: str, text: str) ->
 
     schema = f"doc_id bigint, {STATS}, votes string"
     names = [x.split()[0] for x in schema.split(", ")]
-    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t"))
+    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).where("doc_id is not null")
     return rows.mapInArrow(run, schema).dropDuplicates(["doc_id"])
 
 
