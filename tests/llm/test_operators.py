@@ -338,6 +338,39 @@ def test_overlaps_in_several_shards(spark, monkeypatch):
     assert {tuple(r) for r in splits.overlaps(df).collect()} == whole and len(whole) >= 60
 
 
+def test_word_automaton_finds_every_passage():
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = [[rng.randrange(4) for _ in range(rng.randint(1, 30))] for _ in range(40)]
+    passages = sorted({tuple(rng.randrange(4) for _ in range(rng.randint(1, 4))) for _ in range(60)})
+    flat, size = np.array([w for p in passages for w in p], np.uint32), np.array([len(p) for p in passages])
+    automaton = splits.WordAutomaton(flat, np.cumsum(size) - size, size)
+    of = dict(zip(automaton.final.tolist(), passages))
+    words, starts = np.array([w for t in texts for w in t], np.uint32), np.cumsum([0, *map(len, texts)])
+    begins = np.zeros(len(words), bool)
+    begins[starts[:-1]] = True
+    got = {(a, of[s]) for at, states in automaton.scan(words, begins) for a, s in zip(at.tolist(), states.tolist()) if s in of}
+    assert got == {(int(starts[k]) + i, p) for k, t in enumerate(texts) for p in passages for i in range(len(t)) if tuple(t[i : i + len(p)]) == p}
+
+
+def test_few_records_are_met_in_vain(monkeypatch):
+    """Questions and texts of one form: the work for a record does not grow with all others of the form."""
+    import pyarrow as pa
+
+    names = NAMES[:600]
+    form = lambda n: (f"which year was the old mill near the town of {n} built and by which of the four owners of it").split()
+    queries = splits.Queries([(k, k, " ".join(form(n + n[::-1]))) for k, n in enumerate(names)])
+    assert all([x for x in queries.matches(" ".join(form(n + n[::-1])))] == [(k, k)] for k, n in enumerate(names[:50]))
+    codes = splits.Codes()
+    text = lambda n, k: "".join(codes[w] for w in [*form(n), *NAMES[k : k + 40]])
+    table = pa.table({"c1": range(600), "c2": range(600), "code": [text(n, k) for k, n in enumerate(names)]})
+    given = pa.array([text(n, k) for k, n in enumerate(names)])
+    monkeypatch.setattr(splits, "MOST_MET", 500)
+    found = {x[:3] for x in splits.Texts(table).matches(given)}
+    assert {(k, k, k) for k in range(600)} <= found and len(found) < 600 * 10
+
+
 def test_overlaps_of_empty_tables(spark):
     schema = "field string, side string, id bigint, text string"
     assert splits.overlaps(spark.createDataFrame([], schema)).count() == 0

@@ -10,10 +10,12 @@ gives passages at places that do not overlap, so that each allowed change can hi
 one of them only: of more passages than changes one stays intact in every copy, and
 no copy is missed. The rarest passages of a record are taken, as counted in its shard.
 
-A shard holds ``SHARD_WORDS`` words of evaluation records. Every distinct training
-text streams through the automaton of every shard, without a shuffle of texts: there
-are ceil(evaluation words / ``SHARD_WORDS``) passes over the coded training texts
-(15 % of the size of the texts), each with a broadcast of one shard's codes.
+A shard holds ``SHARD_WORDS`` words of evaluation texts or ``QUERY_WORDS`` of questions. Every
+training text streams through the automaton of every shard, without a shuffle of texts; copies are
+dropped in each task. There are ceil(evaluation words / ``SHARD_WORDS``) passes over the coded
+training texts (15 % of the size of the texts), each with a broadcast of one shard's codes. The
+automaton over texts reads words, in arrays, and a block of texts at once; a record is met by its
+rarest passages only, as many as surely hold one or more that no change hits.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from __future__ import annotations
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -37,15 +38,20 @@ CHANGED = 0.14
 ADDRESS = 3
 #: Words in a passage of a text, passages of a text beyond its allowed changes (where it has so many), and parts of a question.
 PASSAGE, SPARE, PARTS = 4, 6, 4
-#: Words of evaluation records in one shard: up to 880,000 passages, 300 MB in each worker.
-SHARD_WORDS = 5_000_000
-#: Texts whose matches are counted together.
-BLOCK = 256
+#: Passages of a text, the rarest ones, beyond its allowed changes by which it is met.
+SEEDS = 3
+#: Words of evaluation texts in one shard: 4 million passages, 300 MB in each worker; and of questions.
+SHARD_WORDS, QUERY_WORDS = 16_000_000, 2_000_000
+#: Words of the texts whose matches are counted together.
+BLOCK_WORDS = 200_000
+#: Places of passages, or words, of pairs that are held at once.
+MOST_MET = 8_000_000
 #: Rows of a hot class are spread over so many tasks when pairs are written out.
 SALTS = 16
 #: Signs of a word's code: 24 bits, so that a changed word looks the same once in 16 million.
 SIGNS, WIDTH = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", 4
 _SEEN = 100_000
+_NONE: dict = {}
 
 
 def _halves(w: list[str]) -> tuple[int, int]:
@@ -65,10 +71,6 @@ class Codes(dict):
         return code
 
 
-def split_codes(code: str) -> list[str]:
-    return [code[k : k + WIDTH] for k in range(0, len(code), WIDTH)]
-
-
 def most_changes(n: int) -> int:
     """The changes that a text of ``n`` words and its longest possible copy may have."""
     return int(CHANGED * int(n / (1 - CHANGED) + 1e-9) + 1e-9)
@@ -125,79 +127,199 @@ def same_question(a: list[str], b: list[str]) -> bool:
     return False
 
 
-def same_text(a: list[str], b: list[str]) -> bool:
-    """At most CHANGED of the longer text's words are edited; words in common, in any order, bound the edits from below."""
-    if (Counter(a) & Counter(b)).total() < max(len(a), len(b)) - int(CHANGED * max(len(a), len(b))):
-        return False
-    return edits(a, b, int(CHANGED * max(len(a), len(b)))) is not None
-
-
-def _automaton(chosen: dict[str, Any]) -> tuple[list[Any], Any]:
-    """What belongs to each passage, in the order of the automaton's numbers, and the automaton (None without passages)."""
+def _automaton(numbers: dict[str, int]) -> Any:
+    """The automaton over passages with their numbers, None without any."""
     import ahocorasick
 
-    lists, automaton = [], ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for passage, where in chosen.items():
-        automaton.add_word(passage, len(lists))
-        lists.append(where)
-    if lists:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for passage, number in numbers.items():
+        automaton.add_word(passage, number)
+    if numbers:
         automaton.make_automaton()
-    return lists, automaton if lists else None
+    return automaton if numbers else None
+
+
+def _symbols(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts one behind another, a number each, and where each text begins; no copy is made."""
+    _, offsets, data = codes.buffers()
+    at = np.frombuffer(offsets, np.int32)[codes.offset : codes.offset + len(codes) + 1]
+    flat = np.frombuffer(data, "<u4", (at[-1] - at[0]) // WIDTH, at[0]) if data and at[-1] > at[0] else np.zeros(0, np.uint32)
+    return flat, (at - at[0]).astype(np.int64) // WIDTH
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each row, ``n`` numbers a row."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class WordAutomaton:
+    """Aho-Corasick over words, for passages of at most ``PASSAGE`` words, that reads all words of a block at once.
+
+    States are the beginnings of passages, 0 is the root; the goto function is one hash table in arrays,
+    keyed by state and word. The states that a word leaves the automaton in, the longest and those that its failure
+    links lead to, differ in length and are at most ``PASSAGE``: they are walked length by length.
+    """
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray, size: np.ndarray):
+        self.final, keys, n = np.zeros(len(at), np.int64), [np.array([-1])], 1
+        for depth in range(int(size.max(initial=0))):
+            on = np.flatnonzero(size > depth)
+            own, inverse = np.unique(self.final[on] << 32 | flat[at[on] + depth], return_inverse=True)
+            self.final[on] = n + inverse
+            keys.append(own)
+            n += len(own)
+        self.keys = np.concatenate(keys)
+        self.shift = np.uint64(64 - max(4, int(2 * n).bit_length()))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.table = np.zeros(self.mask + 1, np.int32)
+        left, slot = np.arange(1, n), self._slot(self.keys[1:])
+        while len(left):
+            free = self.table[slot] == 0
+            self.table[slot[free]] = left[free]
+            missed = self.table[slot] != left
+            left, slot = left[missed], slot[missed] + 1 & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ h >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F) >> self.shift).astype(np.int64)
+
+    def goto(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The next states, 0 where there is none."""
+        keys = states << 32 | words
+        slot = self._slot(keys)
+        found = self.table[slot]
+        wrong = np.flatnonzero((self.keys[found] != keys) & (found > 0))
+        while len(wrong):
+            slot[wrong] = slot[wrong] + 1 & self.mask
+            again = self.table[slot[wrong]]
+            found[wrong] = again
+            wrong = wrong[(self.keys[again] != keys[wrong]) & (again > 0)]
+        return found
+
+    def scan(self, flat: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(where it begins, state) of all states that are passed, by length; ``begins`` marks the first words of texts."""
+        at = np.arange(len(flat))
+        states = np.zeros(len(flat), np.int64)
+        for depth in range(PASSAGE):
+            states = self.goto(states, flat[at + depth]).astype(np.int64)
+            alive = np.flatnonzero(states)
+            at, states = at[alive], states[alive]
+            yield at, states
+            on = at + depth + 1 < len(flat)
+            on[on] = ~begins[at[on] + depth + 1]
+            at, states = at[on], states[on]
 
 
 class Texts:
-    """Evaluation texts, (class, class, code) each, and the automaton over their passages."""
+    """Evaluation texts, given by their classes and codes, and the automaton over their passages.
 
-    def __init__(self, rows: list[tuple[int, int, str]]):
-        self.rows = rows
-        windows, count = [], Counter()
-        for _, _, code in rows:
-            n = len(code) // WIDTH
-            size = max(1, min(PASSAGE, n // (most_changes(n) + 1)))
-            windows.append([code[k : k + size * WIDTH] for k in range(0, (n // size) * size * WIDTH, size * WIDTH)])
-            count.update(windows[-1])
-        chosen: dict[str, list[int]] = defaultdict(list)
-        need = []
-        for k, (own, (_, _, code)) in enumerate(zip(windows, rows)):
-            changes = most_changes(len(code) // WIDTH)
-            taken = sorted(own, key=count.__getitem__)[: changes + SPARE]
-            need.append(len(taken) - changes)
-            for passage in taken:
-                chosen[passage].append(k)
-        self.need, self.length = np.array(need, np.int64), np.array([len(code) for _, _, code in rows], np.int64)
-        self.size = np.array([len(own[0]) for own in windows], np.int64)
-        lists, self.automaton = _automaton(chosen)
-        self.start = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        self.record = np.fromiter(chain.from_iterable(lists), np.int32, int(self.start[-1]))
-
-    def matches(self, codes: list[str]) -> Iterator[tuple[int, int, int, float]]:
+    Of the passages that are taken of a record, as many stay whole in every copy as are taken beyond its changes. So
+    records are met by their rarest passages alone, ``SEEDS`` beyond the changes; all that are taken give the coverage.
+    """
+
+    def __init__(self, table: pa.Table):
+        self.c1, self.c2 = (table.column(c).to_numpy() for c in ("c1", "c2"))
+        self.words, edges = _symbols(table.column("code").combine_chunks())
+        self.start, self.length, rows = edges[:-1], np.diff(edges), table.num_rows
+        changes = np.array([most_changes(n) for n in self.length.tolist()], np.int64)
+        self.size = np.maximum(1, np.minimum(PASSAGE, self.length // (changes + 1)))
+        number = self.length // self.size
+        record = np.repeat(np.arange(rows), number)
+        place = _ranges(np.zeros(rows, np.int64), number) * self.size[record]
+        self.automaton = WordAutomaton(self.words, self.start[record] + place, self.size[record])
+        final, self.automaton.final = self.automaton.final, None
+        self.states = len(self.automaton.keys)
+        order = np.lexsort((np.bincount(final, minlength=1)[final], record))  # each record's, the rarest first
+        rank = _ranges(np.zeros(rows, np.int64), number)
+        seeds, taken = order[rank < changes[record] + SEEDS], order[rank < changes[record] + SPARE]
+        self.seed_need, self.need = np.minimum(number - changes, SEEDS), np.minimum(number - changes, SPARE)
+        # passages of each record
+        self.own = np.concatenate([[0], np.cumsum(np.minimum(number, changes + SPARE))])
+        self.own_state, self.own_place = final[taken].astype(np.int32), place[taken].astype(np.int32)
+        # records of each passage by their length
+        seeds = seeds[np.lexsort((self.length[record[seeds]], final[seeds]))]
+        self.record, self.place = record[seeds].astype(np.int32), place[seeds].astype(np.int32)
+        self.key = final[seeds] << 32 | self.length[self.record]
+        self.first = np.searchsorted(final[seeds], np.arange(self.states + 1)).astype(np.int32)
+        self.listed = np.zeros(self.states, bool)
+        self.listed[final[taken]] = True
+
+    def _covered(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(text, record, passages found) of the pairs in which passages cover the record enough; None if the texts are too many to be counted at once."""
+        rows = len(self.length)
+        begins = np.zeros(len(flat), bool)
+        begins[starts] = True
+        passed = [(a[self.listed[s]], s[self.listed[s]]) for a, s in self.automaton.scan(flat, begins)]
+        at, state = (np.concatenate(x) for x in zip(*passed))
+        text = np.repeat(np.arange(len(lengths)), lengths)[at]
+        key = text * self.states + state
+        order = np.argsort(key, kind="stable")
+        hit, low = np.unique(key[order], return_index=True)  # a passage in a text, and its first and last place there
+        high = at[order[np.append(low[1:], len(order)) - 1]] if len(order) else low
+        low = at[order[low]]
+        text, state = hit // self.states, hit % self.states
+        low, high = low - starts[text], high - starts[text]
+        # seeds: records of a length that fits, in which the passage is not moved further than there may be changes
+        some = np.flatnonzero(self.first[state + 1] > self.first[state])
+        n = lengths[text[some]]
+        longest = np.ceil(n / (1 - CHANGED)).astype(np.int64)
+        key = state[some] << 32
+        key = np.stack([key | np.floor(n * (1 - CHANGED)).astype(np.int64), key | longest])
+        order = np.argsort(key[0])  # neighbours are looked up one after another
+        some, n, longest, key = some[order], n[order], longest[order], key[:, order]
+        a, b = np.searchsorted(self.key, key[0]), np.searchsorted(self.key, key[1], "right")
+        if (b - a).sum() > MOST_MET and len(lengths) > 1:
+            return None
+        most = (CHANGED * longest).astype(np.int64)
+        x, h = _ranges(a, b - a), np.repeat(np.arange(len(some), dtype=np.int32), b - a)
+        place = self.place[x]
+        fits = np.flatnonzero((place >= (low[some] - most).astype(np.int32)[h]) & (place <= (high[some] + most).astype(np.int32)[h]))
+        k, h = self.record[x[fits]].astype(np.int64), h[fits]
+        fits = np.abs(self.length[k] - n[h]) <= CHANGED * np.maximum(self.length[k], n[h])
+        k, h = k[fits], some[h[fits]]
+        pair, hits = np.unique(text[h] * rows + k, return_counts=True)
+        pair = pair[hits >= self.seed_need[pair % rows]]
+        # coverage by all passages taken
+        t, k = pair // rows, pair % rows
+        own = self.own[k + 1] - self.own[k]
+        x, which = _ranges(self.own[k], own), np.repeat(np.arange(len(pair)), own)
+        key = t[which] * self.states + self.own_state[x]
+        at = np.minimum(np.searchsorted(hit, key), max(0, len(hit) - 1))
+        hits = np.bincount(which[hit[at] == key] if len(hit) else which, minlength=len(pair))
+        enough = hits >= self.need[k]
+        return t[enough], k[enough], hits[enough]
+
+    def _common(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, t: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Words that each pair has in common, in any order."""
+        pair = np.arange(len(t))
+        a = np.repeat(pair, lengths[t]) << 32 | flat[_ranges(starts[t], lengths[t])]
+        b = np.repeat(pair, self.length[k]) << 32 | self.words[_ranges(self.start[k], self.length[k])]
+        (a, n), (b, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+        both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        return np.bincount(both >> 32, np.minimum(n[i], m[j]), len(t)).astype(np.int64)
+
+    def matches(self, codes: pa.Array) -> Iterator[tuple[int, int, int, float]]:
         """(text, class, class, share of its words covered) of the records that texts are copies of."""
-        if self.automaton is None or not codes:
+        if not len(self.length) or not len(codes):
             return
-        found, number = [], []
-        for code in codes:
-            own = {p for end, p in self.automaton.iter(code) if end % WIDTH == WIDTH - 1}
-            found += own
-            number.append(len(own))
-        p, lengths = np.array(found, np.int64), np.array([len(x) for x in codes], np.int64)
-        n = self.start[p + 1] - self.start[p]
-        k = self.record[np.repeat(self.start[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
-        t = np.repeat(np.repeat(np.arange(len(codes)), number), n)
-        a, b = self.length[k], lengths[t]
-        fits = np.abs(a - b) <= CHANGED * np.maximum(a, b)
-        key, hits = np.unique(t[fits] * len(self.rows) + k[fits], return_counts=True)
-        t, k = key // len(self.rows), key % len(self.rows)
-        enough = hits >= self.need[k]
-        covered = np.minimum(1.0, hits * self.size[k] / self.length[k])  # passages do not overlap: their lengths add up
-        last, own = -1, []
-        for i, r, share in zip(t[enough].tolist(), k[enough].tolist(), covered[enough].tolist()):
-            c1, c2, other = self.rows[r]
-            if other != codes[i]:
-                if i != last:
-                    last, own = i, split_codes(codes[i])
-                if not same_text(split_codes(other), own):
-                    continue
-            yield i, c1, c2, share
+        flat, edges = _symbols(codes)
+        starts, lengths = edges[:-1], np.diff(edges)
+        if (covered := self._covered(flat, starts, lengths)) is None:
+            half = len(codes) // 2
+            yield from self.matches(codes[:half])
+            yield from ((half + i, *x) for i, *x in self.matches(codes[half:]))
+            return
+        t, k, hits = covered
+        share = np.minimum(1.0, hits * self.size[k] / self.length[k])  # passages do not overlap: their lengths add up
+        longer = np.maximum(lengths[t], self.length[k])
+        most = (CHANGED * longer).astype(np.int64)
+        edges = np.searchsorted(np.cumsum(longer) // MOST_MET, np.arange(2 + longer.sum() // MOST_MET))  # so many words at once
+        common = [self._common(flat, starts, lengths, t[x:y], k[x:y]) for x, y in zip(edges, edges[1:])]
+        near = np.concatenate(common) >= longer - most  # bounds the edits from below
+        for i, r, c, m in zip(*(x[near].tolist() for x in (t, k, share, most))):
+            a, b = flat[starts[i] : starts[i] + lengths[i]], self.words[self.start[r] : self.start[r] + self.length[r]]
+            if np.array_equal(a, b) or edits(b.tolist(), a.tolist(), m) is not None:
+                yield i, int(self.c1[r]), int(self.c2[r]), c
 
 
 class Queries:
@@ -219,77 +341,84 @@ class Queries:
                 own = [(rest[a : b - 1], len(rest) - b + 1) for a, b in zip(cuts, cuts[1:])]
             parts.append(own)
             count.update(p for p, _ in own)
-        self.need, chosen = [], defaultdict(lambda: defaultdict(list))
+        # a record with three parts is met by two of them, each at its place, one with two by either
+        number: dict[str, int] = defaultdict(lambda: len(number))
+        self.index: dict[tuple[int, int], dict[tuple[int, int] | None, list[int]]] = {}
         for k, own in enumerate(parts):
-            taken = sorted(own, key=lambda x: count[x[0]])[: PARTS - 1]
-            self.need.append(max(0, len(taken) - 1))
-            for passage, after in taken:
-                chosen[passage][after].append(k)
-        self.lists, self.automaton = _automaton(chosen)
+            keys = [(number[passage], after) for passage, after in sorted(own, key=lambda x: count[x[0]])[: PARTS - 1]]
+            for i, key in enumerate(keys):
+                for other in keys[i + 1 :] if len(keys) > 2 else [None]:
+                    if not (at := self.index.get(key)):
+                        at = self.index[key] = {}
+                    at.setdefault(other, []).append(k)
+                self.index.setdefault(key, _NONE)
+        self.places = [0] * len(number)  # of each part, bit a + 1 where a letters follow it
+        for part, after in self.index:
+            self.places[part] |= 1 << after + 1
+        self.automaton = _automaton(number)
 
     def matches(self, code: str) -> Iterator[tuple[int, int]]:
         w, letters = code.split(" "), code.replace(" ", "")
-        hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        index, places, found = self.index, self.places, set()
         if self.automaton is not None:
+            last = len(letters) - 1
             for end, p in self.automaton.iter(letters):
-                after = len(letters) - 1 - end
-                for a in (after - 1, after, after + 1):  # a slip behind the part moves it by one
-                    for k in self.lists[p].get(a, ()):
-                        hits[k].add((p, a))
-        if len(w) <= ADDRESS + 2:
-            hits |= {k: set() for k in self.tiny}
-        for k, found in hits.items():
+                if near := places[p] >> last - end & 7:  # a slip behind the part moves it by one
+                    found.update((p, last - end - 1 + k) for k in range(3) if near >> k & 1)
+        met = set(self.tiny) if len(w) <= ADDRESS + 2 else set()
+        for key in found:
+            own = index[key]
+            if None in own:
+                met.update(own[None])
+            for other in own.keys() & found:
+                met.update(own[other])
+        for k in met:
             c1, c2, other = self.rows[k]
-            if len(found) >= self.need[k] and same_question(other.split(" "), w):
+            if same_question(other.split(" "), w):
                 yield c1, c2
 
 
-class Shard:
-    """The automata of one shard, of texts and of questions."""
+_built: dict[str, Texts | Queries] = {}
 
-    def __init__(self, rows: list[tuple[str, int, int, str]]):
-        self.texts = Texts([r[1:] for r in rows if r[0] == "text"])
-        self.queries = Queries([r[1:] for r in rows if r[0] == "query"])
 
-    def matches(self, rows: list[tuple[str, int, int, str]]) -> Iterator[tuple[str, int, int, int, int, float]]:
-        """(field, e1, e2, t1, t2, coverage) for a block of training records."""
-        texts = [r for r in rows if r[0] == "text"]
-        for i, e1, e2, share in self.texts.matches([r[3] for r in texts]):
-            yield "text", e1, e2, texts[i][1], texts[i][2], share
-        for field, t1, t2, code in rows:
-            if field == "query":
-                for e1, e2 in self.queries.matches(code):
-                    yield field, e1, e2, t1, t2, 1.0
-
-
-_built: dict[str, Shard] = {}
-
-
-def _shard(key: str, table: pa.Table) -> Shard:
-    """The automata of a shard, built once in each worker."""
+def _shard(key: str, field: str, table: pa.Table) -> Texts | Queries:
+    """The automaton of a shard, built once in each worker."""
     if key not in _built:
         _built.clear()
-        _built[key] = Shard(list(zip(*(table.column(k).to_pylist() for k in range(4)))))
+        _built[key] = Texts(table) if field == "text" else Queries(list(zip(*(table.column(c).to_pylist() for c in ("c1", "c2", "code")))))
     return _built[key]
 
 
+def _blocks(codes: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about ``BLOCK_WORDS`` words, each with the place of its first."""
+    edges = _symbols(codes)[1]
+    at = 0
+    while at < len(codes):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + BLOCK_WORDS, "right")) - 1)
+        yield at, codes[at:to]
+        at = to
+
+
 NEAR = "field string, e1 bigint, e2 bigint, t1 bigint, t2 bigint, coverage double"
 
 
-def _pass(trains: DataFrame, evals: DataFrame) -> DataFrame:
-    """All distinct training records through the automata of one shard."""
-    sent = trains.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, evals.select("field", "c1", "c2", "code").toArrow()))  # SHARD_WORDS words
+def _pass(field: str, trains: DataFrame, evals: DataFrame) -> DataFrame:
+    """All distinct training records of a field through the automaton of one shard."""
+    sent = trains.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, field, evals.select("c1", "c2", "code").toArrow()))  # SHARD_WORDS or QUERY_WORDS words
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _shard(*sent.value)
         for b in batches:
-            rows = list(zip(*(b.column(k).to_pylist() for k in range(4))))
-            found = [x for at in range(0, len(rows), BLOCK) for x in shard.matches(rows[at : at + BLOCK])]
-            cols = list(zip(*found)) or [()] * 6
-            kinds = (pa.string(), *[pa.int64()] * 4, pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in NEAR.split(", ")])
-
-    found = cut_lineage(trains.mapInArrow(scan, NEAR))
+            codes = b.column(2).cast(pa.string())
+            if field == "text":
+                found = [(at + i, *x) for at, block in _blocks(codes) for i, *x in shard.matches(block)]
+            else:
+                found = [(i, *x, 1.0) for i, code in enumerate(codes.to_pylist()) for x in shard.matches(code)]
+            i, e1, e2, share = list(zip(*found)) or [()] * 4
+            i = pa.array(i, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([field] * len(i), pa.string()), pa.array(e1, pa.int64()), pa.array(e2, pa.int64()), b.column(0).take(i), b.column(1).take(i), pa.array(share, pa.float64())], [x.split()[0] for x in NEAR.split(", ")])
+
+    found = cut_lineage(trains.select("c1", "c2", "code").mapInArrow(scan, NEAR))
     sent.unpersist()
     return found
 
@@ -326,10 +455,12 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     trains = coded.where("side = 'train'").select("field", "c1", "c2", "code")
     evals = cut_lineage(coded.where("side = 'eval'").groupBy("field", "c1", "c2").agg(F.min("code").alias("code")))
     n_words = F.when(F.col("field") == "text", F.length("code") / WIDTH).otherwise(F.size(F.split("code", " ")))
-    passes = -(-int(evals.agg(F.sum(n_words)).first()[0] or 0) // SHARD_WORDS)
+    held = {r["field"]: int(r["n"]) for r in evals.groupBy("field").agg(F.sum(n_words).alias("n")).collect()}
     near = records.sparkSession.createDataFrame([], NEAR)
-    for s in range(passes):
-        near = near.unionByName(_pass(trains, evals.where(F.pmod(F.xxhash64("c1", "c2"), F.lit(passes)) == s)))
+    for field, size in (("text", SHARD_WORDS), ("query", QUERY_WORDS)):
+        passes = -(-held.get(field, 0) // size)
+        for s in range(passes):
+            near = near.unionByName(_pass(field, trains.where(F.col("field") == field), evals.where((F.col("field") == field) & (F.pmod(F.xxhash64("c1", "c2"), F.lit(passes)) == s))))
     return members, near.groupBy("field", "e1", "e2", "t1", "t2").agg(F.max("coverage").alias("coverage"))
 
 
