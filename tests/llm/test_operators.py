@@ -361,7 +361,7 @@ def test_few_records_are_met_in_vain(monkeypatch):
     names = NAMES[:600]
     form = lambda n: (f"which year was the old mill near the town of {n} built and by which of the four owners of it").split()
     queries = splits.Queries([(k, k, " ".join(form(n + n[::-1]))) for k, n in enumerate(names)])
-    assert all([x for x in queries.matches(" ".join(form(n + n[::-1])))] == [(k, k)] for k, n in enumerate(names[:50]))
+    assert all([x[:2] for x in queries.matches(" ".join(form(n + n[::-1])))] == [(k, k)] for k, n in enumerate(names[:50]))
     codes = splits.Codes()
     text = lambda n, k: "".join(codes[w] for w in [*form(n), *NAMES[k : k + 40]])
     table = pa.table({"c1": range(600), "c2": range(600), "code": [text(n, k) for k, n in enumerate(names)]})
@@ -371,6 +371,21 @@ def test_few_records_are_met_in_vain(monkeypatch):
     assert {(k, k, k) for k in range(600)} <= found and len(found) < 600 * 10
 
 
+def test_matched_intervals_are_merged(spark):
+    """Coverage is the union of what all training records match, not the best of them or a count of passages."""
+    w = NAMES[:30]
+    half = [w[:14] + ["x", "y", "z"] + w[17:], w[:4] + ["x"] + w[5:27] + ["y"] + w[28:]]
+    rows = [("text", "eval", 1, " ".join(w)), ("text", "eval", 2, " ".join(NAMES[100:107])), ("text", "train", 3, " ".join(NAMES[100:107]))]
+    rows += [("text", "train", 10 + k, " ".join(x)) for k, x in enumerate(half)]
+    rows += [("query", "eval", 20, "Who owned the mill in Talo near Bise?"), ("query", "train", 21, "Please who owned the mxll in Talo near Bise")]
+    schema = "field string, side string, id bigint, text string"
+    got = {r["eval_id"]: (r["pairs"], r["coverage"]) for r in splits.link_counts(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (2, 1.0), 2: (1, 1.0), 20: (1, pytest.approx(28 / 29))}
+    alone = splits.link_counts(spark.createDataFrame([r for r in rows if r[2] in (1, 10)], schema)).first()
+    assert alone["coverage"] == pytest.approx(27 / 30)
+    assert splits.merged([(4, 6), (0, 2), (2, 3), (5, 9)]) == [(0, 3), (4, 9)]
+
+
 def test_overlaps_of_empty_tables(spark):
     schema = "field string, side string, id bigint, text string"
     assert splits.overlaps(spark.createDataFrame([], schema)).count() == 0

@@ -28,7 +28,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, read, side_of, words
@@ -118,13 +118,45 @@ def one_slip(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
 
-def same_question(a: list[str], b: list[str]) -> bool:
-    """Equal up to one slip of the pen and up to three words of address in front of either."""
+def same_question(a: list[str], b: list[str]) -> tuple[int, int] | None:
+    """The words of address in front of either, up to three, behind which they are equal up to one slip of the pen; None if they are not."""
     for i in range(min(ADDRESS, len(a) - 1) + 1):
         for j in range(min(ADDRESS, len(b) - 1) + 1):
             if abs((len(a) - i) - (len(b) - j)) <= 1 and one_slip("".join(a[i:]), "".join(b[j:])):
-                return True
-    return False
+                return i, j
+    return None
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of intervals (from, to), in order; such as touch become one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def text_spans(a: np.ndarray, b: np.ndarray, places: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+    """The words of ``a`` in the matches of its passages in ``b``, each carried on in both directions while words are equal."""
+    out = []
+    for d in np.unique(at - places).tolist():
+        low = max(0, -d)
+        high = min(len(a), len(b) - d)
+        breaks = np.concatenate([[low - 1], low + np.flatnonzero(a[low:high] != b[low + d : high + d]), [high]])
+        k = np.unique(np.searchsorted(breaks, places[at - places == d]))
+        out += zip((breaks[k - 1] + 1).tolist(), breaks[k].tolist())
+    return merged(out)
+
+
+def question_spans(a: list[str], b: list[str], address: tuple[int, int]) -> list[tuple[int, int]]:
+    """The letters of question ``a`` that match those of ``b`` before and behind the slip, without the address."""
+    x, y = "".join(a[address[0] :]), "".join(b[address[1] :])
+    first = len("".join(a)) - len(x)
+    before = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    behind = next((k for k, (p, q) in enumerate(zip(x[::-1], y[::-1])) if p != q), min(len(x), len(y)))
+    return merged([(first, first + before), (first + len(x) - behind, first + len(x))])
 
 
 def _automaton(numbers: dict[str, int]) -> Any:
@@ -244,8 +276,8 @@ class Texts:
         self.listed = np.zeros(self.states, bool)
         self.listed[final[taken]] = True
 
-    def _covered(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """(text, record, passages found) of the pairs in which passages cover the record enough; None if the texts are too many to be counted at once."""
+    def _covered(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        """(text, record) of the pairs in which passages cover the record enough, and (number of the pair, place in the record, place in the text) of these passages; None if the texts are too many to be counted at once."""
         rows = len(self.length)
         begins = np.zeros(len(flat), bool)
         begins[starts] = True
@@ -284,10 +316,13 @@ class Texts:
         own = self.own[k + 1] - self.own[k]
         x, which = _ranges(self.own[k], own), np.repeat(np.arange(len(pair)), own)
         key = t[which] * self.states + self.own_state[x]
-        at = np.minimum(np.searchsorted(hit, key), max(0, len(hit) - 1))
-        hits = np.bincount(which[hit[at] == key] if len(hit) else which, minlength=len(pair))
-        enough = hits >= self.need[k]
-        return t[enough], k[enough], hits[enough]
+        at = np.minimum(np.searchsorted(hit, key), len(hit) - 1)
+        found = np.flatnonzero(hit[at] == key)
+        at, which, place = at[found], which[found], self.own_place[x[found]].astype(np.int64)
+        enough = np.bincount(which, minlength=len(pair)) >= self.need[k]
+        at, place, which = at[enough[which]], place[enough[which]], (np.cumsum(enough) - 1)[which[enough[which]]]
+        closest = np.where(np.abs(low[at] - place) <= np.abs(high[at] - place), low[at], high[at])
+        return t[enough], k[enough], which, place, closest
 
     def _common(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, t: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Words that each pair has in common, in any order."""
@@ -298,8 +333,8 @@ class Texts:
         both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
         return np.bincount(both >> 32, np.minimum(n[i], m[j]), len(t)).astype(np.int64)
 
-    def matches(self, codes: pa.Array) -> Iterator[tuple[int, int, int, float]]:
-        """(text, class, class, share of its words covered) of the records that texts are copies of."""
+    def matches(self, codes: pa.Array) -> Iterator[tuple[int, int, int, int, list[tuple[int, int]]]]:
+        """(text, class, class, length, matched intervals) of the records that texts are copies of, in words."""
         if not len(self.length) or not len(codes):
             return
         flat, edges = _symbols(codes)
@@ -309,17 +344,19 @@ class Texts:
             yield from self.matches(codes[:half])
             yield from ((half + i, *x) for i, *x in self.matches(codes[half:]))
             return
-        t, k, hits = covered
-        share = np.minimum(1.0, hits * self.size[k] / self.length[k])  # passages do not overlap: their lengths add up
+        t, k, which, place, at = covered
+        last = np.searchsorted(which, np.arange(len(t) + 1))
         longer = np.maximum(lengths[t], self.length[k])
         most = (CHANGED * longer).astype(np.int64)
         edges = np.searchsorted(np.cumsum(longer) // MOST_MET, np.arange(2 + longer.sum() // MOST_MET))  # so many words at once
         common = [self._common(flat, starts, lengths, t[x:y], k[x:y]) for x, y in zip(edges, edges[1:])]
         near = np.concatenate(common) >= longer - most  # bounds the edits from below
-        for i, r, c, m in zip(*(x[near].tolist() for x in (t, k, share, most))):
-            a, b = flat[starts[i] : starts[i] + lengths[i]], self.words[self.start[r] : self.start[r] + self.length[r]]
-            if np.array_equal(a, b) or edits(b.tolist(), a.tolist(), m) is not None:
-                yield i, int(self.c1[r]), int(self.c2[r]), c
+        for j in np.flatnonzero(near).tolist():
+            i, r = int(t[j]), int(k[j])
+            a, b = self.words[self.start[r] : self.start[r] + self.length[r]], flat[starts[i] : starts[i] + lengths[i]]
+            if np.array_equal(a, b) or edits(a.tolist(), b.tolist(), int(most[j])) is not None:
+                own = slice(last[j], last[j + 1])
+                yield i, int(self.c1[r]), int(self.c2[r]), len(a), text_spans(a, b, place[own], at[own])
 
 
 class Queries:
@@ -357,7 +394,8 @@ class Queries:
             self.places[part] |= 1 << after + 1
         self.automaton = _automaton(number)
 
-    def matches(self, code: str) -> Iterator[tuple[int, int]]:
+    def matches(self, code: str) -> Iterator[tuple[int, int, int, list[tuple[int, int]]]]:
+        """(class, class, length, matched intervals) of the records that ask the same, in letters."""
         w, letters = code.split(" "), code.replace(" ", "")
         index, places, found = self.index, self.places, set()
         if self.automaton is not None:
@@ -374,8 +412,8 @@ class Queries:
                 met.update(own[other])
         for k in met:
             c1, c2, other = self.rows[k]
-            if same_question(other.split(" "), w):
-                yield c1, c2
+            if (address := same_question(own := other.split(" "), w)) is not None:
+                yield c1, c2, len("".join(own)), question_spans(own, w, address)
 
 
 _built: dict[str, Texts | Queries] = {}
@@ -399,7 +437,8 @@ def _blocks(codes: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         at = to
 
 
-NEAR = "field string, e1 bigint, e2 bigint, t1 bigint, t2 bigint, coverage double"
+#: An interval is one number, from * 2 ** 32 + to.
+NEAR = "field string, e1 bigint, e2 bigint, t1 bigint, t2 bigint, length bigint, spans array<bigint>"
 
 
 def _pass(field: str, trains: DataFrame, evals: DataFrame) -> DataFrame:
@@ -413,10 +452,11 @@ def _pass(field: str, trains: DataFrame, evals: DataFrame) -> DataFrame:
             if field == "text":
                 found = [(at + i, *x) for at, block in _blocks(codes) for i, *x in shard.matches(block)]
             else:
-                found = [(i, *x, 1.0) for i, code in enumerate(codes.to_pylist()) for x in shard.matches(code)]
-            i, e1, e2, share = list(zip(*found)) or [()] * 4
+                found = [(i, *x) for i, code in enumerate(codes.to_pylist()) for x in shard.matches(code)]
+            i, e1, e2, length, spans = list(zip(*found)) or [()] * 5
+            spans = pa.array([[x << 32 | y for x, y in own] for own in spans], pa.list_(pa.int64()))
             i = pa.array(i, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([field] * len(i), pa.string()), pa.array(e1, pa.int64()), pa.array(e2, pa.int64()), b.column(0).take(i), b.column(1).take(i), pa.array(share, pa.float64())], [x.split()[0] for x in NEAR.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([field] * len(i), pa.string()), pa.array(e1, pa.int64()), pa.array(e2, pa.int64()), b.column(0).take(i), b.column(1).take(i), pa.array(length, pa.int64()), spans], [x.split()[0] for x in NEAR.split(", ")])
 
     found = cut_lineage(trains.select("c1", "c2", "code").mapInArrow(scan, NEAR))
     sent.unpersist()
@@ -424,7 +464,7 @@ def _pass(field: str, trains: DataFrame, evals: DataFrame) -> DataFrame:
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, near): every record's class, and the pairs of classes that overlap, with the coverage of the evaluation record.
+    """(members, near): every record's class, and the pairs of classes that overlap, with the matched intervals of the evaluation record.
 
     Exact copies are a pair of a class with itself and come from the automata like all others.
     """
@@ -461,7 +501,7 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         passes = -(-held.get(field, 0) // size)
         for s in range(passes):
             near = near.unionByName(_pass(field, trains.where(F.col("field") == field), evals.where((F.col("field") == field) & (F.pmod(F.xxhash64("c1", "c2"), F.lit(passes)) == s))))
-    return members, near.groupBy("field", "e1", "e2", "t1", "t2").agg(F.max("coverage").alias("coverage"))
+    return members, near.dropDuplicates(["field", "e1", "e2", "t1", "t2"])
 
 
 def overlaps(records: DataFrame) -> DataFrame:
@@ -482,11 +522,25 @@ def overlaps(records: DataFrame) -> DataFrame:
     return pairs.select(F.col("field").alias("field_name"), F.col("t").alias("train_id"), F.col("e").alias("eval_id"))
 
 
+def coverage(near: DataFrame) -> DataFrame:
+    """(field, e1, e2, coverage): the union of each evaluation record's matched intervals as a share of its length."""
+    spans = near.select("field", "e1", "e2", "length", F.explode("spans").alias("span")).distinct()
+    before = Window.partitionBy("field", "e1", "e2").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    start, end = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit((1 << 32) - 1))
+    new = spans.withColumn("new", F.greatest(F.lit(0), end - F.greatest(start, F.coalesce(F.max(end).over(before), F.lit(0)))))
+    return new.groupBy("field", "e1", "e2").agg((F.sum("new") / F.max("length")).alias("coverage"))
+
+
 def link_counts(records: DataFrame) -> DataFrame:
-    """(field_name, eval_id, e1, e2, pairs, coverage): every overlapping evaluation record with its class, its training records and its best coverage."""
+    """(field_name, eval_id, e1, e2, pairs, coverage): every overlapping evaluation record with its class, its training records and the share of it that they cover.
+
+    The matched intervals of all training records are merged: coverage is the length of their union (words of a text,
+    letters of a question) as a share of the record.
+    """
     members, near = classes(records)
     many = members.where("side = 'train'").groupBy("field", F.col("c1").alias("t1"), F.col("c2").alias("t2")).agg(F.count("*").alias("n"))
-    each = near.join(many, ["field", "t1", "t2"]).groupBy("field", "e1", "e2").agg(F.sum("n").alias("pairs"), F.max("coverage").alias("coverage"))
+    each = near.join(many, ["field", "t1", "t2"]).groupBy("field", "e1", "e2").agg(F.sum("n").alias("pairs"))
+    each = each.join(coverage(near), ["field", "e1", "e2"])
     e_side = members.where("side = 'eval'").select("field", F.col("id").alias("eval_id"), F.col("c1").alias("e1"), F.col("c2").alias("e2"))
     return e_side.join(each, ["field", "e1", "e2"]).withColumnRenamed("field", "field_name")
 
@@ -503,8 +557,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping evaluation records by field, split and source, with the number of pairs."""
-    found = link_counts(corpus_records(spark, sf_dir)).select("field_name", "eval_id", "pairs")
+    """Overlapping evaluation records by field, split and source, with the number of pairs and the mean coverage of a record."""
+    found = link_counts(corpus_records(spark, sf_dir)).select("field_name", "eval_id", "pairs", "coverage")
     of = lambda table, key, field: read(spark, sf_dir, table).select(F.lit(field).alias("field_name"), F.col(key).alias("eval_id"), F.lower(F.trim("split")).alias("split"), "source").dropDuplicates(["eval_id"])
     records = of("pretrain_in", "doc_id", "text").unionByName(of("rag_in", "ex_id", "query"))
-    return found.join(records, ["field_name", "eval_id"]).groupBy("field_name", "split", "source").agg(F.count("*").alias("records"), F.sum("pairs").alias("pairs"))
+    return found.join(records, ["field_name", "eval_id"]).groupBy("field_name", "split", "source").agg(F.count("*").alias("records"), F.sum("pairs").alias("pairs"), F.avg("coverage").alias("coverage"))
