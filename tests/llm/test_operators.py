@@ -741,6 +741,27 @@ def test_telling_words_need_support():
     assert content.telling(10, 10) < 0
 
 
+def test_values_of_words_are_those_of_plain_words():
+    rng = random.Random(4)
+    texts = [prose(5, rng) + rng.choice([" g r u m f you.", " Gr*mf, 3x l33t!", " Élan co-op it's. ", "\n\nOne-two;three 1982 … ​x"]) for _ in range(60)]
+    number = {w: k for k, w in enumerate(sorted({w for t in texts for p in content.Tokens().passages(t) for w in p})[::2])}
+    for of in (lambda words: [number[w] for w in words if w in number], lambda words: map(len, words)):
+        own, plain = content.Tokens(of), content.Tokens()
+        for t in texts:
+            assert own.distinct(t) == {v for w in plain.distinct(t) for v in of([w])}
+        if of([""]) != []:
+            assert all(own.passages(t) == [list(of(p)) for p in plain.passages(t)] for t in texts)
+
+
+def test_numbers_close_together():
+    import numpy as np
+
+    for n in (0, 1, 500):
+        numbers = np.random.default_rng(n).integers(0, 90, n)
+        for got, want in zip(content.closely(numbers, 100), np.unique(numbers, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+
+
 def test_content_without_verdicts(spark):
     d = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id bigint, text string")
     y = spark.createDataFrame([], "doc_id bigint, flagged int, kind string")

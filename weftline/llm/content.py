@@ -22,7 +22,8 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,42 +98,51 @@ def _folded(text: str) -> str:
     return _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower() if not text.isascii() else text.lower()
 
 
+def _plain_words(part: str) -> list[str]:
+    """The plain words of what stands between white space."""
+    if part.isascii() and part.isalpha():
+        return [_REPEAT.sub(r"\1", part)]
+    return list(filter(None, map(plain, _TOKEN.findall(part))))
+
+
+class _Known(dict):
+    """What stands between white space, and what its words become."""
+
+    def __init__(self, of: Callable[[list[str]], Iterable]):
+        self.of = of
+
+    def __missing__(self, part: str) -> tuple:
+        found = self[part] = tuple(self.of(_plain_words(part)))
+        return found
+
+
 class Tokens:
-    """Passages of a text as plain words; what a word becomes is kept."""
+    """Passages of a text as plain words, or what ``of`` makes of these; what a word becomes is kept."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[str, ...]] = {}
+    def __init__(self, of: Callable[[list[str]], Iterable] = list) -> None:
+        self.of, self.known = of, _Known(of)
 
-    def distinct(self, text: str) -> set[str]:
+    def _look(self) -> Callable[[str], tuple]:
+        if len(self.known) > 300_000:
+            self.known.clear()
+        return self.known.__getitem__
+
+    def distinct(self, text: str) -> set:
         """The different words of all passages."""
         text = _folded(text)
         if _SPACED.search(text) is not None:
             return {w for p in self.passages(text) for w in p}
-        known, out = self.known, set()
-        if len(known) > 300_000:
-            known.clear()
-        for x in set(text.split()):
-            w = known.get(x)
-            if w is None:
-                w = known[x] = tuple(filter(None, map(plain, _TOKEN.findall(x))))
-            out.update(w)
-        return out
+        return set(chain.from_iterable(map(self._look(), set(text.split()))))
 
-    def passages(self, text: str) -> list[list[str]]:
+    def passages(self, text: str) -> list[list]:
         text = _folded(text)
-        out, known = [], self.known
-        if len(known) > 300_000:
-            known.clear()
+        out, look = [], self._look()
         spaced = _SPACED.search(text) is not None
         for part in _SPLIT.split(text):
-            row: list[str] = []
-            for x in part.split():
-                w = known.get(x)
-                if w is None:
-                    w = known[x] = tuple(filter(None, map(plain, _TOKEN.findall(x))))
-                row += w
             if spaced:
-                row = _joined(row)
+                row = list(self.of(_joined([w for x in part.split() for w in _plain_words(x)])))
+            else:
+                row = list(chain.from_iterable(map(look, part.split())))
             if not row:
                 continue
             if len(row) <= LONG:
@@ -205,6 +215,16 @@ def features(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_row), ((key ^ (key >> np.uint64(29))) % np.uint64((1 << BITS) - 1)).astype(np.int64) + 1
 
 
+def closely(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers below ``size``, in order, and the place of each number among them; nothing is sorted."""
+    used = np.zeros(size, bool)
+    used[numbers] = True
+    own = np.flatnonzero(used)
+    place = np.empty(size, np.int32)
+    place[own] = np.arange(len(own))
+    return own, place[numbers]
+
+
 class Ftrl:
     """FTRL-proximal for all kinds side by side, over a fixed offset."""
 
@@ -223,7 +243,7 @@ class Ftrl:
             n = starts[chosen + 1] - starts[chosen]
             r = np.repeat(np.arange(len(chosen)), n)
             f = keys[np.repeat(starts[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            at, inverse = np.unique(f, return_inverse=True)
+            at, inverse = closely(f, self.n.shape[1])
             w = self.weights(at)
             for k in range(len(KINDS)):
                 p = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[k][inverse], len(chosen)) + OFFSET, -30, 30)))
@@ -330,7 +350,7 @@ def fit(rows: DataFrame, often: DataFrame) -> Sparse:
             at, flat = keys.offsets.to_numpy().astype(np.int64), keys.values.to_numpy().astype(np.int64)
             keep = used[flat]
             at, flat = np.concatenate([[0], np.cumsum(keep)])[at], flat[keep]
-            hashed, close = np.unique(flat, return_inverse=True)  # features in use, numbered closely
+            hashed, close = closely(flat, 1 << BITS)  # features in use, numbered closely
             first, share, kinds, docs = (table.column(c).to_numpy() for c in ("first", "share", "kind", "doc_id"))
             seen = None
             if sparse is not None:
@@ -449,12 +469,12 @@ def document_counts(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, in
     sent = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, tokens, seen = sent.value, Tokens(), np.zeros(len(sent.value) + 1, np.int64)
+        number, seen = sent.value, np.zeros(len(sent.value) + 1, np.int64)
+        tokens = Tokens(lambda words: [number[w] for w in words if w in number])
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen[-1] += 1
-                own = [number[w] for w in tokens.distinct(t) if w in number]
-                seen[own] += 1
+                seen[list(tokens.distinct(t))] += 1
         k = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(seen[k])], ["k", "n"])
 
@@ -479,13 +499,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         telling, at, w = sent.value
         words = Words(telling)
         dense = spread((at, w))
-        tokens, number = Tokens(), words.of
+        tokens = Tokens(lambda found: map(words.of, found))
         for b in batches:
             rows: list[list[int]] = []
             starts = [0]
             for t in b.column(1).to_pylist():
                 if t:
-                    rows += [[number(x) for x in p] for p in tokens.passages(t)]
+                    rows += tokens.passages(t)
                 starts.append(len(rows))
             each = scores(rows, dense)
             out = np.zeros((b.num_rows, len(KINDS)))
