@@ -753,6 +753,42 @@ def test_values_of_words_are_those_of_plain_words():
             assert all(own.passages(t) == [list(of(p)) for p in plain.passages(t)] for t in texts)
 
 
+def test_words_of_many_texts_at_once(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(6)
+    odd = [" g r u m f you.", " (Gr*mf) 3x l33t! @@aab_", " Élan co-op it's. \x1c a\u2003b ", "\n\nOne-two;three 1982 …” \u200bx", "...", "  ", None, "", "$aa -- 'book'\n\n\nball.)  " + "long " * 30 + "tail", "word " * 53]
+    texts = [x and prose(2, rng) * rng.randint(0, 2) + x for x in odd * 6]
+    calls, words = Counter(), content.Words({"grumf": 2.0})
+    for chars in (1, 200, 1_000_000):
+        monkeypatch.setattr(content, "BLOCK_CHARS", chars)
+        own, plain = content.Tokens(lambda found: [words.of(w) for w in found]), content.Tokens(lambda found: [words.of(w) for w in found])
+        got = [(int(t), row.tolist()) for owner, n, w in own.tables(texts) for t, row in zip(owner, np.split(w, np.cumsum(n)[:-1]))]
+        assert sorted(got) == sorted((k, row) for k, t in enumerate(texts) if t for row in plain.passages(t))
+        number = {w: k for k, w in enumerate(sorted({w for t in texts if t for w in content.Tokens().distinct(t)}))}
+        found = [(int(t), int(v)) for doc, value in content.Tokens(lambda found: [number[w] for w in found]).held(texts) for t, v in zip(doc, value)]
+        assert sorted(found) == sorted((k, number[w]) for k, t in enumerate(texts) if t for w in content.Tokens().distinct(t))
+    own = content.Tokens(lambda found: [calls.update(found) or len(w) for w in found])
+    assert sum(n.sum() for _, n, _ in own.tables(["word, word. (word) Woord"] * 50)) == 200 and calls["word"] == 1
+    told, worth = np.array([3, 5, 9], np.uint64), np.array([0.5, 2.0, 1.0])
+    rows = [[rng.randint(0, 10) for _ in range(rng.randint(0, 12))] for _ in range(50)]
+    want = [sum(sorted({3: 0.5, 5: 2.0, 9: 1.0}.get(w, 0.0) for w in r)[-4:]) for r in rows]
+    flat = np.array([w for r in rows for w in r], np.uint64)
+    assert content.best_four(np.repeat(np.arange(50), [len(r) for r in rows]), flat, 50, told, worth).tolist() == pytest.approx(want)
+
+
+def test_passages_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(d % 3, d % 5, d, 0.0, -1, 0.0, [d % 7 + 1, 50 + d, 50 + d, (1 << content.BITS) - 1 - d % 2]) for d in range(40)], content.PASSAGES)
+    parts = content.packed(rows)
+    assert parts.count() == 3
+    assert content.shared_features(parts).tolist() == [*range(1, 8), (1 << content.BITS) - 2, (1 << content.BITS) - 1]
+    assert "Exchange" not in parts._jdf.queryExecution().toString()  # the rounds read the parts as they lie
+    for sparse in content.fit(parts, content.shared_features(parts)):
+        assert set(sparse[0].tolist()) <= {*range(1, 8), (1 << content.BITS) - 2, (1 << content.BITS) - 1} and sparse[1].shape == (3, len(sparse[0]))
+    none = content.packed(rows.limit(0))
+    assert [len(w[0]) for w in content.fit(none, content.shared_features(none))] == [0, 0]
+
+
 def test_numbers_close_together():
     import numpy as np
 
