@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import content, copies, leaks, pairs, pieces, quality, splits, tokens
-from weftline.llm.common import words
+from weftline.llm.common import cut_lineage, signless, words
 
 SEED = random.Random(7)
 NAMES = ["".join(SEED.choice("bdfgklmnprstvz") + SEED.choice("aeiou") for _ in range(4)) for _ in range(4000)]
@@ -602,6 +602,45 @@ def test_the_join_by_shuffle_gives_the_same(spark, monkeypatch):
     assert run() == whole
 
 
+def test_phrases_of_many_items_keep_no_document(spark, monkeypatch):
+    rng = random.Random(14)
+    words = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    common = [words(8) for _ in range(6)]
+    items = [(k, " ".join(words(20) + common[k] + words(20))) for k in range(6)]
+    mixed = " ".join(" ".join(words(5) + c) for c in common)  # 24 shingles, but 4 of each item
+    d = spark.createDataFrame([(10, mixed), (11, mixed + " " + items[3][1]), (12, " ".join(words(60)))], "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    kept = []
+    monkeypatch.setattr(leaks, "cut_lineage", lambda rows: kept.append(cut_lineage(rows)) or kept[-1])
+    run = lambda: sorted(tuple(r) for r in leaks.contained(d, i, "doc_id", "text", "item_id", "text").collect())
+    assert run() == [(3, 11, 48)] and [r["d"] for r in kept[1].select("d").collect()] == [11]
+    monkeypatch.setattr(leaks, "ITEM_WORDS", 0)
+    assert run() == [(3, 11, 48)]
+
+
+def test_shared_places_against_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 40, 900):
+        h, item = rng.integers(1, 60, n).astype(np.uint64), np.sort(rng.integers(0, 9, n))
+        order = np.argsort(h, kind="stable")
+        doc, own = np.sort(rng.integers(0, 30, 3 * n)), rng.integers(1, 90, 3 * n).astype(np.uint64)
+        shares = lambda d, i: sum(x in set(own[doc == d].tolist()) for x in h[item == i].tolist()) >= leaks.MIN_SHARED
+        got = leaks.sharing(doc, own, h[order], order, item).tolist()
+        assert got == [d for d in range(30) if any(shares(d, i) for i in range(9))] and (n < 900 or 0 < len(got))
+
+
+def test_word_numbers_of_blocks(monkeypatch):
+    texts = ["", " A b, c_d!\x1ce ", "x", "Élan\u2003it's &amp; <b>b</b> \xad", "  \n", "a-b\x00c_ \x7f"] * 3
+    for chars in (1, 30, 1_000_000):
+        monkeypatch.setattr(leaks, "BLOCK_CHARS", chars)
+        ids, starts = leaks._numbers(texts, leaks.Numbers())
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [[*map(leaks.Numbers().__getitem__, leaks.words(t)), -1] for t in texts]
+    assert leaks._numbers([], leaks.Numbers())[1].tolist() == [0]
+    assert all(signless(chr(k) + "a") == re.sub(r"[^\w\s]+|_+", "", (chr(k) + "a").lower()) for k in range(128))
+
+
 def test_changed_words_at_every_place(spark):
     """Passages of 25 to 31 words with changed words everywhere but side by side and at the ends, against the rule itself."""
     rng = random.Random(77)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _SIGNS = re.compile(r"[^\w\s]+|_+")
+_ASCII_SIGNS = bytes(k for k in range(128) if _SIGNS.match(chr(k)))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -90,9 +91,17 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFKC", text.replace("­", "").replace("​", "")).lower()
 
 
+def signless(text: str) -> str:
+    """The text folded and without signs."""
+    text = fold(text)
+    if text.isascii():
+        return text.encode().translate(None, _ASCII_SIGNS).decode()
+    return _SIGNS.sub("", text)
+
+
 def words(text: str) -> list[str]:
     """What stands between white space, folded and without signs: "l'eau" and "leau" are one word, "49.5" and "495" too."""
-    return _SIGNS.sub("", fold(text)).split()
+    return signless(text).split()
 
 
 def side_of(split: Column) -> Column:

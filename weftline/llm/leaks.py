@@ -13,7 +13,9 @@ tokens thin the candidates, and each is verified word by word.
 Texts are read and cut into words once, however many items there are: a filter of
 ``FILTER_BITS`` bits over all items' shingles goes to the tasks, and documents with
 enough shingles that pass it are kept as word numbers, which all that follows reads.
-The filter only spares space; one full of items lets every document pass.
+The filter only spares space; one full of items lets every document pass. Items that are
+broadcast bring all their shingles, and a document is kept if it shares enough places of
+one item: phrases that many items have in common keep none.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, read
-from .common import words as signless
+from .common import cut_lineage, read, signless
 
 SHINGLE = 5
 LEAST_WORDS, LEAST_PASSAGE, CHANGED = 25, 15, 0.1
@@ -38,15 +40,17 @@ LEAST_WORDS, LEAST_PASSAGE, CHANGED = 25, 15, 0.1
 MIN_HITS, MIN_SHARED = 4, 11
 #: Bits of the filter that goes to the tasks (16 MB), and the tasks over which rows of a hot shingle or item are spread.
 FILTER_BITS, SALTS = 27, 16
-#: Words of all items up to which they are broadcast (40 MB).
+#: Words of all items up to which they are broadcast (40 MB, and as much for their shingles).
 ITEM_WORDS = 2_000_000
+#: Characters of texts whose words are looked up at once.
+BLOCK_CHARS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TAG = re.compile(r"""<!--.*?-->|</?[a-z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))*\s*/?>""", re.I | re.S)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]\w{1,30});")
 
 
-def words(text: str) -> list[str]:
-    """Words without signs; tags are white space, so that none is glued to a word, and entities are what they stand for."""
+def plain(text: str) -> str:
+    """A text without signs; tags are white space, so that none is glued to a word, and entities are what they stand for."""
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
@@ -54,6 +58,10 @@ def words(text: str) -> list[str]:
     return signless(text)
 
 
+def words(text: str) -> list[str]:
+    return plain(text).split()
+
+
 def _hashes(ids: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every five word numbers in a row; 0 where one is unknown (negative)."""
     n = len(ids) - SHINGLE + 1
@@ -81,14 +89,28 @@ class Numbers(dict):
 
 
 def _numbers(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
-    """The word numbers of all texts in one array, -1 after each text, and where each begins."""
-    flat: list[int] = []
-    starts = []
-    for t in texts:
-        starts.append(len(flat))
-        flat += map(numbers.__getitem__, words(t))
-        flat.append(-1)
-    return np.array(flat, np.int64), np.array([*starts, len(flat)], np.int64)
+    """The word numbers of all texts in one array, -1 after each text, and where each begins.
+
+    Words are cut by Arrow, so that each is looked up once in a block of texts.
+    """
+    out, lengths = [], []
+    block: list[str] = []
+    size = 0
+    for k, text in enumerate(texts, 1):
+        block.append(plain(text) + " \n")  # ends with an empty part, the place of -1
+        size += len(text)
+        if size < BLOCK_CHARS and k < len(texts):
+            continue
+        cut = pc.utf8_split_whitespace(pa.array(block, pa.string()))  # the same white space as that of str.split
+        each = cut.values.dictionary_encode()
+        number = np.fromiter((numbers[w] if w else -1 for w in each.dictionary.to_pylist()), np.int64, len(each.dictionary))
+        ids, offsets = number[each.indices.to_numpy()], cut.offsets.to_numpy()
+        keep = ids >= 0
+        keep[offsets[1:] - 1] = True
+        out.append(ids[keep])
+        lengths.append(np.diff(np.concatenate([[0], np.cumsum(keep)])[offsets]))
+        block, size = [], 0
+    return np.concatenate([*out, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum(np.concatenate([*lengths, np.zeros(0, np.int64)]))])
 
 
 def _extend(a: list[int], b: list[int], i: int, j: int, step: int) -> list[tuple[int, int]]:
@@ -198,6 +220,35 @@ def shingle_filter(held: DataFrame) -> np.ndarray:
     return bits
 
 
+def _entries(held: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of at most ``ITEM_WORDS`` words in order, the place of each in the row of all items, and which item is at a place."""
+    rows = held.select("i", "place", "h").toArrow().sort_by([("i", "ascending"), ("place", "ascending")])
+    h = rows.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h, kind="stable")
+    return h[order], order.astype(np.int32), rows.column("i").to_numpy()
+
+
+def sharing(doc: np.ndarray, h: np.ndarray, shingle: np.ndarray, place: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The documents that share at least ``MIN_SHARED`` places of one item; ``doc`` is in order, ``h`` its shingles."""
+    lo = np.searchsorted(shingle, h, "left")
+    n = np.searchsorted(shingle, h, "right") - lo
+    ends = np.cumsum(n)
+    found = [doc[:0]]
+    a = 0
+    while a < len(doc):  # whole documents, a million entries at once
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 1_000_000, "right"))
+        b = int(np.searchsorted(doc, doc[max(a, b - 1)], "right"))
+        m = n[a:b]
+        at = place[np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        key = np.sort(np.repeat(doc[a:b], m) * len(item) + at)
+        key = key[np.diff(key, prepend=-1) != 0]  # a place counts once
+        owner, own = key // max(1, len(item)), item[key % max(1, len(item))]
+        first = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(own) != 0))[: len(key)])
+        found.append(owner[first[np.diff(first, append=len(key)) >= MIN_SHARED]])
+        a = b
+    return np.unique(np.concatenate(found))
+
+
 def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str) -> DataFrame:
     """(item_id bigint, doc_id bigint, n_words int): items that documents repeat, with the words repeated.
 
@@ -210,10 +261,11 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, ite
     queries = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and length(t) > 0").dropDuplicates(["i"])
     given = cut_lineage(queries.mapInArrow(_words, "i bigint, item array<bigint>, shingles array<bigint>"))
     held = given.select("i", F.posexplode("shingles").alias("place", "h"))
-    sent = docs.sparkSession.sparkContext.broadcast(shingle_filter(held))
+    small = (given.agg(F.sum(F.size("item"))).first()[0] or 0) <= ITEM_WORDS
+    sent = docs.sparkSession.sparkContext.broadcast((shingle_filter(held), _entries(held) if small else None))
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, numbers = sent.value, Numbers()
+        (bits, entries), numbers = sent.value, Numbers()
         for b in batches:
             ids, starts = _numbers(b.column(1).to_pylist(), numbers)
             h = _hashes(ids)
@@ -222,6 +274,8 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, ite
             doc = np.searchsorted(starts, hit, "right") - 1
             first, number = np.unique(doc, return_counts=True)
             kept = first[(number >= MIN_SHARED) & (np.diff(starts)[first] > LEAST_WORDS)] if len(first) else first
+            if entries is not None:  # of one item, not of all
+                kept = kept[np.isin(kept, sharing(doc, h[hit], *entries))]
             own = [np.unique(h[hit[np.searchsorted(doc, k, "left") : np.searchsorted(doc, k, "right")]]).view(np.int64) for k in kept]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), _lists([ids[starts[k] : starts[k + 1] - 1] for k in kept]), _lists(own)], ["d", "doc", "shingles"])
 
@@ -232,7 +286,6 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, ite
     w = Window.partitionBy("i").orderBy("place")
     rarer = (F.col("rank") <= F.lead("rank").over(w)) | (F.col("rank") < F.lag("rank").over(w))
     tokens = cut_lineage(ranked.withColumn("chosen", F.coalesce(rarer, F.lit(True))).where("chosen").select("i", "h", "place"))
-    small = (given.agg(F.sum(F.size("item"))).first()[0] or 0) <= ITEM_WORDS
     pairs = _held_in_tasks(found, given, tokens) if small else _joined(found, given, tokens)
     return pairs.groupBy("item_id", "doc_id").agg(F.max("n_words").alias("n_words"))
 
